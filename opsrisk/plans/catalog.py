@@ -67,3 +67,328 @@ def q_feature_frame(spark, sf):
 def q_kpi_department(spark, sf):
     d = kpis.department_breakdown(tables.workflows(spark, sf))
     return d.select("department", "workflow_count", _r("avg_sla_utilization"), _r("avg_error_rate"))
+
+
+# --- rules (R1-R10, P9) -----------------------------------------------------------
+
+from ..operators import alerts as A  # noqa: E402
+from ..operators import rules as R  # noqa: E402
+from ..schema import DEFAULT_RULE_CONFIG, RuleConfig  # noqa: E402
+
+FIXED_STAMP = "2026-01-01T00:00:00+00:00"
+CUSTOM_CONFIG = RuleConfig(
+    sla_warning_threshold=0.9,
+    high_error_threshold=3,
+    high_rework_rate=0.05,
+    high_manual_ratio=0.6,
+    low_automation_threshold=0.4,
+    backlog_threshold=50,
+)
+TRIG_COLS = "workflow_id, rule_rank, rule_type, severity, message, recommended_action"
+
+
+def _labeled_as_predicted(spark, sf):
+    """Labeled fixture with its label standing in for the model's prediction."""
+    return tables.workflows_labeled(spark, sf).withColumnRenamed("risk_label", "predicted_risk")
+
+
+def _trig_long(spark, sf, cfg=DEFAULT_RULE_CONFIG, pred=None):
+    src = _labeled_as_predicted(spark, sf) if pred else tables.workflows(spark, sf)
+    return R.triggers_long(src, cfg, pred).select(
+        "workflow_id", "pos", F.col("rule_rank").cast("bigint").alias("rule_rank"), "rule_type", "severity", "message",
+        "recommended_action",
+    )
+
+
+def _rule_query(rule: str):
+    def q(spark, sf):
+        pred = "predicted_risk" if rule == "high_risk_escalation" else None
+        return _trig_long(spark, sf, pred=pred).where(F.col("rule_type") == rule).drop("pos")
+
+    return q
+
+
+_PRED_CTE = "pred as (select * exclude (risk_label), risk_label as predicted_risk from workflows_labeled)"
+_TRIG_SELECT = f"select {TRIG_COLS.replace('rule_rank', 'cast(rule_rank as bigint) as rule_rank')} from trig"
+
+
+def _long_sql(cfg, pred: bool) -> str:
+    head = O.with_ctes("", labeled=pred).rstrip()
+    if pred:
+        head += ",\n" + _PRED_CTE + ",\n" + O.ENGINEERED_CTE.format(name="eng", src="pred").strip()
+    else:
+        head += ",\n" + O.ENGINEERED_CTE.format(name="eng", src="workflows").strip()
+    head += ",\ntrig as (" + O.triggers_sql(cfg, "eng", "predicted_risk" if pred else None) + ")\n"
+    return head
+
+
+def _posexplode_sql(cfg, pred: bool) -> str:
+    return _long_sql(cfg, pred) + (
+        "select workflow_id, cast(row_number() over (partition by workflow_id order by rule_rank) - 1 as bigint) as pos, "
+        "cast(rule_rank as bigint) as rule_rank, rule_type, severity, message, recommended_action from trig"
+    )
+
+
+for _key, _rule in (
+    ("rule_sla_breach", "sla_breach"),
+    ("rule_approaching_sla", "approaching_sla"),
+    ("rule_high_error", "high_error"),
+    ("rule_high_rework", "high_rework"),
+    ("rule_manual_automation", "manual_automation_opportunity"),
+    ("rule_backlog", "backlog_pressure"),
+    ("rule_escalation", "high_risk_escalation"),
+):
+    _pred = _rule == "high_risk_escalation"
+    register(_key, _long_sql(DEFAULT_RULE_CONFIG, _pred) + _TRIG_SELECT + f" where rule_type = '{_rule}'")(_rule_query(_rule))
+
+
+register("rule_triggers_long", _posexplode_sql(DEFAULT_RULE_CONFIG, False))(lambda spark, sf: _trig_long(spark, sf))
+register("rules_custom_config", _posexplode_sql(CUSTOM_CONFIG, False))(
+    lambda spark, sf: _trig_long(spark, sf, CUSTOM_CONFIG)
+)
+
+
+@register(
+    "risk_factors",
+    _long_sql(DEFAULT_RULE_CONFIG, False)
+    + "select e.workflow_id, coalesce((select string_agg(message, '; ' order by rule_rank) from trig t "
+    "where t.workflow_id = e.workflow_id), 'No individual risk thresholds exceeded') as risk_factors from eng e",
+)
+def q_risk_factors(spark, sf):
+    w = tables.workflows(spark, sf)
+    from ..operators.features import engineer_features as _ef
+
+    return _ef(w).select("workflow_id", F.array_join(R.risk_factors(), "; ").alias("risk_factors"))
+
+
+@register(
+    "rule_messages",
+    O.with_ctes(
+        "select workflow_id, "
+        f"{O.sql_pct('sla_utilization')} as sla_pct, {O.sql_pct('rework_rate')} as rework_pct, "
+        f"{O.sql_pct('manual_step_ratio')} as manual_pct, {O.sql_pct('automation_score')} as automation_pct, "
+        f"cast({O.sql_int('error_count')} as varchar) as error_text, cast({O.sql_int('pending_items')} as varchar) as pending_text "
+        "from eng",
+        engineered="workflows",
+    ),
+)
+def q_rule_messages(spark, sf):
+    from ..functions.ratios import as_double
+    from ..functions.text import int_text, percent_text
+
+    e = engineer_features(tables.workflows(spark, sf))
+    return e.select(
+        "workflow_id",
+        percent_text(as_double("sla_utilization")).alias("sla_pct"),
+        percent_text(as_double("rework_rate")).alias("rework_pct"),
+        percent_text(as_double("manual_step_ratio")).alias("manual_pct"),
+        percent_text(as_double("automation_score")).alias("automation_pct"),
+        int_text(as_double("error_count")).alias("error_text"),
+        int_text(as_double("pending_items")).alias("pending_text"),
+    )
+
+
+# --- alerts and recommendations (A1-A8) ------------------------------------------
+
+_ALERT_SELECT = (
+    "select 'ALT-' || workflow_id || '-' || rule_type as alert_id, workflow_id, severity, rule_type as type, message, "
+    f"recommended_action, '{FIXED_STAMP}' as generated_at from trig"
+)
+
+
+@register("alerts", _long_sql(DEFAULT_RULE_CONFIG, True) + _ALERT_SELECT)
+def q_alerts(spark, sf):
+    # Validated input has unique ids, so no dedup shuffle is needed.
+    return A.generate_alerts(
+        _labeled_as_predicted(spark, sf), "predicted_risk", generated_at=FIXED_STAMP, dedup=False
+    )
+
+
+def _two_copies(spark, sf):
+    """The table twice: copy 1 has 1.5x elapsed hours, so other rules fire on the same ids."""
+    w = tables.workflows(spark, sf)
+    return w.withColumn("copy", F.lit(0)).unionByName(
+        w.withColumn("elapsed_hours", F.col("elapsed_hours") * F.lit(1.5)).withColumn("copy", F.lit(1))
+    )
+
+
+_TWO_COPIES_CTE = (
+    "dup as (select *, 0 as copy from workflows union all "
+    "select * replace (elapsed_hours * 1.5e0 as elapsed_hours), 1 as copy from workflows)"
+)
+
+
+@register(
+    "alerts_dedup",
+    O.with_ctes("", extra=_TWO_COPIES_CTE).rstrip()
+    + ",\n" + O.ENGINEERED_CTE.format(name="eng", src="dup").strip()
+    + ",\ntrig0 as (" + O.triggers_sql(DEFAULT_RULE_CONFIG, "eng", None, extra_cols="copy") + "),\n"
+    + "trig as (select * from (select *, row_number() over (partition by workflow_id, rule_type order by copy) rn "
+    "from trig0) where rn = 1)\n" + _ALERT_SELECT,
+)
+def q_alerts_dedup(spark, sf):
+    scored = R.with_triggers(_two_copies(spark, sf))
+    return A.alerts_from_scored(scored, FIXED_STAMP, dedup=True, order_col="copy")
+
+
+def _prediction_rows(spark, sf):
+    """Two predictions per id: the label (pos 0), then an SLA stand-in (pos 1) that must win."""
+    lab = tables.workflows_labeled(spark, sf)
+    u = F.col("elapsed_hours") / F.col("sla_hours")
+    stand_in = F.when(u >= 1, "high").when(u >= 0.8, "medium").otherwise("low")
+    return lab.select("workflow_id", F.col("risk_label").alias("predicted_risk"), F.lit(0).alias("pos")).unionByName(
+        lab.select("workflow_id", stand_in.alias("predicted_risk"), F.lit(1).alias("pos"))
+    )
+
+
+_PRED_ROWS_CTE = """
+predictions as (
+ select workflow_id, risk_label as predicted_risk, 0 as pos from workflows_labeled
+ union all
+ select workflow_id, case when elapsed_hours/sla_hours >= 1 then 'high' when elapsed_hours/sla_hours >= 0.8 then 'medium'
+  else 'low' end, 1 from workflows_labeled),
+latest as (select workflow_id, arg_max(predicted_risk, pos) as predicted_risk from predictions group by workflow_id),
+pw as (select w.*, l.predicted_risk from workflows w left join latest l using (workflow_id))
+"""
+
+
+@register(
+    "alerts_with_predictions",
+    O.with_ctes("", labeled=True, extra=_PRED_ROWS_CTE).rstrip()
+    + ",\n" + O.ENGINEERED_CTE.format(name="eng", src="pw").strip()
+    + ",\ntrig as (" + O.triggers_sql(DEFAULT_RULE_CONFIG, "eng", "predicted_risk") + ")\n" + _ALERT_SELECT,
+)
+def q_alerts_with_predictions(spark, sf):
+    return A.generate_alerts(
+        tables.workflows(spark, sf), _prediction_rows(spark, sf), generated_at=FIXED_STAMP, dedup=False, order_col="pos"
+    )
+
+
+_CATEGORY_SQL = (
+    "case rule_type when 'sla_breach' then 'escalate' when 'high_risk_escalation' then 'escalate' "
+    "when 'approaching_sla' then 'review_sla' when 'high_error' then 'investigate_errors' "
+    "when 'high_rework' then 'reduce_rework' when 'manual_automation_opportunity' then 'assess_automation' "
+    "when 'backlog_pressure' then 'rebalance_workload' end"
+)
+_FALLBACK_SQL = (
+    "select workflow_id, case when predicted_risk = 'medium' then 'monitor' else 'no_action' end as category, "
+    "case when predicted_risk = 'medium' then 'Continue monitoring; no immediate action required' "
+    "else 'No action needed at this time' end as message, "
+    "case when predicted_risk = 'medium' then 'No rule thresholds triggered, but the model predicts medium risk' "
+    "else 'No rule thresholds triggered and no elevated predicted risk' end as signal "
+    "from eng e where not exists (select 1 from trig t where t.workflow_id = e.workflow_id)"
+)
+
+
+@register(
+    "recommendations",
+    _long_sql(DEFAULT_RULE_CONFIG, True)
+    + f"select workflow_id, {_CATEGORY_SQL} as category, recommended_action as message, message as signal from trig "
+    + "union all " + _FALLBACK_SQL,
+)
+def q_recommendations(spark, sf):
+    return A.generate_recommendations(_labeled_as_predicted(spark, sf), "predicted_risk")
+
+
+@register("recommendation_fallback", _long_sql(DEFAULT_RULE_CONFIG, True) + _FALLBACK_SQL)
+def q_recommendation_fallback(spark, sf):
+    recs = A.generate_recommendations(_labeled_as_predicted(spark, sf), "predicted_risk")
+    return recs.where(F.col("category").isin("monitor", "no_action"))
+
+
+# --- KPIs (K1-K9) --------------------------------------------------------------------
+
+
+@register(
+    "kpi_volume",
+    O.with_ctes(
+        "select 'total' as dimension, 'all' as value, count(*) as n from workflows "
+        "union all select 'status', status, count(*) from workflows where status is not null group by status "
+        "union all select 'department', department, count(*) from workflows where department is not null group by department "
+        "union all select 'priority', priority, count(*) from workflows where priority is not null group by priority"
+    ),
+)
+def q_kpi_volume(spark, sf):
+    return kpis.volume_counts(tables.workflows(spark, sf))
+
+
+_SLA_SQL = (
+    "count(*) as total_workflows, coalesce(avg(sla_utilization), 0.0e0) as avg_sla_utilization, "
+    "count_if(sla_utilization >= 1.0e0) as sla_breach_count, "
+    "coalesce(count_if(sla_utilization >= 1.0e0) * 1.0e0 / nullif(count(*), 0), 0.0e0) as sla_breach_rate, "
+    "count_if(sla_utilization >= 0.8e0 and sla_utilization < 1.0e0) as sla_approaching_count, "
+    "coalesce(count_if(sla_utilization >= 0.8e0 and sla_utilization < 1.0e0) * 1.0e0 / nullif(count(*), 0), 0.0e0) "
+    "as sla_approaching_rate"
+)
+_EFF_SQL = (
+    "avg(manual_step_ratio) as avg_manual_step_ratio, avg(automation_score) as avg_automation_score, "
+    "avg(completion_rate) as avg_completion_rate, avg(avg_handling_time_minutes) as avg_handling_time_minutes, "
+    "avg(error_rate) as avg_error_rate, avg(rework_rate) as avg_rework_rate"
+)
+
+
+@register(
+    "kpi_sla",
+    O.with_ctes(
+        "select round(avg_sla_utilization, 9) as avg_sla_utilization, sla_breach_count, round(sla_breach_rate, 9) as "
+        "sla_breach_rate, sla_approaching_count, round(sla_approaching_rate, 9) as sla_approaching_rate from "
+        f"(select {_SLA_SQL} from eng)",
+        engineered="workflows",
+    ),
+)
+def q_kpi_sla(spark, sf):
+    k = kpis.sla_kpis(tables.workflows(spark, sf))
+    return k.select(
+        _r("avg_sla_utilization", 9), "sla_breach_count", _r("sla_breach_rate", 9), "sla_approaching_count",
+        _r("sla_approaching_rate", 9),
+    )
+
+
+@register(
+    "kpi_efficiency",
+    O.with_ctes(
+        "select " + ", ".join(f"round({c}, 6) as {c}" for c in kpis.EFFICIENCY_COLUMNS) + f" from (select {_EFF_SQL} from eng)",
+        engineered="workflows",
+    ),
+)
+def q_kpi_efficiency(spark, sf):
+    k = kpis.efficiency_kpis(tables.workflows(spark, sf))
+    return k.select(*[_r(c) for c in kpis.EFFICIENCY_COLUMNS])
+
+
+@register(
+    "kpi_risk_distribution",
+    O.with_ctes(
+        "select l.risk_label, count(w.risk_label) as n, "
+        "round(coalesce(count(w.risk_label) * 1.0e0 / nullif((select count(*) from workflows_labeled), 0), 0.0e0), 9) as share "
+        "from (values ('low'), ('medium'), ('high')) l(risk_label) left join workflows_labeled w on w.risk_label = l.risk_label "
+        "group by l.risk_label",
+        labeled=True,
+    ),
+)
+def q_kpi_risk_distribution(spark, sf):
+    d = kpis.risk_distribution(tables.workflows_labeled(spark, sf), "risk_label")
+    return d.select("risk_label", "n", _r("share", 9))
+
+
+def _summary_sql() -> str:
+    names = ["total_workflows", *kpis.SLA_METRICS, *kpis.EFFICIENCY_COLUMNS]
+    prefix = {n: "volume." if n == "total_workflows" else "sla." if n in kpis.SLA_METRICS else "efficiency." for n in names}
+    risk = []
+    for label in ("low", "medium", "high"):
+        risk.append(f"count_if(risk_label = '{label}') as risk_count_{label}")
+        risk.append(f"coalesce(count_if(risk_label = '{label}') * 1.0e0 / nullif(count(*), 0), 0.0e0) as risk_share_{label}")
+    keys = [(n, prefix[n] + n) for n in names]
+    for label in ("low", "medium", "high"):
+        keys += [(f"risk_count_{label}", f"risk.counts.{label}"), (f"risk_share_{label}", f"risk.shares.{label}")]
+    unpivot = " union all ".join(f"select '{k}' as metric, round(cast({c} as double), 6) as value from g" for c, k in keys)
+    return O.with_ctes(
+        unpivot, labeled=True, engineered="workflows_labeled",
+        extra=f"g as (select {_SLA_SQL}, {_EFF_SQL}, {', '.join(risk)} from eng)",
+    )
+
+
+@register("kpi_summary", _summary_sql())
+def q_kpi_summary(spark, sf):
+    long = kpis.kpi_metrics_long(tables.workflows_labeled(spark, sf), label_col="risk_label")
+    return long.select("metric", _r("value"))

@@ -97,3 +97,75 @@ def with_ctes(body: str, *, labeled: bool = False, dirty: bool = False, engineer
     if extra:
         parts.append(extra.strip())
     return "with " + ",\n".join(parts) + "\n" + body.strip()
+
+
+# --- rules in SQL ---------------------------------------------------------------
+
+_ACTIONS = {
+    "sla_breach": "Escalate to the process owner and expedite remaining steps immediately",
+    "approaching_sla": "Monitor closely and prioritize remaining steps before the SLA is breached",
+    "high_error": "Investigate the root cause of the elevated error count",
+    "high_rework": "Review rework triggers and quality checkpoints",
+    "manual_automation_opportunity": "Assess this workflow for automation to reduce manual effort",
+    "backlog_pressure": "Rebalance workload to reduce the pending item backlog",
+    "high_risk_escalation": "Escalate to an operations manager for review",
+}
+
+
+def sql_pct(x: str) -> str:
+    r = f"round_even(({x})*100.0e0, 0)"
+    return (
+        f"(case when ({x}) is null or isnan({x}) then 'nan%' when ({x}) = 'infinity'::double then 'inf%' "
+        f"when ({x}) = '-infinity'::double then '-inf%' else "
+        f"(case when ({x}) < 0 and {r} = 0 then '-' else '' end) || cast(cast({r} as bigint) as varchar) || '%' end)"
+    )
+
+
+def sql_int(x: str) -> str:
+    return f"cast(trunc(cast({x} as double)) as bigint)"
+
+
+def _lit(v: float) -> str:
+    return f"{float(v)!r}e0" if "e" not in repr(float(v)) else repr(float(v))
+
+
+def triggers_sql(cfg, src: str = "eng", pred: str | None = None, extra_cols: str = "") -> str:
+    """Long-form triggers (one row per fired rule) over an engineered view."""
+    warn, err, rew, man, auto, back = (
+        cfg.sla_warning_threshold,
+        cfg.high_error_threshold,
+        cfg.high_rework_rate,
+        cfg.high_manual_ratio,
+        cfg.low_automation_threshold,
+        cfg.backlog_threshold,
+    )
+    p = lambda v: format(v, ".0%")
+    sel = "select workflow_id, " + (extra_cols + ", " if extra_cols else "") + "{rank} rule_rank, '{rule}' rule_type, '{sev}' severity, {msg} message, '{act}' recommended_action from {src} where {cond}"
+    parts = [
+        sel.format(rank=1, rule="sla_breach", sev="critical", src=src, act=_ACTIONS["sla_breach"],
+                   msg=f"'SLA breached: utilization at ' || {sql_pct('sla_utilization')} || ' of the allotted window'",
+                   cond="sla_utilization >= 1.0e0"),
+        sel.format(rank=2, rule="approaching_sla", sev="warning", src=src, act=_ACTIONS["approaching_sla"],
+                   msg=f"'SLA utilization ' || {sql_pct('sla_utilization')} || ' at or above the {p(warn)} warning threshold'",
+                   cond=f"sla_utilization < 1.0e0 and sla_utilization >= {_lit(warn)}"),
+        sel.format(rank=3, rule="high_error", sev="warning", src=src, act=_ACTIONS["high_error"],
+                   msg=f"'Error count ' || {sql_int('error_count')} || ' at or above threshold {err}'",
+                   cond=f"error_count >= {_lit(err)}"),
+        sel.format(rank=4, rule="high_rework", sev="warning", src=src, act=_ACTIONS["high_rework"],
+                   msg=f"'Rework rate ' || {sql_pct('rework_rate')} || ' at or above the {p(rew)} threshold'",
+                   cond=f"rework_rate >= {_lit(rew)}"),
+        sel.format(rank=5, rule="manual_automation_opportunity", sev="info", src=src,
+                   act=_ACTIONS["manual_automation_opportunity"],
+                   msg=f"'Manual step ratio ' || {sql_pct('manual_step_ratio')} || ' / automation score ' || "
+                   f"{sql_pct('automation_score')} || ' indicate an automation opportunity'",
+                   cond=f"(coalesce(manual_step_ratio >= {_lit(man)}, false) or coalesce(automation_score <= {_lit(auto)}, false))"),
+        sel.format(rank=6, rule="backlog_pressure", sev="warning", src=src, act=_ACTIONS["backlog_pressure"],
+                   msg=f"'Pending items ' || {sql_int('pending_items')} || ' at or above backlog threshold {back}'",
+                   cond=f"pending_items >= {_lit(back)}"),
+    ]
+    if pred:
+        parts.append(
+            sel.format(rank=7, rule="high_risk_escalation", sev="critical", src=src, act=_ACTIONS["high_risk_escalation"],
+                       msg="'Model predicts high risk for this workflow'", cond=f"{pred} = 'high'")
+        )
+    return "\nunion all\n".join(parts)
