@@ -392,3 +392,123 @@ def _summary_sql() -> str:
 def q_kpi_summary(spark, sf):
     long = kpis.kpi_metrics_long(tables.workflows_labeled(spark, sf), label_col="risk_label")
     return long.select("metric", _r("value"))
+
+
+# --- data quality (V2-V10) ---------------------------------------------------------
+
+from ..operators import quality as Q  # noqa: E402
+from ..schema import CRITICAL_COLUMNS, NON_NEGATIVE_COLUMNS, UNIT_INTERVAL_COLUMNS  # noqa: E402
+
+
+def _dq_checks_sql() -> list[tuple[int, str, str, str | None, str]]:
+    out = []
+    for i, c in enumerate(CRITICAL_COLUMNS):
+        cond = f"{c} is null" + (f" or isnan({c})" if c in ("sla_hours", "elapsed_hours") else "")
+        out.append((10 + i, "error", "null_critical_field", c, cond))
+    for i, c in enumerate(NON_NEGATIVE_COLUMNS):
+        out.append((20 + i, "error", "negative_value", c, f"coalesce({c} < 0, false)"))
+    for i, c in enumerate(UNIT_INTERVAL_COLUMNS):
+        out.append((30 + i, "error", "unit_interval_bounds", c, f"coalesce({c} < 0 or {c} > 1, false)"))
+    out.append((40, "error", "impossible_sla", "sla_hours", "coalesce(sla_hours <= 0, false)"))
+    out.append((50, "error", "inconsistent_timestamps", None, "coalesce(updated_at < created_at, false)"))
+    out.append((60, "warning", "unknown_status", "status",
+                "not coalesce(status in ('open', 'in_progress', 'on_hold', 'completed', 'cancelled'), false)"))
+    return out
+
+
+def _dq_counts_sql() -> str:
+    parts = []
+    for rank, sev, check, col, cond in _dq_checks_sql():
+        over = f"count_if(coalesce({col} > 1, false))" if check == "unit_interval_bounds" else "0"
+        c = "null" if col is None else f"'{col}'"
+        parts.append(
+            f"select cast({rank} as bigint) as check_rank, '{sev}' as severity, '{check}' as \"check\", {c} as \"column\", "
+            f"count_if({cond}) as n, cast({over} as bigint) as n_over from workflows_dirty"
+        )
+    return "counts as (" + " union all ".join(parts) + ")"
+
+
+def _dq_sql(body: str) -> str:
+    return O.with_ctes(body, dirty=True, extra=_dq_counts_sql())
+
+
+def _dirty(spark, sf):
+    return tables.workflows_dirty(spark, sf)
+
+
+register("dq_duplicate_ids", O.with_ctes(
+    "select coalesce(workflow_id, 'nan') as workflow_id, count(*) as n from workflows_dirty group by 1 having count(*) > 1",
+    dirty=True,
+))(lambda spark, sf: Q.duplicate_ids(_dirty(spark, sf)))
+
+
+def _counts_of(check: str, cols: tuple[str, ...]):
+    def q(spark, sf):
+        c = Q.check_counts(_dirty(spark, sf)).where((F.col("check") == check) & (F.col("n") > 0))
+        return c.select(*cols)
+
+    return q
+
+
+for _key, _check, _cols in (
+    ("dq_null_critical", "null_critical_field", ("column", "n")),
+    ("dq_negative", "negative_value", ("column", "n")),
+    ("dq_unit_interval", "unit_interval_bounds", ("column", "n", "n_over")),
+    ("dq_impossible_sla", "impossible_sla", ("n",)),
+    ("dq_timestamp_order", "inconsistent_timestamps", ("n",)),
+):
+    _sel = ", ".join('"column"' if c == "column" else c for c in _cols)
+    register(_key, _dq_sql(f"select {_sel} from counts where \"check\" = '{_check}' and n > 0"))(_counts_of(_check, _cols))
+
+
+register("dq_unknown_status", O.with_ctes(
+    "select coalesce(status, 'nan') as value, count(*) as n from workflows_dirty "
+    "where not coalesce(status in ('open', 'in_progress', 'on_hold', 'completed', 'cancelled'), false) group by 1",
+    dirty=True,
+))(lambda spark, sf: Q.unknown_status_values(_dirty(spark, sf)))
+
+
+def _violations_sql() -> str:
+    parts = []
+    for rank, _sev, check, col, cond in _dq_checks_sql():
+        c = "cast(null as varchar)" if col is None else f"'{col}'"
+        parts.append(
+            f"select cast({rank} as bigint) as check_rank, '{check}' as \"check\", {c} as \"column\", "
+            f"coalesce(workflow_id, 'nan') as workflow_id from workflows_dirty where {cond}"
+        )
+    return O.with_ctes(" union all ".join(parts), dirty=True)
+
+
+register("dq_violations", _violations_sql())(lambda spark, sf: Q.violations(_dirty(spark, sf)))
+
+
+def _issue_report_sql() -> str:
+    def lst(sql_values: str) -> str:
+        return f"(select '[' || string_agg('''' || v || '''', ', ' order by v) || ']' from ({sql_values}))"
+
+    dup_vals = "select coalesce(workflow_id, 'nan') as v from workflows_dirty group by 1 having count(*) > 1"
+    unk_vals = (
+        "select distinct coalesce(status, 'nan') as v from workflows_dirty "
+        "where not coalesce(status in ('open', 'in_progress', 'on_hold', 'completed', 'cancelled'), false)"
+    )
+    msg = (
+        "case \"check\" "
+        "when 'null_critical_field' then 'Column ''' || \"column\" || ''' has ' || n || ' null value(s)' "
+        "when 'negative_value' then 'Column ''' || \"column\" || ''' has ' || n || ' negative value(s)' "
+        "when 'unit_interval_bounds' then 'Column ''' || \"column\" || ''' has ' || n || ' value(s) outside [0, 1]' || "
+        "case when n_over > 0 then ' (' || n_over || '" + Q.OVER_ONE_HINT + "' else '' end "
+        "when 'impossible_sla' then 'Column ''sla_hours'' has ' || n || ' value(s) <= 0' "
+        "when 'inconsistent_timestamps' then n || ' row(s) have updated_at before created_at' "
+        "when 'unknown_status' then 'Unrecognized status value(s): ' || " + lst(unk_vals) + " end"
+    )
+    body = (
+        "select cast(1 as bigint) as check_rank, 'error' as severity, 'duplicate_workflow_id' as \"check\", "
+        f"'workflow_id' as \"column\", (select count(*) from ({dup_vals})) as n, "
+        f"'Duplicate workflow_id values found: ' || {lst(dup_vals)} as message "
+        f"where (select count(*) from ({dup_vals})) > 0 "
+        f"union all select check_rank, severity, \"check\", \"column\", n, {msg} as message from counts where n > 0"
+    )
+    return _dq_sql(body)
+
+
+register("dq_issue_report", _issue_report_sql())(lambda spark, sf: Q.issue_report(_dirty(spark, sf)))
