@@ -512,3 +512,164 @@ def _issue_report_sql() -> str:
 
 
 register("dq_issue_report", _issue_report_sql())(lambda spark, sf: Q.issue_report(_dirty(spark, sf)))
+
+
+# --- report views (J1-J11, P12, P13) and metrics (M8-M10) -------------------------------
+
+from ..operators import evaluation as EV  # noqa: E402
+from ..operators import views as V  # noqa: E402
+
+SEL_RISK = ("high", "medium")
+SEL_DEPARTMENT = ("AUTOMOBILE", "BUILDING", "MACHINERY")
+SEL_PRIORITY = ("urgent", "high", "medium")
+
+_PREDS_CTE = """
+eng as (select * from ({eng}) ),
+trig as ({trig}),
+preds as (
+ select we.workflow_id,
+  case when draw < el/(el+em+eh) then 'low' when draw < (el+em)/(el+em+eh) then 'medium' else 'high' end as predicted_risk,
+  round(el/(el+em+eh), 9) as risk_probability_low, round(em/(el+em+eh), 9) as risk_probability_medium,
+  round(eh/(el+em+eh), 9) as risk_probability_high,
+  coalesce((select string_agg(message, '; ' order by rule_rank) from trig t where t.workflow_id = we.workflow_id),
+   'No individual risk thresholds exceeded') as risk_factors
+ from we),
+enriched as (select p.*, w.department, w.status, w.priority from preds p left join workflows w using (workflow_id)),
+filtered as (select * from enriched where predicted_risk in ('high', 'medium')
+  and department in ('AUTOMOBILE', 'BUILDING', 'MACHINERY') and status is not null
+  and priority in ('urgent', 'high', 'medium'))
+"""
+
+
+def _views_sql(body: str, with_alerts: bool = False) -> str:
+    eng_inner = O.ENGINEERED_CTE.format(name="x", src="workflows").strip()
+    eng_inner = eng_inner[eng_inner.index("(") + 1: eng_inner.rindex(")")]
+    extra = _PREDS_CTE.format(eng=eng_inner, trig=O.triggers_sql(DEFAULT_RULE_CONFIG, "eng", None))
+    if with_alerts:
+        extra += (
+            ",\npeng as (select e.*, p.predicted_risk from eng e join preds p using (workflow_id)),\n"
+            "ptrig as (" + O.triggers_sql(DEFAULT_RULE_CONFIG, "peng", "predicted_risk") + "),\n"
+            "alerts as (select 'ALT-' || workflow_id || '-' || rule_type as alert_id, workflow_id, severity, "
+            "rule_type as type, message, recommended_action, '" + FIXED_STAMP + "' as generated_at from ptrig),\n"
+            "recs as (select workflow_id, " + _CATEGORY_SQL + " as category, recommended_action as message, "
+            "message as signal from ptrig union all " + _FALLBACK_SQL.replace("from eng e", "from peng e").replace(
+                "from trig t", "from ptrig t") + ")"
+        )
+    return O.with_ctes(body, labeled=True, extra=extra)
+
+
+def _enriched(spark, sf):
+    return V.enrich_predictions(tables.standin_predictions(spark, sf), tables.workflows(spark, sf))
+
+
+def _filtered(spark, sf):
+    return V.filter_predictions(_enriched(spark, sf), SEL_RISK, SEL_DEPARTMENT, None, SEL_PRIORITY)
+
+
+def _view_alerts(spark, sf):
+    preds = tables.standin_predictions(spark, sf).select("workflow_id", "predicted_risk")
+    return A.generate_alerts(tables.workflows(spark, sf), preds, generated_at=FIXED_STAMP, dedup=False)
+
+
+def _view_recs(spark, sf):
+    preds = tables.standin_predictions(spark, sf).select("workflow_id", "predicted_risk")
+    return A.generate_recommendations(tables.workflows(spark, sf), preds)
+
+
+register("predictions_enriched", _views_sql("select * from enriched"))(_enriched)
+register("filter_predictions", _views_sql("select * from filtered"))(_filtered)
+register("filter_options", _views_sql(
+    "select 'department' as \"column\", department as value from enriched where department is not null group by 2 "
+    "union all select 'status', status from enriched where status is not null group by 2 "
+    "union all select 'priority', priority from enriched where priority is not null group by 2"
+))(lambda spark, sf: V.filter_options(_enriched(spark, sf)))
+register("alerts_filtered", _views_sql(
+    "select * from alerts where workflow_id in (select workflow_id from filtered)", with_alerts=True
+))(lambda spark, sf: V.restrict_to_ids(_view_alerts(spark, sf), _filtered(spark, sf)))
+register("recommendations_filtered", _views_sql(
+    "select * from recs where workflow_id in (select workflow_id from filtered)", with_alerts=True
+))(lambda spark, sf: V.restrict_to_ids(_view_recs(spark, sf), _filtered(spark, sf)))
+register("alert_severity_counts", _views_sql(
+    "select severity, count(*) as n from alerts group by severity", with_alerts=True
+))(lambda spark, sf: V.alert_severity_counts(_view_alerts(spark, sf)))
+register("recommendation_category_counts", _views_sql(
+    "select category, count(*) as n from recs group by category", with_alerts=True
+))(lambda spark, sf: V.recommendation_category_counts(_view_recs(spark, sf)))
+register("risk_monitor", _views_sql(
+    "select workflow_id, department, status, priority, predicted_risk, risk_probability_low, risk_probability_medium, "
+    "risk_probability_high, risk_factors from filtered"
+))(lambda spark, sf: V.risk_monitor(_filtered(spark, sf)))
+
+
+@register("executive_overview", _views_sql(
+    "select (select count(*) from workflows) as total_workflows, "
+    "round((select count_if(sla_utilization >= 1.0e0) * 1.0e0 / count(*) from eng), 9) as sla_breach_rate, "
+    "count(*) as filtered_workflows, count_if(predicted_risk = 'high') as high_risk_filtered, "
+    "count_if(predicted_risk = 'low') as risk_low, count_if(predicted_risk = 'medium') as risk_medium, "
+    "count_if(predicted_risk = 'high') as risk_high from filtered"
+))
+def q_executive_overview(spark, sf):
+    k = kpis.sla_kpis(tables.workflows(spark, sf)).select(F.round("sla_breach_rate", 9).alias("sla_breach_rate"))
+    total = tables.workflows(spark, sf).agg(F.count(F.lit(1)).alias("total_workflows"))
+    kk = total.select("total_workflows", F.lit(None).cast("double").alias("sla_breach_rate")).unionByName(
+        k.select(F.lit(None).cast("bigint").alias("total_workflows"), "sla_breach_rate")
+    ).agg(F.max("total_workflows").alias("total_workflows"), F.max("sla_breach_rate").alias("sla_breach_rate"))
+    return V.executive_overview(kk, _filtered(spark, sf))
+
+
+def _label_vs_standin(spark, sf):
+    lab = tables.workflows_labeled(spark, sf)
+    u = F.col("elapsed_hours") / F.col("sla_hours")
+    return lab.withColumn("stand_in", F.when(u >= 1, "high").when(u >= 0.8, "medium").otherwise("low"))
+
+
+_STANDIN_CTE = (
+    "scored as (select risk_label, case when elapsed_hours/sla_hours >= 1 then 'high' "
+    "when elapsed_hours/sla_hours >= 0.8 then 'medium' else 'low' end as stand_in from workflows_labeled)"
+)
+
+
+@register("confusion_matrix", O.with_ctes(
+    "select l.actual, count_if(s.stand_in = 'low') as low, count_if(s.stand_in = 'medium') as medium, "
+    "count_if(s.stand_in = 'high') as high from (values ('low'), ('medium'), ('high')) l(actual) "
+    "left join scored s on s.risk_label = l.actual group by l.actual",
+    labeled=True, extra=_STANDIN_CTE,
+))
+def q_confusion_matrix(spark, sf):
+    return V.confusion_matrix_view(EV.confusion_long(_label_vs_standin(spark, sf), "risk_label", "stand_in"))
+
+
+def _metrics_sql() -> str:
+    labels = ("low", "medium", "high")
+    cnt = ["count(*) as n_total", "count_if(risk_label = stand_in) as n_correct"]
+    for c in labels:
+        cnt += [f"count_if(risk_label = '{c}' and stand_in = '{c}') as tp_{c}", f"count_if(risk_label = '{c}') as sup_{c}",
+                f"count_if(stand_in = '{c}') as pred_{c}"]
+
+    def d(n, m):
+        return f"coalesce({n} * 1.0e0 / nullif({m}, 0), 0.0e0)"
+
+    prec = {c: d(f"tp_{c}", f"pred_{c}") for c in labels}
+    rec = {c: d(f"tp_{c}", f"sup_{c}") for c in labels}
+    f1 = {c: d(f"2 * tp_{c}", f"sup_{c} + pred_{c}") for c in labels}
+    tot = "(" + " + ".join(f"sup_{c}" for c in labels) + ")"
+
+    def macro(m):
+        return "(" + " + ".join(m[c] for c in labels) + ") / 3.0e0"
+
+    def weighted(m):
+        return d("(" + " + ".join(f"{m[c]} * sup_{c}" for c in labels) + ")", tot)
+
+    sel = [
+        f"round({d('n_correct', 'n_total')}, 9) as accuracy",
+        f"round({macro(prec)}, 9) as precision_macro", f"round({macro(rec)}, 9) as recall_macro",
+        f"round({macro(f1)}, 9) as f1_macro", f"round({weighted(prec)}, 9) as precision_weighted",
+        f"round({weighted(rec)}, 9) as recall_weighted", f"round({weighted(f1)}, 9) as f1_weighted",
+    ] + [f"sup_{c} as support_{c}" for c in labels]
+    return O.with_ctes(f"select {', '.join(sel)} from (select {', '.join(cnt)} from scored)", labeled=True, extra=_STANDIN_CTE)
+
+
+@register("classification_metrics", _metrics_sql())
+def q_classification_metrics(spark, sf):
+    m = EV.metrics_frame(_label_vs_standin(spark, sf), "risk_label", "stand_in")
+    return m.select(*[_r(c, 9) for c in EV.METRIC_NAMES], *[f"support_{c}" for c in ("low", "medium", "high")])

@@ -171,3 +171,24 @@ __all__ = [
     "with_risk_score",
     "safe_ratio",
 ]
+
+
+def standin_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction-shaped frame without a model, for exact checks of the report views.
+
+    predicted_risk is the soft label; the probabilities are the soft label's
+    class distribution (rounded to 9 places); risk_factors are the rule texts."""
+    from ..functions.scoring import CLASS_CENTRES, TEMPERATURE
+    from ..operators.features import engineer_features
+    from ..operators.rules import risk_factors
+
+    base = engineer_features(with_risk_score(workflows(spark, sf_dir)))
+    s = F.col("risk_score")
+    e = {k: F.exp(-F.abs(s - F.lit(c)) / F.lit(TEMPERATURE)) for k, c in CLASS_CENTRES.items()}
+    total = e["low"] + e["medium"] + e["high"]
+    return base.select(
+        "workflow_id",
+        soft_label(s, portable_uniform(workflow_key(base))).alias("predicted_risk"),
+        *[F.round(e[k] / total, 9).alias(f"risk_probability_{k}") for k in ("low", "medium", "high")],
+        F.array_join(risk_factors(), "; ").alias("risk_factors"),
+    )
