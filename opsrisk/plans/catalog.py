@@ -673,3 +673,71 @@ def _metrics_sql() -> str:
 def q_classification_metrics(spark, sf):
     m = EV.metrics_frame(_label_vs_standin(spark, sf), "risk_label", "stand_in")
     return m.select(*[_r(c, 9) for c in EV.METRIC_NAMES], *[f"support_{c}" for c in ("low", "medium", "high")])
+
+
+# --- sources and sinks (S1, S2, S4, S5, S7) ----------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as IO  # noqa: E402
+
+
+@register("scan_workflows", O.with_ctes("select * from workflows"))
+def q_scan_workflows(spark, sf):
+    """Round trip through the CSV scanner: write the table as CSV text, scan it back typed."""
+    path = scratch_path(spark, "workflows-csv")
+    IO._write_csv(tables.workflows(spark, sf), path)
+    return IO.load_workflow_data(spark, path, "csv")
+
+
+@register("parse_timestamps", O.with_ctes(
+    "select workflow_id, case when cast(substr(workflow_id, 4) as bigint) % 13 = 0 then null else created_at end "
+    "as created_at, updated_at from workflows"
+))
+def q_parse_timestamps(spark, sf):
+    w = tables.workflows(spark, sf)
+    k = tables.workflow_key(w)
+    text = w.select(
+        "workflow_id",
+        F.when(k % 13 == 0, F.lit("not a date")).otherwise(F.col("created_at").cast("string")).alias("created_at"),
+        F.col("updated_at").cast("string").alias("updated_at"),
+    )
+    return IO.parse_timestamps(text)
+
+
+@register("predictions_flat", _views_sql("select * from preds"))
+def q_predictions_flat(spark, sf):
+    p = tables.standin_predictions(spark, sf)
+    nested = p.select(
+        "workflow_id",
+        "predicted_risk",
+        F.create_map(*[x for k in ("low", "medium", "high") for x in (F.lit(k), F.col(f"risk_probability_{k}"))]).alias(
+            "risk_probability"
+        ),
+        F.split("risk_factors", "; ").alias("risk_factors"),
+    )
+    return IO.predictions_flat(nested)
+
+
+@register("alerts_csv_roundtrip", _long_sql(DEFAULT_RULE_CONFIG, True) + _ALERT_SELECT)
+def q_alerts_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "alerts-csv")
+    IO.save_alerts(q_alerts(spark, sf), path)
+    return IO._read_csv(spark, path, IO.ALERTS_SCHEMA)
+
+
+@register("kpi_summary_json", _long_sql(DEFAULT_RULE_CONFIG, True) + (
+    "select (select count(*) from eng) as total_workflows, "
+    "(select count_if(sla_utilization >= 1.0e0) from eng) as sla_breach_count, "
+    "(select count(distinct department) from eng) as n_departments, "
+    "(select count_if(predicted_risk = 'high') from eng) as risk_high"
+))
+def q_kpi_summary_json(spark, sf):
+    path = scratch_path(spark, "kpi") + ".json"
+    IO.save_json(spark, kpis.build_kpi_summary(_labeled_as_predicted(spark, sf), "predicted_risk"), path)
+    back = spark.read.option("multiLine", True).json(path)
+    return back.select(
+        F.col("volume.total_workflows").alias("total_workflows"),
+        F.col("sla.sla_breach_count").alias("sla_breach_count"),
+        F.size("by_department").cast("bigint").alias("n_departments"),
+        F.col("risk.counts.high").alias("risk_high"),
+    )
