@@ -741,3 +741,250 @@ def q_kpi_summary_json(spark, sf):
         F.size("by_department").cast("bigint").alias("n_departments"),
         F.col("risk.counts.high").alias("risk_high"),
     )
+
+
+# --- preprocessing, split, weights, models (F1-F5, M1-M7, M12, J10, L1) ---------------------
+
+from ..operators import models as M  # noqa: E402
+from ..operators import preprocessing as P  # noqa: E402
+from ..operators.selection import exact_medians  # noqa: E402
+from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, RISK_LABELS  # noqa: E402
+
+QUERY_TREES = 20
+QUERY_DEPTH = 10
+
+
+def _portable_key(df):
+    return (tables.workflow_key(df) * F.lit(2654435761) + F.lit(42)) % F.lit(4294967296)
+
+
+_PORTABLE_KEY_SQL = "(cast(substr(workflow_id, 4) as bigint) * 2654435761 + 42) % 4294967296"
+
+
+@register("prep_medians", O.with_ctes(
+    " union all ".join(f"select '{c}' as feature, round(cast(median({c}) as double), 9) as median from eng" for c in NUMERIC_FEATURES),
+    engineered="workflows",
+))
+def q_prep_medians(spark, sf):
+    meds = exact_medians(engineer_features(tables.workflows(spark, sf)), list(NUMERIC_FEATURES))
+    return spark.createDataFrame([(c, meds[c]) for c in NUMERIC_FEATURES], "feature string, median double").select(
+        "feature", _r("median", 9)
+    )
+
+
+@register("prep_scaled", O.with_ctes(
+    " union all ".join(
+        f"select '{c}' as feature, round(avg(coalesce({c}, (select median({c}) from eng))), 6) as mean, "
+        f"round(stddev_pop(coalesce({c}, (select median({c}) from eng))), 6) as std from eng"
+        for c in NUMERIC_FEATURES
+    ),
+    engineered="workflows",
+))
+def q_prep_scaled(spark, sf):
+    s = P.fit_statistics(engineer_features(tables.workflows(spark, sf)), list(NUMERIC_FEATURES), [])
+    rows = [(c, s["mean"][c], s["scale"][c]) for c in NUMERIC_FEATURES]
+    return spark.createDataFrame(rows, "feature string, mean double, std double").select("feature", _r("mean"), _r("std"))
+
+
+@register("prep_modes", O.with_ctes(
+    " union all ".join(
+        f"select * from (select '{c}' as feature, {c} as mode from workflows where {c} is not null group by {c} "
+        f"order by count(*) desc, {c} asc limit 1)"
+        for c in CATEGORICAL_FEATURES
+    )
+))
+def q_prep_modes(spark, sf):
+    return P.category_modes(tables.workflows(spark, sf), list(CATEGORICAL_FEATURES))
+
+
+def _fitted_prep(spark, sf):
+    w = engineer_features(tables.workflows(spark, sf))
+    return w, P.WorkflowPreprocessor().fit(w)
+
+
+@register("prep_onehot", O.with_ctes(
+    " union all ".join(
+        f"select workflow_id, '{c}' as feature, cast(dense_rank() over (order by {c}) - 1 as bigint) as slot from workflows"
+        for c in CATEGORICAL_FEATURES
+    )
+))
+def q_prep_onehot(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    w, prep = _fitted_prep(spark, sf)
+    arr = prep.transform(w).select("workflow_id", vector_to_array("features").alias("v"))
+    stats = prep.stats()
+    start = len(NUMERIC_FEATURES) + 1
+    parts = []
+    for c in CATEGORICAL_FEATURES:
+        width = len(stats["categories"][c])
+        block = F.slice("v", start, width)
+        parts.append(arr.select("workflow_id", F.lit(c).alias("feature"),
+                                (F.array_position(block, F.lit(1.0)) - 1).alias("slot")))
+        start += width
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("prep_features", O.with_ctes(
+    "select count(*) as n_rows, 16 + count(distinct department) + count(distinct status) + count(distinct priority) "
+    "as vector_size, count(*) as n_finite from workflows"
+))
+def q_prep_features(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    w, prep = _fitted_prep(spark, sf)
+    v = prep.transform(w).select(vector_to_array("features").alias("v"))
+    finite = F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return v.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.size("v")).cast("bigint").alias("vector_size"),
+        F.count_if(finite).alias("n_finite"),
+    )
+
+
+_ALLOC_CTE = """
+cnt as (select risk_label, count(*) as n_c from workflows_labeled group by 1),
+tot as (select sum(n_c) as n, sum(n_c) - cast(ceil(0.2e0 * sum(n_c)) as bigint) as n_train from cnt),
+alloc0 as (select risk_label, n_c, n_train * n_c * 1.0e0 / n as ex, floor(n_train * n_c * 1.0e0 / n) as fl from cnt, tot),
+alloc as (select risk_label, cast(fl as bigint) + case when row_number() over (order by ex - fl desc, risk_label)
+  <= (select n_train from tot) - (select sum(fl) from alloc0) then 1 else 0 end as k_c from alloc0),
+ranked as (select workflow_id, risk_label, k, row_number() over (partition by risk_label order by skey, workflow_id) as rn
+  from (select *, cast(substr(workflow_id, 4) as bigint) as k, {key} as skey from workflows_labeled)),
+splits as (select r.workflow_id, r.risk_label, r.k, case when rn <= k_c then 'train' else 'test' end as split
+  from ranked r join alloc using (risk_label))
+""".format(key=_PORTABLE_KEY_SQL)
+
+
+def _portable_split(spark, sf):
+    lab = tables.workflows_labeled(spark, sf)
+    return M.stratified_split(lab, 0.2, order_key=_portable_key(lab))
+
+
+@register("stratified_split", O.with_ctes("select workflow_id, split from splits", labeled=True, extra=_ALLOC_CTE))
+def q_stratified_split(spark, sf):
+    train, test = _portable_split(spark, sf)
+    return train.select("workflow_id", F.lit("train").alias("split")).unionByName(
+        test.select("workflow_id", F.lit("test").alias("split"))
+    )
+
+
+@register("class_weights", O.with_ctes(
+    "select risk_label, n_c as n, round((select sum(n_c) from cnt) * 1.0e0 / ((select count(*) from cnt) * n_c), 9) "
+    "as weight from cnt",
+    labeled=True, extra="cnt as (select risk_label, count(*) as n_c from workflows_labeled group by 1)",
+))
+def q_class_weights(spark, sf):
+    counts = M.class_counts(tables.workflows_labeled(spark, sf))
+    w = M.balanced_weights(counts)
+    rows = [(c, counts[c], w[c]) for c in sorted(counts)]
+    return spark.createDataFrame(rows, "risk_label string, n bigint, weight double").select("risk_label", "n", _r("weight", 9))
+
+
+_DUMMY_U_SQL = "((k * 7919 + 13) % 10007) / 10007.0e0"
+
+
+@register("dummy_predictions", O.with_ctes(
+    f"select workflow_id, case when {_DUMMY_U_SQL} < p_high then 'high' when {_DUMMY_U_SQL} < p_high + p_low then 'low' "
+    "else 'medium' end as predicted_risk from splits, pri where split = 'test'",
+    labeled=True,
+    extra=_ALLOC_CTE.strip() + ",\npri as (select count_if(risk_label = 'high') * 1.0e0 / count(*) as p_high, "
+    "count_if(risk_label = 'low') * 1.0e0 / count(*) as p_low from splits where split = 'train')",
+))
+def q_dummy_predictions(spark, sf):
+    train, test = _portable_split(spark, sf)
+    k = tables.workflow_key(test)
+    test = test.withColumn("u", ((k * F.lit(7919) + F.lit(13)) % F.lit(10007)) / F.lit(10007.0))
+    model = M.dummy_pipeline(uniform_col="u").fit(train)
+    return M.predict(model, test).select("workflow_id", "predicted_risk")
+
+
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf):
+    """One training per (session, scale) for the model-backed queries."""
+    from .train import train_and_evaluate
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = train_and_evaluate(tables.workflows_labeled(spark, sf), num_trees=QUERY_TREES, max_depth=QUERY_DEPTH)
+    return _TRAINED[key]
+
+
+def _prediction_invariants(scored):
+    total = F.aggregate(F.map_values("risk_probability"), F.lit(0.0), lambda a, x: a + x)
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("predicted_risk").isin(*RISK_LABELS)).alias("n_valid_label"),
+        F.count_if(F.abs(total - F.lit(1.0)) < F.lit(1e-6)).alias("n_prob_sum_one"),
+        F.count_if(F.size("risk_factors") > 0).alias("n_with_factors"),
+    )
+
+
+_INVARIANT_SQL = O.with_ctes(
+    "select count(*) as n_rows, count(*) as n_valid_label, count(*) as n_prob_sum_one, count(*) as n_with_factors from workflows"
+)
+
+
+@register("rf_predictions", _INVARIANT_SQL)
+def q_rf_predictions(spark, sf):
+    from .pipeline import score
+
+    return _prediction_invariants(score(tables.workflows(spark, sf), _trained(spark, sf).model))
+
+
+@register("lr_predictions", _INVARIANT_SQL)
+def q_lr_predictions(spark, sf):
+    from .pipeline import score
+
+    lab = tables.workflows_labeled(spark, sf)
+    train, _ = M.stratified_split(lab)
+    frame, labels, total = M.prepared_training_frame(train)
+    lr = M.logistic_pipeline(labels, total).fit(frame)
+    return _prediction_invariants(score(tables.workflows(spark, sf), lr))
+
+
+@register("train_report", O.with_ctes(
+    "select n - cast(ceil(0.2e0 * n) as bigint) as n_train_rows, cast(ceil(0.2e0 * n) as bigint) as n_test_rows, "
+    "3 as n_labels, 2 as n_baselines from (select count(*) as n from workflows_labeled)",
+    labeled=True,
+))
+def q_train_report(spark, sf):
+    md = _trained(spark, sf).metadata
+    return spark.createDataFrame(
+        [(md["n_train_rows"], md["n_test_rows"], len(md["risk_labels"]), len(md["baseline_comparison"]))],
+        "n_train_rows bigint, n_test_rows bigint, n_labels int, n_baselines int",
+    )
+
+
+@register("model_comparison", "select * from (values ('logistic_regression', true), ('dummy', true), "
+          "('random_forest (primary)', true)) t(model, metrics_in_range)")
+def q_model_comparison(spark, sf):
+    v = V.model_comparison(spark, _trained(spark, sf).metadata)
+    ok = F.lit(True)
+    for c in ("accuracy", "f1_macro", "f1_weighted"):
+        ok = ok & (F.col(c) >= 0) & (F.col(c) <= 1)
+    return v.select("model", ok.alias("metrics_in_range"))
+
+
+@register("pipeline_counts", _long_sql(DEFAULT_RULE_CONFIG, False) + (
+    "select (select count(*) from workflows) as n_predictions, (select count(*) from trig) as n_rule_alerts, "
+    "(select count(*) from workflows) as total_workflows"
+))
+def q_pipeline_counts(spark, sf):
+    from .pipeline import run_pipeline
+
+    res = run_pipeline(spark, tables.workflows(spark, sf), model_path="", model=_trained(spark, sf).model,
+                       generated_at=FIXED_STAMP)
+    n_pred = res.predictions.agg(F.count(F.lit(1)).alias("n_predictions"))
+    n_alerts = res.alerts.where(F.col("type") != "high_risk_escalation").agg(F.count(F.lit(1)).alias("n_rule_alerts"))
+    total = res.kpi_summary["volume"]["total_workflows"]
+    both = n_pred.select("n_predictions", F.lit(None).cast("bigint").alias("n_rule_alerts")).unionByName(
+        n_alerts.select(F.lit(None).cast("bigint").alias("n_predictions"), "n_rule_alerts")
+    )
+    return both.agg(F.max("n_predictions").alias("n_predictions"), F.max("n_rule_alerts").alias("n_rule_alerts")).withColumn(
+        "total_workflows", F.lit(total).cast("bigint")
+    )
