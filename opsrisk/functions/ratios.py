@@ -15,14 +15,15 @@ def as_double(c: Column | str) -> Column:
     true), so every numeric read in a comparison goes through here.
     """
     col = F.col(c) if isinstance(c, str) else c
-    d = col.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    # nanvl references the value once, which keeps nested expressions small
+    return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))
 
 
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:
     """numerator / denominator, 0.0 when either side is missing, d == 0 or the result is ±inf/NaN."""
     r = F.try_divide(as_double(numerator), as_double(denominator))
-    return F.coalesce(F.when(~F.isnan(r) & (F.abs(r) != F.lit(_INF)), r), F.lit(0.0))
+    # NaN compares above +inf in Spark, so `abs(r) < inf` rejects NaN, ±inf and null at once
+    return F.coalesce(F.when(F.abs(r) < F.lit(_INF), r), F.lit(0.0))
 
 
 def sla_utilization() -> Column:

@@ -25,6 +25,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The rule and score projections are wide; inferring constraints over
+        # them is super-linear in expression size (seconds of optimizer time
+        # per query) and adds no useful filter to these plans.
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .config("spark.driver.memory", os.environ.get("OPSRISK_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions:
