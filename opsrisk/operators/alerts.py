@@ -95,14 +95,18 @@ def generate_alerts(
     """A2: alerts for every rule that fires, one run stamp for all.
 
     ``predictions`` is a column name already on ``df``, or a (workflow_id,
-    predicted_risk[, order]) frame looked up by id (A4), or None (no R7).
+    predicted_risk[, order_col]) frame looked up by id (A4: the last row in
+    ``order_col`` order wins), or None (no R7). ``order_col`` on ``df`` fixes
+    which duplicate row comes first for the dedup (A3); without it the scan
+    order is used.
     """
     base, pred_col = _with_prediction(df, predictions, order_col)
     scored = with_triggers(base, cfg, pred_col)
-    if dedup and order_col is None:
-        order_col = "_row_pos"
-        scored = scored.withColumn(order_col, F.monotonically_increasing_id())
-    return alerts_from_scored(scored, generated_at, dedup, order_col)
+    dedup_col = order_col if order_col in df.columns else None
+    if dedup and dedup_col is None:
+        dedup_col = "_row_pos"
+        scored = scored.withColumn(dedup_col, F.monotonically_increasing_id())
+    return alerts_from_scored(scored, generated_at, dedup, dedup_col)
 
 
 def _with_prediction(df: DataFrame, predictions, order_col: str | None):
