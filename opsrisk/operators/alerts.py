@@ -49,7 +49,7 @@ def attach_predictions(df: DataFrame, predictions: DataFrame, order_col: str | N
     return base.join(latest_prediction(predictions, order_col), WORKFLOW_ID, "left")
 
 
-def _alert_rows(scored: DataFrame, generated_at: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def alert_rows(scored: DataFrame, generated_at: str, keep: tuple[str, ...] = ()) -> DataFrame:
     t = F.col("t")
     # explode_outer + filter: see rules.triggers_long (no inferred size() filter).
     exploded = scored.select(WORKFLOW_ID, *keep, F.explode_outer("triggers").alias("t")).where(F.col("t").isNotNull())
@@ -74,10 +74,10 @@ def alerts_from_scored(
     order; skip it when ids are known unique (validated input)."""
     stamp = generated_at or run_timestamp()
     if not dedup:
-        return _alert_rows(scored, stamp).select(*ALERT_COLUMNS)
+        return alert_rows(scored, stamp).select(*ALERT_COLUMNS)
     if order_col is None:
         raise ValueError("dedup needs an order column that fixes which duplicate row comes first")
-    rows = _alert_rows(scored, stamp, keep=(order_col,))
+    rows = alert_rows(scored, stamp, keep=(order_col,))
     first = rows.groupBy(WORKFLOW_ID, "type").agg(
         F.min_by(F.struct(*ALERT_COLUMNS), F.col(order_col)).alias("a")
     )
