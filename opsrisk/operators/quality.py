@@ -14,6 +14,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +91,44 @@ def row_checks(df: DataFrame) -> list[Check]:
     return checks
 
 
+STATUS_TEXT = "_status_text"
+
+
+def check_flags(df: DataFrame) -> DataFrame:
+    """One narrow row per input row: id text, status text and one boolean per check.
+
+    Every report branch reads this same projection, so the source is scanned
+    once per job (identical subtrees share their exchanges) and, when the
+    caller persists it, exactly once."""
+    cols = [_id_text().alias(WORKFLOW_ID), F.coalesce(F.col("status").cast("string"), F.lit("nan")).alias(STATUS_TEXT)]
+    cols += [ch.condition.alias(f"f{ch.rank}") for ch in row_checks(df)]
+    cols += [F.coalesce(as_double(c) > 1, F.lit(False)).alias(f"o{30 + i}") for i, c in enumerate(UNIT_INTERVAL_COLUMNS)]
+    return df.select(*cols)
+
+
+_CHECK_META = [(10 + i, ERROR, "null_critical_field", c) for i, c in enumerate(CRITICAL_COLUMNS)]
+_CHECK_META += [(20 + i, ERROR, "negative_value", c) for i, c in enumerate(NON_NEGATIVE_COLUMNS)]
+_CHECK_META += [(30 + i, ERROR, "unit_interval_bounds", c) for i, c in enumerate(UNIT_INTERVAL_COLUMNS)]
+_CHECK_META += [(40, ERROR, "impossible_sla", "sla_hours"), (50, ERROR, "inconsistent_timestamps", None),
+                (60, WARNING, "unknown_status", "status")]
+
+
+def _flags(df: DataFrame) -> DataFrame:
+    return df if STATUS_TEXT in df.columns else check_flags(df)
+
+
 def violations(df: DataFrame) -> DataFrame:
     """V9: one row per (violating row, check): check_rank, check, column, workflow_id (null id → 'nan').
 
     Distributed and whole; duplicate ids (V2) are in :func:`duplicate_ids`."""
+    f = _flags(df)
     items = [
-        F.when(ch.condition, F.struct(F.lit(ch.rank).alias("check_rank"), F.lit(ch.check).alias("check"),
-                                      F.lit(ch.column).cast("string").alias("column")))
-        for ch in row_checks(df)
+        F.when(F.col(f"f{rank}"), F.struct(F.lit(rank).alias("check_rank"), F.lit(check).alias("check"),
+                                            F.lit(col).cast("string").alias("column")))
+        for rank, _sev, check, col in _CHECK_META
     ]
     return (
-        df.select(_id_text().alias(WORKFLOW_ID), F.explode_outer(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("v"))
+        f.select(WORKFLOW_ID, F.explode_outer(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("v"))
         .where(F.col("v").isNotNull())
         .select(F.col("v.check_rank").cast("bigint").alias("check_rank"), "v.check", "v.column", WORKFLOW_ID)
     )
@@ -108,40 +136,35 @@ def violations(df: DataFrame) -> DataFrame:
 
 def duplicate_ids(df: DataFrame) -> DataFrame:
     """V2: (workflow_id, n) for every id seen more than once; null ids group together as 'nan'."""
-    return (
-        df.groupBy(_id_text().alias(WORKFLOW_ID))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-    )
+    return _flags(df).groupBy(WORKFLOW_ID).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
 def unknown_status_values(df: DataFrame) -> DataFrame:
     """V8 values: (value, n) of unrecognised statuses; null shows as 'nan'."""
     return (
-        df.where(_unknown_status())
-        .groupBy(F.coalesce(F.col("status").cast("string"), F.lit("nan")).alias("value"))
+        _flags(df).where(F.col("f60"))
+        .groupBy(F.col(STATUS_TEXT).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def check_counts(df: DataFrame) -> DataFrame:
     """V3-V8 counts from one aggregate pass: (check_rank, severity, check, column, n, n_over)."""
-    checks = row_checks(df)
-    aggs = [F.count_if(ch.condition).alias(f"c{ch.rank}") for ch in checks]
-    for i, c in enumerate(UNIT_INTERVAL_COLUMNS):
-        aggs.append(F.count_if(F.coalesce(as_double(c) > 1, F.lit(False))).alias(f"o{30 + i}"))
-    one = df.agg(*aggs)
+    f = _flags(df)
+    aggs = [F.count_if(F.col(f"f{rank}")).alias(f"c{rank}") for rank, *_ in _CHECK_META]
+    aggs += [F.count_if(F.col(f"o{30 + i}")).alias(f"o{30 + i}") for i in range(len(UNIT_INTERVAL_COLUMNS))]
+    one = f.agg(*aggs)
     rows = F.array(
         *[
             F.struct(
-                F.lit(ch.rank).cast("bigint").alias("check_rank"),
-                F.lit(ch.severity).alias("severity"),
-                F.lit(ch.check).alias("check"),
-                F.lit(ch.column).cast("string").alias("column"),
-                F.col(f"c{ch.rank}").alias("n"),
-                (F.col(f"o{ch.rank}") if ch.check == "unit_interval_bounds" else F.lit(0).cast("bigint")).alias("n_over"),
+                F.lit(rank).cast("bigint").alias("check_rank"),
+                F.lit(sev).alias("severity"),
+                F.lit(check).alias("check"),
+                F.lit(col).cast("string").alias("column"),
+                F.col(f"c{rank}").alias("n"),
+                (F.col(f"o{rank}") if check == "unit_interval_bounds" else F.lit(0).cast("bigint")).alias("n_over"),
             )
-            for ch in checks
+            for rank, sev, check, col in _CHECK_META
         ]
     )
     return one.select(F.inline(rows))
@@ -189,17 +212,27 @@ def _count_message(check: str) -> Column:
     raise ValueError(check)
 
 
-def issue_report(df: DataFrame, max_listed: int = DEFAULT_MAX_LISTED) -> DataFrame:
+def issue_report(df: DataFrame, max_listed: int = DEFAULT_MAX_LISTED, materialize: bool = False) -> DataFrame:
     """V10 as a frame: (check_rank, severity, check, column, n, message), only checks that found something.
 
-    Missing required columns short-circuit to the single V1 issue."""
-    missing = missing_required_columns(df)
+    Missing required columns short-circuit to the single V1 issue. With
+    ``materialize`` the narrow per-row flags are checkpointed first, so the
+    source is scanned once however many branches read them."""
+    missing = [] if STATUS_TEXT in df.columns else missing_required_columns(df)
     spark = df.sparkSession
     if missing:
         return spark.createDataFrame(
             [(0, ERROR, "required_columns", None, len(missing), f"Missing required columns: {missing}")],
             "check_rank bigint, severity string, check string, column string, n bigint, message string",
         )
+    df = _flags(df)
+    if materialize:
+        # The report reads the flags in several branches; a checkpoint in the
+        # shared folder makes that one scan of the source.
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        df = df.checkpoint(eager=True)
     dup = listed(duplicate_ids(df), WORKFLOW_ID, max_listed).select(
         F.lit(1).cast("bigint").alias("check_rank"), F.lit(ERROR).alias("severity"), F.lit("duplicate_workflow_id").alias("check"),
         F.lit(WORKFLOW_ID).alias("column"), "n", F.concat(F.lit("Duplicate workflow_id values found: "), F.col("text")).alias("message"),
@@ -274,7 +307,11 @@ def validate_workflow_data(df: DataFrame, max_listed: int = DEFAULT_MAX_LISTED)
     missing = missing_required_columns(df)
     if missing:
         return ValidationResult([ValidationIssue(ERROR, "required_columns", f"Missing required columns: {missing}", None, len(missing))])
-    rows = issue_report(df, max_listed).orderBy("check_rank").collect()
+    flags = check_flags(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = issue_report(flags, max_listed).orderBy("check_rank").collect()
+    finally:
+        flags.unpersist()
     issues = [ValidationIssue(r["severity"], r["check"], r["message"], r["column"], int(r["n"])) for r in rows]
     return ValidationResult(issues, violations(df), duplicate_ids(df))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
-MAX_DISTINCT = 50_000
+MAX_DISTINCT = 10_000
 MAX_ROUNDS = 8
 
 

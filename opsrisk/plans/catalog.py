@@ -511,7 +511,7 @@ def _issue_report_sql() -> str:
     return _dq_sql(body)
 
 
-register("dq_issue_report", _issue_report_sql())(lambda spark, sf: Q.issue_report(_dirty(spark, sf)))
+register("dq_issue_report", _issue_report_sql())(lambda spark, sf: Q.issue_report(_dirty(spark, sf), materialize=True))
 
 
 # --- report views (J1-J11, P12, P13) and metrics (M8-M10) -------------------------------
@@ -988,3 +988,17 @@ def q_pipeline_counts(spark, sf):
     return both.agg(F.max("n_predictions").alias("n_predictions"), F.max("n_rule_alerts").alias("n_rule_alerts")).withColumn(
         "total_workflows", F.lit(total).cast("bigint")
     )
+
+
+# --- risk score and soft labels (P10, P11) ----------------------------------------------------
+
+
+@register("risk_score", O.with_ctes("select workflow_id, round(risk_score, 9) as risk_score from ws", labeled=True))
+def q_risk_score(spark, sf):
+    s = tables.with_risk_score(tables.workflows(spark, sf))
+    return s.select("workflow_id", _r("risk_score", 9))
+
+
+@register("soft_labels", O.with_ctes("select workflow_id, risk_label from workflows_labeled", labeled=True))
+def q_soft_labels(spark, sf):
+    return tables.workflows_labeled(spark, sf).select("workflow_id", "risk_label")
