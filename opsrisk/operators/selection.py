@@ -11,12 +11,13 @@ and no task or the driver ever holds more than ``max_distinct`` values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+ACCURACY = 10_000
 MAX_DISTINCT = 10_000
 MAX_ROUNDS = 8
 
@@ -45,18 +46,21 @@ def _in(expr: Column, t: _Target) -> Column:
 def kth_values(
     df: DataFrame,
     exprs: dict[str, Column],
-    ranks: dict[str, list[int]],
+    ranks: dict[str, list[int]] | Callable[[int], list[int]],
     max_distinct: int = MAX_DISTINCT,
     accuracy: int = ACCURACY,
 ) -> dict[str, dict[int, object]]:
     """For each named expression, the exact value at each requested 0-based rank
-    (nulls ignored). Ranks outside [0, n) give None."""
-    targets = [_Target(name, k) for name, ks in ranks.items() for k in ks]
+    (nulls ignored). Ranks outside [0, n) give None. ``ranks`` may be a function
+    of the non-null count (e.g. the middle ranks for a median)."""
     # round 0: sizes and distinct counts of the whole columns (one pass)
     first = df.agg(
         *[F.count(e).alias(f"n_{n}") for n, e in exprs.items()],
         *[F.approx_count_distinct(e).alias(f"d_{n}") for n, e in exprs.items()],
     ).first()
+    if callable(ranks):
+        ranks = {n: ranks(int(first[f"n_{n}"])) for n in exprs}
+    targets = [_Target(name, k) for name, ks in ranks.items() for k in ks]
     for t in targets:
         t.n_in = int(first[f"n_{t.name}"])
         t.distinct = int(first[f"d_{t.name}"])
@@ -109,8 +113,9 @@ def kth_values(
                 for i, t in enumerate(open_targets)
             ]
         )
+        # only in-bracket slots are emitted (outer + null filter: see rules.triggers_long)
         rows = (
-            df.select(F.explode_outer(items).alias("x"))
+            df.select(F.explode_outer(F.filter(items, lambda x: x.isNotNull())).alias("x"))
             .where(F.col("x").isNotNull())
             .groupBy("x.i", "x.v")
             .agg(F.count(F.lit(1)).alias("c"))
@@ -135,18 +140,14 @@ def kth_values(
 def exact_medians(df: DataFrame, columns: list[str] | tuple[str, ...]) -> dict[str, float | None]:
     """Median of each column over non-null, non-NaN values (mean of the two middle
     values for an even count); None for an all-missing column."""
-    exprs = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    counts = df.agg(*[F.count(e).alias(c) for c, e in exprs.items()]).first()
-    ranks = {}
-    for c in columns:
-        n = int(counts[c])
-        ranks[c] = sorted({(n - 1) // 2, n // 2}) if n else []
-    vals = kth_values(df, exprs, {c: r for c, r in ranks.items() if r})
+    exprs = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    vals = kth_values(df, exprs, lambda n: sorted({(n - 1) // 2, n // 2}) if n else [])
     out: dict[str, float | None] = {}
     for c in columns:
-        if not ranks[c]:
+        got = vals.get(c) or {}
+        if not got:
             out[c] = None
             continue
-        lo, hi = vals[c][ranks[c][0]], vals[c][ranks[c][-1]]
-        out[c] = (float(lo) + float(hi)) / 2.0
+        ks = sorted(got)
+        out[c] = (float(got[ks[0]]) + float(got[ks[-1]])) / 2.0
     return out
