@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.ratios import as_double
 from ..schema import CATEGORICAL_FEATURES, LEAKAGE_COLUMNS, NUMERIC_FEATURES
 from .features import engineer_features
-from .selection import exact_medians
+from .selection import exact_medians, narrow_input
 
 
 class WorkflowFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -107,9 +107,11 @@ class WorkflowPreprocessorModel(Model, _PrepParams, DefaultParamsReadable, Defau
 
 def fit_statistics(df: DataFrame, numeric: list[str], categorical: list[str]) -> dict:
     """F1-F4 statistics over ``df``: bounded driver results only."""
-    medians = exact_medians(df, numeric)
-    imputed = {c: F.coalesce(as_double(c), F.lit(medians[c] if medians[c] is not None else 0.0)) for c in numeric}
-    moments = df.agg(
+    # the numeric block alone, materialised once unless the input is persisted
+    num_df, cols = narrow_input(df, {c: as_double(c) for c in numeric})
+    medians = exact_medians(num_df.select(*[cols[c].alias(c) for c in numeric]), numeric, materialize=False)
+    imputed = {c: F.coalesce(cols[c], F.lit(medians[c] if medians[c] is not None else 0.0)) for c in numeric}
+    moments = num_df.agg(
         *[F.avg(e).alias(f"m_{c}") for c, e in imputed.items()],
         *[F.stddev_pop(e).alias(f"s_{c}") for c, e in imputed.items()],
     ).first()

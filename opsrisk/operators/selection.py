@@ -49,10 +49,16 @@ def kth_values(
     ranks: dict[str, list[int]] | Callable[[int], list[int]],
     max_distinct: int = MAX_DISTINCT,
     accuracy: int = ACCURACY,
+    materialize: bool | None = None,
 ) -> dict[str, dict[int, object]]:
     """For each named expression, the exact value at each requested 0-based rank
     (nulls ignored). Ranks outside [0, n) give None. ``ranks`` may be a function
-    of the non-null count (e.g. the middle ranks for a median)."""
+    of the non-null count (e.g. the middle ranks for a median).
+
+    The search makes 3-6 passes. Unless ``df`` is already persisted (or
+    ``materialize`` is False), the named expressions alone are checkpointed
+    first, so the passes scan a narrow table instead of recomputing the source."""
+    df, exprs = narrow_input(df, exprs, materialize)
     # round 0: sizes and distinct counts of the whole columns (one pass)
     first = df.agg(
         *[F.count(e).alias(f"n_{n}") for n, e in exprs.items()],
@@ -137,11 +143,31 @@ def kth_values(
     return out
 
 
-def exact_medians(df: DataFrame, columns: list[str] | tuple[str, ...]) -> dict[str, float | None]:
+def is_persisted(df: DataFrame) -> bool:
+    lvl = df.storageLevel
+    return bool(lvl.useMemory or lvl.useDisk)
+
+
+def narrow_input(df: DataFrame, exprs: dict[str, Column], materialize: bool | None = None):
+    """(frame, exprs) to run several passes on: the expressions checkpointed into the
+    shared folder as plain columns, or the input itself when it is already persisted."""
+    if materialize is None:
+        materialize = not is_persisted(df)
+    if not materialize:
+        return df, exprs
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    names = {n: f"_k{i}" for i, n in enumerate(exprs)}
+    narrow = df.select(*[e.alias(names[n]) for n, e in exprs.items()]).checkpoint(eager=True)
+    return narrow, {n: F.col(names[n]) for n in exprs}
+
+
+def exact_medians(df: DataFrame, columns: list[str] | tuple[str, ...], materialize: bool | None = None) -> dict[str, float | None]:
     """Median of each column over non-null, non-NaN values (mean of the two middle
     values for an even count); None for an all-missing column."""
     exprs = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
-    vals = kth_values(df, exprs, lambda n: sorted({(n - 1) // 2, n // 2}) if n else [])
+    vals = kth_values(df, exprs, lambda n: sorted({(n - 1) // 2, n // 2}) if n else [], materialize=materialize)
     out: dict[str, float | None] = {}
     for c in columns:
         got = vals.get(c) or {}
