@@ -17,6 +17,7 @@ def test_alerts_scan_reads_only_needed_columns(spark):
 
 
 def test_kpi_summary_is_one_aggregate_over_the_source(spark):
+    spark.catalog.clearCache()  # cached fixtures of other tests would show their own plans here
     p = _plan(E.queries()["kpi_summary"](spark, SF_SMALL))
     # fixture: one shuffle for the line summary; KPIs: one single-partition merge
     assert p.count("Exchange hashpartitioning") <= 1
