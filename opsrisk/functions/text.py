@@ -16,8 +16,9 @@ _INF = float("inf")
 def percent_text(x: Column) -> Column:
     scaled = F.bround(x * F.lit(100.0), 0)
     digits = scaled.try_cast("decimal(38,0)").cast("string")
-    # Python prints a negative value that rounds to zero as "-0%".
-    sign = F.when((x < 0) & (scaled == 0), F.lit("-")).otherwise(F.lit(""))
+    # Python prints a negative value that rounds to zero, and -0.0 itself, as "-0%";
+    # the text form carries the sign bit that a comparison with 0 loses.
+    sign = F.when((scaled == 0) & F.startswith(x.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     return (
         F.when(x.isNull() | F.isnan(x), F.lit("nan%"))
         .when(x == F.lit(_INF), F.lit("inf%"))

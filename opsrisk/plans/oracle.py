@@ -117,7 +117,8 @@ def sql_pct(x: str) -> str:
     return (
         f"(case when ({x}) is null or isnan({x}) then 'nan%' when ({x}) = 'infinity'::double then 'inf%' "
         f"when ({x}) = '-infinity'::double then '-inf%' else "
-        f"(case when ({x}) < 0 and {r} = 0 then '-' else '' end) || cast(cast({r} as bigint) as varchar) || '%' end)"
+        f"(case when {r} = 0 and starts_with(cast(({x}) as varchar), '-') then '-' else '' end) || "
+        f"cast(cast({r} as bigint) as varchar) || '%' end)"
     )
 
 
