@@ -50,10 +50,13 @@ def backlog_pressure() -> Column:
 
 def engineered_columns() -> dict[str, Column]:
     """The five operational ratios, in contract order."""
-    return {
-        "sla_utilization": sla_utilization(),
-        "manual_step_ratio": manual_step_ratio(),
-        "error_rate": error_rate(),
-        "rework_rate": rework_rate(),
-        "backlog_pressure": backlog_pressure(),
+    from .memo import cached_column
+
+    builders = {
+        "sla_utilization": sla_utilization,
+        "manual_step_ratio": manual_step_ratio,
+        "error_rate": error_rate,
+        "rework_rate": rework_rate,
+        "backlog_pressure": backlog_pressure,
     }
+    return {name: cached_column(("ratio", name), fn) for name, fn in builders.items()}

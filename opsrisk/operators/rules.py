@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memo import cached_column
 from ..functions.ratios import as_double
 from ..functions.text import int_text, percent_text, python_percent
 from ..schema import (
@@ -111,10 +112,14 @@ def rule_messages(cfg: RuleConfig = DEFAULT_RULE_CONFIG) -> dict[str, Column]:
 
 def rule_triggers(cfg: RuleConfig = DEFAULT_RULE_CONFIG) -> Column:
     """Ordered array of the row rules that fire (empty when none)."""
-    conds = rule_conditions(cfg)
-    msgs = rule_messages(cfg)
-    items = [F.when(conds[r], _trigger(r, msgs[r])) for r in conds]
-    return F.filter(F.array(*items), lambda t: t.isNotNull())
+
+    def build() -> Column:
+        conds = rule_conditions(cfg)
+        msgs = rule_messages(cfg)
+        items = [F.when(conds[r], _trigger(r, msgs[r])) for r in conds]
+        return F.filter(F.array(*items), lambda t: t.isNotNull())
+
+    return cached_column(("rule_triggers", cfg), build)
 
 
 def escalation_trigger(predicted_risk: Column) -> Column:
