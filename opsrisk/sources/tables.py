@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ratios import safe_ratio
 from ..functions.scoring import portable_uniform, risk_score, soft_label
 
 TABLES = (
@@ -179,7 +178,7 @@ __all__ = [
     "workflows_dirty",
     "workflow_key",
     "with_risk_score",
-    "safe_ratio",
+    "standin_predictions",
 ]
 
 
