@@ -32,6 +32,7 @@ class _Target:
     n_in: int = 0  # values within [lo, hi]
     distinct: int | None = None
     value: object = None
+    widen: float = 1.0  # bracket width factor, doubled after a miss
 
 
 def _in(expr: Column, t: _Target) -> Column:
@@ -78,10 +79,10 @@ def kth_values(
         if not narrow:
             break
         # propose brackets: approximate quantiles around the wanted relative rank
-        eps = 4.0 / accuracy
         aggs = []
         for i, t in enumerate(narrow):
             e = exprs[t.name]
+            eps = 4.0 * t.widen / accuracy
             f = (t.rank - t.below + 0.5) / max(t.n_in, 1)
             aggs.append(
                 F.percentile_approx(F.when(_in(e, t), e), [max(0.0, f - eps), min(1.0, f + eps)], accuracy).alias(f"q{i}")
@@ -107,8 +108,8 @@ def kth_values(
             n_in = int(cs[f"m{i}"])
             if below <= t.rank < below + n_in:
                 t.lo, t.hi, t.below, t.n_in, t.distinct = a, b, below, n_in, int(cs[f"d{i}"])
-            else:  # sketch missed (should not happen): keep the bracket, read it if small
-                t.distinct = t.distinct if t.distinct is not None else None
+            else:  # sketch missed the rank (beyond its error bound): keep the bracket, widen the next proposal
+                t.widen *= 2.0
         if all(t.distinct is not None and t.distinct <= max_distinct for t in open_targets):
             break
     # read all brackets in one job as a small (target, value, count) table

@@ -25,3 +25,21 @@ def test_exact_median_even_and_odd(spark):
 def test_median_all_missing(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert selection.exact_medians(df, ["a"]) == {"a": None}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=4, deadline=None)
+@given(
+    st.lists(st.one_of(st.integers(-50, 50).map(float), st.floats(-1e6, 1e6, allow_nan=False)), min_size=1, max_size=600),
+    st.lists(st.floats(0, 1), min_size=1, max_size=4),
+)
+def test_kth_values_property(spark, vals, qs):
+    """Any data (many ties or none), any ranks: equal to sorting, with tiny brackets forcing rounds."""
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    s = sorted(vals)
+    ranks = sorted({min(len(s) - 1, int(q * len(s))) for q in qs})
+    got = selection.kth_values(df, {"x": F.col("x")}, {"x": ranks}, max_distinct=8, accuracy=50, materialize=False)["x"]
+    assert got == {k: s[k] for k in ranks}
