@@ -964,10 +964,7 @@ def q_rf_predictions(spark, sf):
 def q_lr_predictions(spark, sf):
     from .pipeline import score
 
-    lab = tables.workflows_labeled(spark, sf)
-    train, _ = M.stratified_split(lab)
-    frame, labels, total = M.prepared_training_frame(train)
-    lr = M.logistic_pipeline(labels, total).fit(frame)
+    lr = _trained(spark, sf).baseline_models["logistic_regression"]
     return _prediction_invariants(score(tables.workflows(spark, sf), lr))
 
 
