@@ -59,3 +59,15 @@ def test_json_roundtrip_and_reload(spark, make_df):
     assert IO.load_json(spark, paths["kpi_summary"]) == {"a": [1, 2], "b": {"c": "x"}}
     with open(paths["kpi_summary"]) as f:
         assert f.read().startswith("{\n  \"a\"")
+
+
+def test_predictions_flat_missing_class_is_null(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("WF-1", "high", ["a", "b"])], "workflow_id string, predicted_risk string, f array<string>")
+    df = df.select("workflow_id", "predicted_risk",
+                   F.create_map(F.lit("high"), F.lit(0.7), F.lit("low"), F.lit(0.3)).alias("risk_probability"),
+                   F.col("f").alias("risk_factors"))
+    r = IO.predictions_flat(df).first()
+    assert r["risk_probability_medium"] is None and r["risk_probability_high"] == 0.7
+    assert r["risk_factors"] == "a; b"

@@ -63,3 +63,10 @@ def test_model_comparison_rows(spark):
           "test_metrics": {"accuracy": 0.5, "f1_macro": 0.45, "f1_weighted": 0.48}}
     rows = V.model_comparison(spark, md).collect()
     assert [r["model"] for r in rows] == ["logistic_regression", "dummy", "random_forest (primary)"]
+
+
+def test_alerts_sorted_by_severity_text(spark):
+    a = spark.createDataFrame([("1", "warning"), ("2", "critical"), ("3", "info")], "workflow_id string, severity string")
+    assert [r["severity"] for r in V.alerts_by_severity(a).collect()] == ["critical", "info", "warning"]
+    got = {r["severity"]: r["n"] for r in V.alert_severity_counts(a).collect()}
+    assert got == {"critical": 1, "info": 1, "warning": 1}
