@@ -568,7 +568,7 @@ def _saved_outputs(spark, sf):
     these tables instead of re-deriving them."""
     from ..session import ensure_checkpoint_dir
 
-    key = (spark.sparkContext.applicationId, sf)
+    key = (id(spark), spark.sparkContext.applicationId, sf)
     if key not in _OUTPUTS:
         ensure_checkpoint_dir(spark)
         preds = tables.standin_predictions(spark, sf).checkpoint(eager=True)
