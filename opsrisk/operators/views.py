@@ -99,7 +99,10 @@ def risk_monitor(filtered: DataFrame, top_k: int | None = None) -> DataFrame:
     descending (else workflow_id descending), nulls last; ``top_k`` keeps the head only."""
     cols = [c for c in MONITOR_COLUMNS if c in filtered.columns]
     key = "risk_probability_high" if "risk_probability_high" in filtered.columns else WORKFLOW_ID
-    out = filtered.select(*cols).orderBy(F.col(key).desc_nulls_last())
+    # workflow_id breaks ties: a deterministic order, and the range partitioner can
+    # spread a hot probability value over many tasks instead of one
+    order = [F.col(key).desc_nulls_last()] + ([F.col(WORKFLOW_ID).desc()] if key != WORKFLOW_ID else [])
+    out = filtered.select(*cols).orderBy(*order)
     return out.limit(top_k) if top_k is not None else out
 
 
@@ -109,8 +112,10 @@ def alert_severity_counts(alerts: DataFrame) -> DataFrame:
 
 
 def alerts_by_severity(alerts: DataFrame) -> DataFrame:
-    """Alerts sorted by severity text."""
-    return alerts.orderBy("severity")
+    """Alerts sorted by severity text. Severity has three values, so (workflow_id,
+    type) are added as tiebreaks: range partitions then split each severity evenly."""
+    keys = ["severity"] + [c for c in (WORKFLOW_ID, "type") if c in alerts.columns]
+    return alerts.orderBy(*keys)
 
 
 def recommendation_category_counts(recs: DataFrame) -> DataFrame:
