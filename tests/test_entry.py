@@ -41,7 +41,7 @@ def con():
     return c
 
 
-SKIP_SLOW = {"lr_predictions"}
+SKIP_SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(set(E.oracle_sql()) - SKIP_SLOW))
