@@ -31,3 +31,15 @@ def test_stream_dedup_within_watermark(spark):
     q.awaitTermination(300)
     got = spark.read.parquet(f"{d}/out")
     assert got.count() == generate_alerts(w, generated_at="t0", dedup=False).count()
+
+
+def test_csv_stream_matches_batch(spark):
+    d = tempfile.mkdtemp(prefix="opsrisk-stream-", dir="/tmp")
+    w = tables.workflows_labeled(spark, SF_SMALL)
+    w.repartition(3).write.option("header", True).csv(f"{d}/in")
+    q = start_alert_sink(read_workflow_stream(spark, f"{d}/in", fmt="csv"), f"{d}/out", f"{d}/ckpt",
+                         available_now=True, generated_at="t0")
+    q.awaitTermination(300)
+    got = spark.read.parquet(f"{d}/out")
+    want = generate_alerts(w, generated_at="t0", dedup=False)
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
