@@ -145,8 +145,19 @@ def kth_values(
 
 
 def is_persisted(df: DataFrame) -> bool:
+    """True when ``df`` or the frame it is derived from by narrow steps reads cached
+    data (then rescans are cheap), e.g. features added on top of a persisted frame."""
     lvl = df.storageLevel
-    return bool(lvl.useMemory or lvl.useDisk)
+    if lvl.useMemory or lvl.useDisk:
+        return True
+    try:
+        plan = df._jdf.queryExecution().withCachedData().toString()
+    except Exception:  # noqa: BLE001 - plan introspection unavailable (e.g. remote sessions)
+        return False
+    if "InMemoryRelation" not in plan:
+        return False
+    above = plan.split("InMemoryRelation", 1)[0]  # operators on top of the cached relation
+    return not any(op in above for op in ("Join", "Aggregate", "Repartition", "Window", "Generate", "Union"))
 
 
 def narrow_input(df: DataFrame, exprs: dict[str, Column], materialize: bool | None = None):
