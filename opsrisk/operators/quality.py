@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import as_double
+from ..sources.files import UNPARSED
 from ..schema import (
     CRITICAL_COLUMNS,
     DATETIME_COLUMNS,
@@ -76,6 +77,10 @@ def row_checks(df: DataFrame) -> list[Check]:
         cond = (_ts(c, df) if c in DATETIME_COLUMNS else F.col(c)).isNull()
         if c not in DATETIME_COLUMNS and dict(df.dtypes)[c] in ("double", "float"):
             cond = cond | F.isnan(F.col(c))
+            if UNPARSED in df.columns:
+                # text that did not parse is not a missing value (it reaches the
+                # numeric checks as "not a number", which no check flags)
+                cond = cond & ~F.coalesce(F.map_contains_key(F.col(UNPARSED), F.lit(c)), F.lit(False))
         checks.append(Check(10 + i, ERROR, "null_critical_field", c, cond))
     for i, c in enumerate(NON_NEGATIVE_COLUMNS):
         checks.append(Check(20 + i, ERROR, "negative_value", c, F.coalesce(as_double(c) < 0, F.lit(False))))

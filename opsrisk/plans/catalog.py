@@ -705,12 +705,16 @@ from ..session import scratch_path  # noqa: E402
 from ..sources import files as IO  # noqa: E402
 
 
-@register("scan_workflows", O.with_ctes("select * from workflows"))
+@register("scan_workflows", O.with_ctes("select *, cast(0 as bigint) as n_unparsed from workflows"))
 def q_scan_workflows(spark, sf):
-    """Round trip through the CSV scanner: write the table as CSV text, scan it back typed."""
+    """Round trip through the CSV scanner: write the table as CSV text, scan it back typed;
+    ``n_unparsed`` counts the rescued text cells of each row (none for this table)."""
+    from ..schema import REQUIRED_COLUMNS
+
     path = scratch_path(spark, "workflows-csv")
     IO._write_csv(tables.workflows(spark, sf), path)
-    return IO.load_workflow_data(spark, path, "csv")
+    back = IO.load_workflow_data(spark, path, "csv")
+    return back.select(*REQUIRED_COLUMNS, F.coalesce(F.size(IO.UNPARSED), F.lit(0)).cast("bigint").alias("n_unparsed"))
 
 
 @register("parse_timestamps", O.with_ctes(

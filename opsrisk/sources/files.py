@@ -116,13 +116,25 @@ def parse_timestamps(df: DataFrame) -> DataFrame:
     )
 
 
+UNPARSED = "_unparsed"
+
+
 def type_workflows(raw: DataFrame) -> DataFrame:
-    """Text columns → contract types (unknown extra columns stay text)."""
+    """Text columns → contract types (unknown extra columns stay text).
+
+    Numeric text that does not parse becomes null in its typed column and is
+    kept, unchanged, in the ``_unparsed`` map (column → original text; null when
+    the row has none), so loading never loses what the source held."""
     cols = []
+    rescued = []
     for name, typ in raw.dtypes:
         c = F.col(f"`{name}`")
         if typ == "string":
-            cols.append(_typed(name, _na_to_null(c)))
+            text = _na_to_null(c)
+            typed = _typed(name, text)
+            cols.append(typed)
+            if name in DOUBLE_COLUMNS or name in LONG_COLUMNS:
+                rescued.append(F.when(text.isNotNull() & typed.isNull(), F.struct(F.lit(name).alias("k"), text.alias("v"))))
         elif name in DATETIME_COLUMNS and typ != "timestamp_ntz":
             cols.append(c.try_cast("timestamp_ntz").alias(name))
         elif name in DOUBLE_COLUMNS and typ != "double":
@@ -131,6 +143,9 @@ def type_workflows(raw: DataFrame) -> DataFrame:
             cols.append(c.try_cast("bigint").alias(name))
         else:
             cols.append(c)
+    if rescued and UNPARSED not in raw.columns:
+        kept = F.filter(F.array(*rescued), lambda x: x.isNotNull())
+        cols.append(F.when(F.size(kept) > 0, F.map_from_entries(kept)).alias(UNPARSED))
     return raw.select(*cols)
 
 

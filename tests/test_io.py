@@ -71,3 +71,21 @@ def test_predictions_flat_missing_class_is_null(spark):
     r = IO.predictions_flat(df).first()
     assert r["risk_probability_medium"] is None and r["risk_probability_high"] == 0.7
     assert r["risk_factors"] == "a; b"
+
+
+def test_unparsed_text_is_kept(spark):
+    df = IO.load_workflow_data(spark, _tmp(CSV))
+    r = {x["workflow_id"]: x for x in df.collect()}
+    assert r["WF-1000"][IO.UNPARSED] is None
+    assert r["WF-1001"][IO.UNPARSED] == {"elapsed_hours": "abc"}  # NA / nan / null tokens are missing, not text
+
+
+def test_garbage_numeric_passes_null_check_like_reference(spark):
+    from opsrisk.operators.quality import validate_workflow_data
+
+    df = IO.load_workflow_data(spark, _tmp(CSV))
+    checks = {(i.check, i.column): i.n for i in validate_workflow_data(df).issues}
+    # 'abc' in elapsed_hours is text, not missing; 'NA' in sla_hours is missing
+    assert ("null_critical_field", "elapsed_hours") not in checks
+    assert checks[("null_critical_field", "sla_hours")] == 1
+    assert checks[("null_critical_field", "created_at")] == 1  # unparsable date is missing (coerced at load)
