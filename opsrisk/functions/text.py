@@ -15,7 +15,11 @@ _INF = float("inf")
 
 def percent_text(x: Column) -> Column:
     scaled = F.bround(x * F.lit(100.0), 0)
-    digits = scaled.try_cast("decimal(38,0)").cast("string")
+    # Exact (as Python) below 2^53 %; from 1e38 on, where no decimal holds the value,
+    # the shortest-repr digits padded with zeros (Python prints the exact binary expansion).
+    digits = F.when(F.abs(scaled) < F.lit(1e38), scaled.try_cast("decimal(38,0)").cast("string")).otherwise(
+        F.format_string("%.0f", scaled)
+    )
     # Python prints a negative value that rounds to zero, and -0.0 itself, as "-0%";
     # the text form carries the sign bit that a comparison with 0 loses.
     sign = F.when((scaled == 0) & F.startswith(x.cast("string"), F.lit("-")), F.lit("-")).otherwise(F.lit(""))

@@ -79,3 +79,10 @@ def test_risk_factors_never_empty(make_df):
     got = {r[0]: r[1] for r in out.select("workflow_id", risk_factors()).collect()}
     assert got["WF-1"] == [NO_TRIGGERS_MESSAGE]
     assert got["WF-2"] == ["Pending items 150 at or above backlog threshold 100"]
+
+
+def test_huge_percent_never_null(spark):
+    df = spark.createDataFrame([(1.1992571331987051e49,), (1e300,)], "x double")
+    got = [r[0] for r in df.select(percent_text(F.col("x"))).collect()]
+    assert got[0] == "1199257133198705000000000000000000000000000000000000%"
+    assert got[1].startswith("1000000000000") and got[1].endswith("%")
