@@ -32,7 +32,10 @@ def percent_text(x: Column) -> Column:
 
 
 def int_text(x: Column) -> Column:
-    return x.cast("double").try_cast("bigint").cast("string")
+    """``str(int(x))``: integer columns print exactly; doubles truncate toward zero.
+    A double beyond the long range (NaN-free) prints its %.0f digits instead of null."""
+    as_long = x.try_cast("bigint").cast("string")
+    return F.coalesce(as_long, F.when(x.isNotNull(), F.format_string("%.0f", x.cast("double"))))
 
 
 def python_percent(value: float) -> str:

@@ -88,7 +88,7 @@ def rule_messages(cfg: RuleConfig = DEFAULT_RULE_CONFIG) -> dict[str, Column]:
             F.lit(f" at or above the {python_percent(cfg.sla_warning_threshold)} warning threshold"),
         ),
         HIGH_ERROR: F.concat(
-            F.lit("Error count "), int_text(as_double("error_count")), F.lit(f" at or above threshold {cfg.high_error_threshold}")
+            F.lit("Error count "), int_text(F.col("error_count")), F.lit(f" at or above threshold {cfg.high_error_threshold}")
         ),
         HIGH_REWORK: F.concat(
             F.lit("Rework rate "),
@@ -104,7 +104,7 @@ def rule_messages(cfg: RuleConfig = DEFAULT_RULE_CONFIG) -> dict[str, Column]:
         ),
         BACKLOG_PRESSURE: F.concat(
             F.lit("Pending items "),
-            int_text(as_double("pending_items")),
+            int_text(F.col("pending_items")),
             F.lit(f" at or above backlog threshold {cfg.backlog_threshold}"),
         ),
     }

@@ -183,8 +183,8 @@ def q_rule_messages(spark, sf):
         percent_text(as_double("rework_rate")).alias("rework_pct"),
         percent_text(as_double("manual_step_ratio")).alias("manual_pct"),
         percent_text(as_double("automation_score")).alias("automation_pct"),
-        int_text(as_double("error_count")).alias("error_text"),
-        int_text(as_double("pending_items")).alias("pending_text"),
+        int_text(F.col("error_count")).alias("error_text"),
+        int_text(F.col("pending_items")).alias("pending_text"),
     )
 
 

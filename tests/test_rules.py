@@ -86,3 +86,12 @@ def test_huge_percent_never_null(spark):
     got = [r[0] for r in df.select(percent_text(F.col("x"))).collect()]
     assert got[0] == "1199257133198705000000000000000000000000000000000000%"
     assert got[1].startswith("1000000000000") and got[1].endswith("%")
+
+
+def test_int_text_exact_for_large_longs(spark):
+    from opsrisk.functions.text import int_text
+
+    df = spark.createDataFrame([(2**60 + 1, 5.9), (-7, -5.9), (None, 1e30)], "n long, x double")
+    got = [(r[0], r[1]) for r in df.select(int_text(F.col("n")), int_text(F.col("x"))).collect()]
+    assert got[0] == (str(2**60 + 1), "5") and got[1] == ("-7", "-5")
+    assert got[2][0] is None and got[2][1] == "1000000000000000000000000000000"
