@@ -563,24 +563,39 @@ _OUTPUTS: dict = {}
 
 def _saved_outputs(spark, sf):
     """The run outputs the report views read (predictions, raw workflows, alerts,
-    recommendations), derived once per session and checkpointed into the shared
-    folder, like the saved files the views reload, so each view plan starts from
-    these tables instead of re-deriving them."""
+    recommendations). Each is derived on first use per session and checkpointed
+    into the shared folder, like the saved files the views reload, so view plans
+    start from these tables instead of re-deriving them."""
     from ..session import ensure_checkpoint_dir
 
     key = (id(spark), spark.sparkContext.applicationId, sf)
-    if key not in _OUTPUTS:
-        ensure_checkpoint_dir(spark)
-        preds = tables.standin_predictions(spark, sf).checkpoint(eager=True)
-        wf = tables.workflows(spark, sf).checkpoint(eager=True)
-        lookup = preds.select("workflow_id", "predicted_risk")
-        _OUTPUTS[key] = {
-            "predictions": preds,
-            "workflows": wf,
-            "alerts": A.generate_alerts(wf, lookup, generated_at=FIXED_STAMP, dedup=False).checkpoint(eager=True),
-            "recommendations": A.generate_recommendations(wf, lookup).checkpoint(eager=True),
-        }
-    return _OUTPUTS[key]
+    return _OUTPUTS.setdefault(key, _LazyOutputs(spark, sf, ensure_checkpoint_dir))
+
+
+class _LazyOutputs:
+    def __init__(self, spark, sf, ensure_dir):
+        self.spark, self.sf, self.ensure_dir, self.done = spark, sf, ensure_dir, {}
+
+    def _lookup(self):
+        return self["predictions"].select("workflow_id", "predicted_risk")
+
+    def _build(self, name):
+        spark, sf = self.spark, self.sf
+        if name == "predictions":
+            return tables.standin_predictions(spark, sf)
+        if name == "workflows":
+            return tables.workflows(spark, sf)
+        if name == "alerts":
+            return A.generate_alerts(self["workflows"], self._lookup(), generated_at=FIXED_STAMP, dedup=False)
+        if name == "recommendations":
+            return A.generate_recommendations(self["workflows"], self._lookup())
+        raise KeyError(name)
+
+    def __getitem__(self, name):
+        if name not in self.done:
+            self.ensure_dir(self.spark)
+            self.done[name] = self._build(name).checkpoint(eager=True)
+        return self.done[name]
 
 
 def _enriched(spark, sf):
