@@ -6,24 +6,30 @@ queue keeps one bucket of linked-list positions for each rank that occurs and
 a two-level bitmap of the ranks that have a bucket: find-first-set on the upper
 and then the lower word gives the next rank. A merge changes the pairs at two
 positions only; their old entries stay in the buckets and are skipped when met.
-So a pre-token of n bytes takes O(n log n) steps, however long it is.
+So a pre-token of n bytes takes O(n log n) steps, however long it is. Many short
+pre-tokens go through one queue together (merge_many), a bucket at a time.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import ship
+
 _GROUP_BITS = 8  # ranks in one lower word of the bitmap: 2^8
-CACHE_ENTRIES = 300_000  # a worker forgets its pre-token results beyond this
+CACHE_ENTRIES = 500_000  # a worker forgets its results for pieces of text beyond this
+LEARN_CHARS = 8 << 20  # texts of so many characters are learned together
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -98,6 +104,130 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
+class PairTable:
+    """Rank of every pair of tokens whose bytes together are a token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.width = max(ranks.values(), default=0) + 2
+        self.stop = self.width - 1  # id that pairs with none
+        keys, values = [], []
+        for token, r in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    keys.append(a * self.width + b)
+                    values.append(r)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.values = np.append(np.array(values, np.int64)[order], -1)
+        self.byte = np.array([ranks.get(bytes([i]), self.stop) for i in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1: none."""
+        key = left * self.width + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+
+def merge_many(words: list[bytes], table: PairTable) -> list[tuple[int, ...]]:
+    """Token ids of many pre-tokens through one queue over all their positions.
+
+    A stop stands after every pre-token, so that no pair crosses its end. One step takes a whole bucket, the lowest
+    rank of any pre-token; only where a merge makes a pair of still lower rank does a pre-token go on one merge at a time.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+    ids = table.byte[raw]
+    ids[ends - 1] = table.stop
+    word_of = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+    n = len(ids)
+    after = np.arange(1, n + 1)
+    after[-1] = n - 1
+    before = np.arange(-1, n - 1)
+    before[0] = n - 1  # the last stop: pairs with none
+    live = np.ones(n, dtype=bool)
+    pair = np.append(table.rank(ids[:-1], ids[1:]), -1)
+    buckets: dict[int, list[np.ndarray]] = {}
+    lower: dict[int, int] = {}
+    upper = 0
+
+    def push(ranks: np.ndarray, at: np.ndarray) -> int:
+        bits = 0
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        cuts = [0, *cuts.tolist(), len(ranks)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            r, x = int(ranks[a]), at[a:b]
+            if r in buckets:
+                buckets[r].append(x)
+            else:
+                buckets[r] = [x]
+                g = r >> _GROUP_BITS
+                lower[g] = lower.get(g, 0) | 1 << (r & 255)
+                bits |= 1 << g
+        return bits
+
+    known = np.flatnonzero(pair >= 0)
+    if len(known):
+        upper = push(pair[known], known)
+    while upper:
+        g = (upper & -upper).bit_length() - 1
+        bits = lower[g]
+        r = g << _GROUP_BITS | (bits & -bits).bit_length() - 1
+        lower[g] = bits = bits & (bits - 1)
+        if not bits:
+            upper &= upper - 1
+        found = buckets.pop(r)
+        at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+        at = at[pair[at] == r]  # the rest is stale
+        if not len(at):
+            continue
+        if len(at) > 1:  # in a chain of overlapping pairs every other one merges
+            linked = np.append(False, after[at[:-1]] == at[1:])
+            if linked.any():
+                head = np.maximum.accumulate(np.where(linked, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - head) % 2 == 0]
+        rest = None
+        while True:
+            j = after[at]
+            k = after[j]
+            left, right = before[at], ids[k]
+            next_merges = np.append(k[:-1] == at[1:], False)
+            last_merged = np.append(False, next_merges[:-1])
+            made = np.full(len(at), r)
+            on_left = table.rank(np.where(last_merged, r, ids[left]), made)
+            on_right = table.rank(made, np.where(next_merges, r, right))
+            low = (on_left >= 0) & (on_left <= r) | (on_right >= 0) & (on_right <= r)
+            if next_merges.any():
+                between = table.rank(made, right)
+                low |= next_merges & (between >= 0) & (between <= r)
+            if rest is not None or not low.any():
+                break
+            w = word_of[at]
+            single = np.isin(w, w[low]) & np.append(False, w[1:] == w[:-1])  # all but a word's first
+            rest, at = at[single], at[~single]
+        after[at] = k
+        before[k] = at
+        ids[at] = r
+        live[j] = False
+        pair[j] = -1
+        left = before[at]
+        pair[at] = on_right
+        pair[left] = on_left
+        touched, new = np.concatenate((at, left)), np.concatenate((on_right, on_left))
+        some = new >= 0
+        if some.any():
+            upper |= push(new[some], touched[some])
+        if rest is not None and len(rest):
+            upper |= push(np.full(len(rest), r), rest)
+    live[ends - 1] = False
+    kept = np.flatnonzero(live)
+    flat, cuts = ids[kept].tolist(), [0, *np.searchsorted(kept, ends).tolist()]
+    return [tuple(flat[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Tokenizer:
     """Encoder and decoder over one rank file; not thread-safe (one per Python worker)."""
 
@@ -107,50 +237,85 @@ class Tokenizer:
         self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, r in ranks.items():
             self.vocab[r] = token
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.table = PairTable(ranks)
         self.pieces: dict[str, tuple[int, ...] | None] = {}
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        got = self.words.get(word)
-        if got is None:
-            got = merge(word.encode(), self.ranks)
-            if len(word) <= 64:
-                if len(self.words) >= self.limit:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
     def _cut(self, text: str) -> list[int]:
         out: list[int] = []
         for word in self.find(text):
-            out += self._word(word)
+            out += merge(word.encode(), self.ranks)
         return out
 
-    def _piece(self, piece: str) -> tuple[int, ...] | None:
-        # What stands between two spaces is cut alike in every text if it neither starts nor ends with white space
-        # (a run of white space is cut as a whole): None tells that it does.
-        got = None if not piece or piece[0].isspace() or piece[-1].isspace() else tuple(self._cut(" " + piece))
-        if len(piece) <= 64:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+    def learn(self, texts: list[str]) -> None:
+        """Encode what stands between two spaces in ``texts`` and is not known yet.
+
+        Such a piece is cut alike in every text if it neither starts nor ends with white space (a run of white space is
+        cut as a whole); None tells that it does.
+        """
+        new: set[str] = set()
+        for text in texts:
+            new.update(text.split(" "))
+        if len(new) + len(self.pieces) > self.limit:
+            self.pieces.clear()
+        new.difference_update(self.pieces)
+        cuts, words = {}, {}
+        for piece in new:
+            if not piece or piece[0].isspace() or piece[-1].isspace() or len(piece) > 256:
+                self.pieces[piece] = None
+                continue
+            cuts[piece] = cut = self.find(" " + piece)
+            for word in cut:
+                words[word] = None
+        if not cuts:
+            return
+        ranks = self.ranks
+        hard = []
+        for word in words:
+            raw = word.encode()
+            whole = ranks.get(raw)
+            if whole is None:
+                hard.append((word, raw))
+            else:
+                words[word] = (whole,)
+        if hard:
+            for (word, _), ids in zip(hard, merge_many([raw for _, raw in hard], self.table), strict=True):
+                words[word] = ids
+        for piece, cut in cuts.items():
+            ids = words[cut[0]]
+            for word in cut[1:]:
+                ids += words[word]
+            self.pieces[piece] = ids
 
     def encode(self, text: str) -> list[int]:
         first, *rest = text.split(" ")
-        if first and first[-1].isspace():
+        if first and first[-1].isspace() and rest:
             return self._cut(text)
         out = self._cut(first) if first else []
         get, missing = self.pieces.get, self
         for piece in rest:
             ids = get(piece, missing)
             if ids is missing:
-                ids = self._piece(piece)
+                ids = None if not piece or piece[0].isspace() or piece[-1].isspace() else self._cut(" " + piece)
             if ids is None:
-                return self._cut(text)
+                if not piece or piece[0].isspace() or piece[-1].isspace():
+                    return self._cut(text)
+                ids = self._cut(" " + piece)
             out += ids
         return out
 
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of every text; the pieces of a few megabytes of text are learned together."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < LEARN_CHARS):
+                size += len(texts[j])
+                j += 1
+            self.learn(texts[i:j])
+            for text in texts[i:j]:
+                yield self.encode(text)
+            i = j
+
     def decode(self, ids) -> bytes:
         vocab = self.vocab
         return b"".join([vocab[i] for i in ids])
@@ -178,16 +343,18 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     with open(ranks_path, "rb") as f:
         data = f.read()
     spark = docs.sparkSession
+    ship(spark)
     vocabulary = spark.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(vocabulary.value, pattern)
         sha = hashlib.sha256
+        gc.disable()  # millions of live tuples and no cycles: collections would take a third of the time
         for batch in batches:
             out: dict[str, list] = {"n": [], "i": [], "d": []}
             flat, ends = array("i"), array("i", [0])
-            for text in batch.column(1):
-                ids = tok.encode(text.as_py() or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for ids in tok.encode_all(texts):
                 packed = array("I", ids)
                 out["n"].append(len(ids))
                 out["i"].append(sha(packed.tobytes()).hexdigest())

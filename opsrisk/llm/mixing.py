@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import row_key, saved, word_count
+from .shared import row_key, saved, ship, word_count
 
 GROUP = 4096  # documents that one step of the tree rounds together
 
@@ -99,7 +99,8 @@ def _round_level(level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         cols = {c: table[c].to_numpy() for c in ("_id", "_h", "words", "p")}
         draw = _uniform(cols["_id"], cols["_h"], level)
-        order = np.lexsort((cols["_h"], cols["_id"], draw))
+        # the largest first: small ones fill them up, so that what stays open at the end is small
+        order = np.lexsort((cols["_h"], cols["_id"], draw, -cols["words"]))
         p, left = round_group(cols["p"][order], cols["words"][order].astype(float), _uniform(cols["_h"], cols["_id"], level + 1000)[order])
         still = np.zeros(len(p), dtype=bool)
         if left >= 0:
@@ -136,6 +137,7 @@ def mix_copies(
     and so get equal copies. Rows that differ in text or source only are documents of their own. An empty table gives
     no rows. Other columns, whatever their names, are not read.
     """
+    ship(docs.sparkSession)
     base = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     base = saved(
         base.groupBy("_id", "_h", "source").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count(F.lit(1)).alias("rows")),

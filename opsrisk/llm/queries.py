@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, mixing, quality, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,21 @@ def public_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_ranks()
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix_copies(table(spark, sf_dir, "documents"))
     got = got.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
@@ -33,7 +43,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op10_source_mix": op10_source_mix,
 }
 

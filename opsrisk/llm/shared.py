@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -11,6 +15,19 @@ from ..session import scratch_path
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+_PACKAGE = "opsrisk_package.zip"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once for each application)."""
+    sc = spark.sparkContext
+    if any(f.endswith(_PACKAGE) for f in sc.listFiles):
+        return
+    root = Path(__file__).resolve().parents[2]
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='opsrisk-')}/{_PACKAGE.removesuffix('.zip')}", "zip", root, "opsrisk")
+    sc.addPyFile(made)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the cluster's shared folder and read it back.
 
