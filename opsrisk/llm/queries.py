@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, suffix
+from . import bpe, jaccard, mixing, quality, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -45,6 +49,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op10_source_mix": op10_source_mix,
 }
