@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, quality, suffix
+from . import bpe, jaccard, langid, mixing, ngram_lm, quality, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,18 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.interpolated_scores(table(spark, sf_dir, "documents")).drop("vocabulary")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.crc_fold(F.col("doc_id"), 4) == 2
+    model = langid.learn(docs.where(~held_out).select(F.col("doc_id").alias("key"), "text", "lang"))
+    got = langid.identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix_copies(table(spark, sf_dir, "documents"))
     got = got.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
@@ -51,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_deleted_interpolation": op6_deleted_interpolation,
+    "op7_language_id": op7_language_id,
     "op10_source_mix": op10_source_mix,
 }
 
