@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, ngram_lm, quality, suffix
+from . import bpe, chat, jaccard, langid, mixing, ngram_lm, pages, quality, suffix, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op2_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_ranks()
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern, keep_ids=False)
@@ -52,6 +57,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    held_out = langid.crc_fold(F.col("conv_id"), 4) == 2
+    model = chat.learn(turns.where(~held_out))
+    got = chat.recover_roles(turns.select("conv_id", "turn", "text"), model)
+    return got.select("conv_id", "turn", "role_pred", "rendered", held_out.alias("held_out"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix_copies(table(spark, sf_dir, "documents"))
     got = got.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
@@ -60,12 +77,30 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_nra_top_k": op2_nra_top_k,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_deleted_interpolation": op6_deleted_interpolation,
     "op7_language_id": op7_language_id,
+    "op8_chat_roles": op8_chat_roles,
+    "op9_main_text": op9_main_text,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_nra_top_k": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+), placed as (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from pairs
+)
+select query_id, rank, vec_id, score from placed where rank <= 10
+""",
+}

@@ -410,18 +410,19 @@ def _runs(blobs: list[bytes] | None) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), end.tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """What is left of every text.
 
     Returns one row for each row of ``docs``: doc_id, _id, _h, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of
-    the bytes left) and, with ``keep_text``, spans (the runs, as arrays start, end in bytes) and text (the bytes left; a character
-    cut apart by a run's border is dropped).
+    the bytes left) and, with ``keep_text``, span_starts and span_ends (the runs, in bytes) and text (the bytes left; a character
+    cut apart by a run's border is dropped). Columns named in ``carry`` go along in a struct ``carried`` (fields c0, c1, ...).
 
     A null text counts as empty. Texts under ``length`` bytes keep everything. Documents are ordered by id, a null id first, and at
     equal ids by a hash of the text; rows equal in both are one document, so a repeated row is no earlier copy of
-    itself. An empty table gives no rows. Only doc_id and text are read.
+    itself. An empty table gives no rows. Other columns are not read.
     """
-    keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")
+    keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), carried)
     spans = removed_spans(keyed, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,9 +450,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
             if keep_text:
                 cols += [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(texts, pa.string())]
                 names += ["span_starts", "span_ends", "text"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols.append(batch.column(5))
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "carried"])
 
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, _id long, _h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", span_starts array<long>, span_ends array<long>, text string" * keep_text
-    return keyed.join(spans, ["_id", "_h"], "left").select("doc_id", "_id", "_h", "text", "blobs").mapInArrow(run, schema)
+    schema += f", carried {keyed.schema['carried'].dataType.simpleString()}"
+    out = keyed.join(spans, ["_id", "_h"], "left").select("doc_id", "_id", "_h", "text", "blobs", "carried").mapInArrow(run, schema)
+    return out if carry else out.drop("carried")
