@@ -240,7 +240,8 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shi
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(1, 5)], pa.array(blobs, pa.binary())], names=["node", "root", "mine", "parts", "shingles"])
 
-    with_text = keyed.select("_id", "_h", "text").join(members, ["_id", "_h"]).dropDuplicates(["_id", "_h"])
+    # the members grow with the corpus: never a broadcast
+    with_text = keyed.select("_id", "_h", "text").join(members.hint("merge"), ["_id", "_h"]).dropDuplicates(["_id", "_h"])
     sets = with_text.select("text", "node", "root", "mine", "parts").mapInArrow(shingled, "node long, root long, mine long, parts long, shingles binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     sets = sets.select("*", other)
