@@ -40,37 +40,41 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<long>").alias("v"))
 
 
-def nra(order: np.ndarray, lists: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
-    """Rows that can be among the ``k`` best of one block.
+def nra(matrix: np.ndarray, queries: np.ndarray, k: np.ndarray) -> list[np.ndarray]:
+    """For each query, the rows that can be among its ``k`` best (k: one number for each query).
 
-    ``order`` and ``lists`` (dimensions x rows): row numbers and values of each dimension, ascending.
+    All queries read the lists to the same depth, so that one matrix product gives what they have read: a list read from its
+    top to depth t has shown the rows of the t last ranks, from its bottom those of the t first.
     """
-    dims, n = lists.shape
-    if n <= max(k, _FEW):
-        return np.arange(n)
-    down = query > 0
-    known = np.zeros(n)  # contributions read
-    seen = np.zeros((n, dims))
-    worst = query * np.where(down, lists[:, 0], lists[:, -1])
-    read, step = 0, max(32, n // 32)
-    every = np.arange(dims)[:, None]
-    while read < n:
-        to = min(n, read + step)
-        place = np.arange(read, to)[None, :]
-        place = np.where(down[:, None], n - 1 - place, place)
-        rows = order[every, place]
-        gain = query[:, None] * lists[every, place]
-        known += np.bincount(rows.ravel(), weights=gain.ravel(), minlength=n)
-        seen[rows, every] = 1
-        read, step = to, step * 2
-        frontier = gain[:, -1]  # no unread contribution of the list is greater
-        low = known + worst.sum() - seen @ worst
-        high = known + frontier.sum() - seen @ frontier
-        limit = np.partition(low, n - k)[n - k]
-        able = np.flatnonzero(high >= limit - 1e-6 * max(1.0, abs(limit)))
-        if len(able) <= max(k, _FEW):
-            return able
-    return able
+    n = len(matrix)
+    out = [np.arange(n)] * len(queries)
+    if n <= _FEW:
+        return out
+    x = matrix.astype(np.float64)
+    order = np.argsort(matrix, axis=0, kind="stable")
+    lists = np.take_along_axis(x, order, axis=0)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
+    going = np.arange(len(queries))
+    depth = max(1, n // 16)
+    while len(going):
+        depth = min(depth, n)
+        up, down = np.maximum(queries[going], 0).astype(np.float64), np.minimum(queries[going], 0).astype(np.float64)
+        top, bottom = rank >= n - depth, rank < depth
+        # an unread contribution is no less than the list's worst, and no greater than the value just read
+        low = (up @ lists[0] + down @ lists[-1])[:, None] + up @ ((x - lists[0]) * top).T + down @ ((x - lists[-1]) * bottom).T
+        high = (up @ lists[n - depth] + down @ lists[depth - 1])[:, None] + up @ ((x - lists[n - depth]) * top).T + down @ ((x - lists[depth - 1]) * bottom).T
+        still = []
+        for i, q in enumerate(going.tolist()):
+            m = min(int(k[q]), n)
+            limit = np.partition(low[i], n - m)[n - m]
+            able = np.flatnonzero(high[i] >= limit - 1e-9 * max(1.0, abs(limit)))
+            if len(able) <= max(m, _FEW) or depth == n:
+                out[q] = able
+            else:
+                still.append(q)
+        going, depth = np.array(still, np.int64), depth * 2
+    return out
 
 
 def _search(k: int):
@@ -83,11 +87,10 @@ def _search(k: int):
         ids, query_ids = candidates["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         matrix = candidates["v"].combine_chunks().flatten().to_numpy().reshape(n, -1)
         wanted = queries["v"].combine_chunks().flatten().to_numpy().reshape(q, -1)
-        order = np.argsort(matrix, axis=0, kind="stable").T.copy()
-        lists = np.take_along_axis(matrix.T.astype(np.float64), order, axis=1)
+        # a query's own rows are no candidates: as many more may stand before its k-th
+        own = np.array([np.count_nonzero(ids == i) for i in query_ids])
         out = []
-        for query_id, query in zip(query_ids, wanted, strict=True):
-            able = nra(order, lists, query.astype(np.float64), min(k + int((ids == query_id).sum()), n))
+        for query_id, query, able in zip(query_ids, wanted, nra(matrix, wanted, k + own), strict=True):
             able = able[ids[able] != query_id]
             score = matrix[able] @ query
             best = np.lexsort((ids[able], -score))[:k]
