@@ -6,11 +6,11 @@ word after its predecessor mixes three maximum-likelihood estimates,
     p(w | v) = l2(b) c(v, w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1),
 
 where b is the bucket (binary magnitude) of the context's count c(v). The
-weights are learned by expectation-maximisation on held-out counts: over the
-tokens of one fold of the learning documents, each token deleted from
-the counts that predict it (every count and N less by one).
+weights are learned by expectation-maximisation on held-out counts: over all
+learning documents of every DELETED-th block, each token deleted from the
+counts that predict it (every count and N less by one).
 
-Counts are exact, over all learning documents, up to collisions of 64-bit hashes.
+Counts are exact, over all learning documents, up to collisions of hashes (64 bits for words, 56 for pairs).
 Nothing is collected but N, V and a bounded histogram. Documents are cut by id
 into blocks of some megabytes. For each block every bucket of hashes receives
 the block's distinct n-grams with their counts there, as one row; it adds up
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,10 @@ from .langid import crc_fold
 from .shared import row_key, saved, ship
 from .textbytes import LOWER, chunks, column_bytes, combine, word_hashes
 
-BLOCK = 8 << 20  # bytes of text
-FLUSH = 24 << 20  # bytes of text whose n-grams a map task folds together
+BLOCK = 4 << 20  # bytes of text
+FLUSH = 8 << 20  # bytes of text that a map task folds together
+PAIR_BITS = 56  # of a pair's hash
+DELETED = 8  # every so many-th block is held out of the counts that its tokens are predicted by, for the weights
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A27571235)
 _STEPS = 16  # histogram bins for each factor of ten
 _FLOOR = 12 * _STEPS
@@ -71,6 +74,19 @@ def _unplanes(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _spread(counts: np.ndarray) -> bytes:
+    """Counts as byte planes, for the same reason."""
+    return np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unspread(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def pair_hashes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return combine([contexts(tokens, at), tokens]) >> np.uint64(64 - PAIR_BITS)
+
+
 def _block_of(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Block of each document: its id's range; an id that fills several ranges is spread over them."""
     low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
@@ -92,9 +108,10 @@ def _ask(bounds: np.ndarray, n_buckets: int):
                 order = np.argsort(keys)
                 keys = keys[order]
                 head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                n = np.add.reduceat(weight[order], head)
+                n = np.add.reduceat(weight[order], head, dtype=np.int64)
                 keys = keys[head]
-                cuts = np.searchsorted(keys, (np.arange(1, n_buckets, dtype=np.float64) * (2.0**64 / n_buckets)).astype(np.uint64))
+                width = 2.0 ** (64 if kind == 1 else PAIR_BITS) / n_buckets
+                cuts = np.searchsorted(keys, (np.arange(1, n_buckets) * width).astype(np.uint64))
                 cuts = [0, *cuts.tolist(), len(keys)]
                 for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if e > s:
@@ -111,9 +128,9 @@ def _ask(bounds: np.ndarray, n_buckets: int):
             block = _block_of(bounds, ids, hashes)
             for i, j in chunks(offsets):
                 tokens, at = token_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                pairs = combine([contexts(tokens, at), tokens])
+                pairs = pair_hashes(tokens, at)
                 owner = np.repeat(np.arange(i, j), np.diff(at))
-                weight, of = learns[owner].astype(np.int64), block[owner]
+                weight, of = learns[owner].astype(np.uint8), block[owner]
                 for b in np.unique(block[i:j]).tolist():
                     use = of == b
                     parts[b].append((tokens[use], pairs[use], weight[use]))
@@ -143,7 +160,7 @@ def _answer(table: pa.Table) -> pa.Table:
         n = np.unique(np.concatenate(n))
         n = n[total[n] > 1]
         if len(n):
-            out.append((kind, b, _planes(every[n]), total[n].astype(np.uint64).tobytes()))
+            out.append((kind, b, _planes(every[n]), _spread(total[n])))
     cols = list(zip(*out, strict=True))
     return pa.table({"kind": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int64()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
 
@@ -162,20 +179,60 @@ def _totals(keys: np.ndarray, learns: np.ndarray, answers: list[tuple[np.ndarray
     return total[where]
 
 
+def _pack(bounds: np.ndarray, every: int):
+    """Documents of each block (of every ``every``-th block), some megabytes in one compressed row."""
+
+    def flush(parts: dict[int, list[pa.RecordBatch]]) -> pa.RecordBatch:
+        blobs = []
+        for got in parts.values():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, got[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for batch in got:
+                    out.write_batch(batch)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["block", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = defaultdict(list), 0
+        for batch in batches:
+            block = _block_of(bounds, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            for b in np.unique(block).tolist():
+                if b % every == 0:
+                    part = batch.take(pa.array(np.flatnonzero(block == b)))
+                    parts[b].append(part)
+                    size += part.nbytes
+            if size >= FLUSH:
+                yield flush(parts)
+                parts, size = defaultdict(list), 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def _unpack(packed: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in packed["docs"].to_pylist()])
+
+
 def _with_counts(docs: pa.Table, answers: pa.Table, n_starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token offsets, c(v, w), c(v) and c(w) of a block's documents."""
     data, offsets = column_bytes(docs["text"])
-    tokens, at = token_hashes(data, offsets)
-    before = contexts(tokens, at)
-    learns = np.repeat(docs["learns"].to_numpy().astype(np.int64), np.diff(at))
+    tokens, pairs, ends = [], [], [np.zeros(1, np.int64)]
+    for i, j in chunks(offsets):
+        part, at = token_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        tokens.append(part)
+        pairs.append(pair_hashes(part, at))
+        ends.append(at[1:] + ends[-1][-1])
+    tokens, pairs, at = np.concatenate(tokens), np.concatenate(pairs), np.concatenate(ends)
+    learns = np.repeat(docs["learns"].to_numpy().astype(np.uint8), np.diff(at))
     got: dict[int, list] = {1: [], 2: []}
     for kind, keys, counts in zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-        got[kind].append((_unplanes(keys), np.frombuffer(counts, np.uint64).astype(np.int64)))
+        got[kind].append((_unplanes(keys), _unspread(counts)))
     c_w = _totals(tokens, learns, got[1])
     c_v = np.empty_like(c_w)
     c_v[1:] = c_w[:-1]
     c_v[at[:-1]] = n_starts
-    return at, _totals(combine([before, tokens]), learns, got[2]), c_v, c_w
+    return at, _totals(pairs, learns, got[2]), c_v, c_w
 
 
 def magnitude(c: np.ndarray) -> np.ndarray:
@@ -197,7 +254,8 @@ def _value(b: np.ndarray) -> np.ndarray:
 def _histogram(n_starts: int, n_tokens: int):
     """How many held-out tokens have their context in a bucket and their deleted estimates in a pair of bins."""
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unpack(packed).filter(pa.compute.field("learns")) if packed.num_rows else packed
         if not docs.num_rows:
             return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         _, c_vw, c_v, c_w = _with_counts(docs, answers, n_starts)
@@ -240,7 +298,8 @@ _SCORES = "_id long, _h long, n_tokens long, n_known long, base_score double, sc
 
 
 def _score(n_starts: int, n_tokens: int, vocabulary: int, weights: np.ndarray):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = _unpack(packed) if packed.num_rows else packed
         if not docs.num_rows:
             return pa.table({n: pa.array([], pa.int64() if t == "long" else pa.float64()) for n, t in (f.split() for f in _SCORES.split(", "))})
         at, c_vw, c_v, c_w = _with_counts(docs, answers, n_starts)
@@ -262,11 +321,11 @@ def _score(n_starts: int, n_tokens: int, vocabulary: int, weights: np.ndarray):
     return run
 
 
-def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, deleted: int = 0) -> DataFrame:
+def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> DataFrame:
     """Log10 probability of every text.
 
     The model learns from documents whose crc32 of the id as text, modulo ``folds``, is not ``held_out``; its weights come from
-    the learning documents of fold ``deleted``. Returns one row for each row of ``docs``: doc_id, held_out, n_tokens, n_known (tokens that learning documents hold), train_tokens, vocabulary,
+    every DELETED-th block of them. Returns one row for each row of ``docs``: doc_id, held_out, n_tokens, n_known (tokens that learning documents hold), train_tokens, vocabulary,
     base_score (add-half unigrams), score.
 
     A null text counts as empty and is its end alone. A null id is in the fold of the empty text. Repeated rows count as often as
@@ -291,19 +350,16 @@ def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, dele
         n_tokens, vocabulary = n_tokens + int(a), vocabulary + int(b)
     given = answers.where("block is not null").groupBy("block")
 
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block = _block_of(bounds, batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", *batch.schema.names])
-
-    def blocked(df: DataFrame):
-        return df.select("_id", "_h", learns, "text").mapInArrow(located, "block long, _id long, _h long, learns boolean, text string").groupBy("block")
+    def blocked(every: int):
+        packed = rows.select("_id", "_h", learns, "text").mapInArrow(_pack(bounds, every), "block long, docs binary")
+        return packed.groupBy("block")
 
     starts = seen["starts"]
-    held = blocked(rows.where(F.col("fold") == deleted)).cogroup(given).applyInArrow(_histogram(starts, n_tokens), "code long, n long")
+    some = answers.where(F.col("block") % DELETED == 0).groupBy("block")
+    held = blocked(DELETED).cogroup(some).applyInArrow(_histogram(starts, n_tokens), "code long, n long")
     histogram = {r["code"]: r["n"] for r in held.groupBy("code").agg(F.sum("n").alias("n")).collect()}
     weights = learn_weights(histogram, vocabulary)
-    scores = blocked(rows).cogroup(given).applyInArrow(_score(starts, n_tokens, vocabulary, weights), _SCORES)
+    scores = blocked(1).cogroup(given).applyInArrow(_score(starts, n_tokens, vocabulary, weights), _SCORES)
     id_type = rows.schema["doc_id"].dataType
     doc_id = F.when(F.col("_id") != F.lit(-(2**63)).cast("long"), F.col("_id")).cast(id_type)
     out = crc_fold(doc_id, folds) == held_out

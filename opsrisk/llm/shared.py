@@ -16,11 +16,18 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 _PACKAGE = "opsrisk_package.zip"
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package (once for each application)."""
+    """Give the executors' Python workers this package (once for each application).
+
+    Also bounds the bytes of an Arrow batch: ten thousand long texts in one would not fit a worker.
+    """
     sc = spark.sparkContext
+    bytes_conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bytes_conf) == "67108864b":  # Spark's default; a user's own setting stays
+        spark.conf.set(bytes_conf, f"{BATCH_BYTES}b")
     if any(f.endswith(_PACKAGE) for f in sc.listFiles):
         return
     root = Path(__file__).resolve().parents[2]
