@@ -37,9 +37,12 @@ def run_timestamp() -> str:
 def latest_prediction(predictions: DataFrame, order_col: str | None = None) -> DataFrame:
     """A4: one predicted risk per workflow id; the last row (by ``order_col``) wins.
 
-    ``max_by`` aggregates partially on the map side, so a hot id costs one row per task."""
+    Without ``order_col`` there is no last row: an id with several predictions fails the job.
+    Both aggregate partially on the map side, so a hot id costs one row per task."""
     if order_col is None:
-        return predictions.groupBy(WORKFLOW_ID).agg(F.max("predicted_risk").alias("predicted_risk"))
+        one = predictions.groupBy(WORKFLOW_ID).agg(F.count(F.lit(1)).alias("n"), F.max("predicted_risk").alias("p"))
+        several = F.raise_error(F.concat(F.lit("several predictions and no order column for workflow "), F.col(WORKFLOW_ID)))
+        return one.select(WORKFLOW_ID, F.when(F.col("n") > 1, several.cast("string")).otherwise(F.col("p")).alias("predicted_risk"))
     return predictions.groupBy(WORKFLOW_ID).agg(F.max_by("predicted_risk", order_col).alias("predicted_risk"))
 
 
@@ -97,16 +100,15 @@ def generate_alerts(
     ``predictions`` is a column name already on ``df``, or a (workflow_id,
     predicted_risk[, order_col]) frame looked up by id (A4: the last row in
     ``order_col`` order wins), or None (no R7). ``order_col`` on ``df`` fixes
-    which duplicate row comes first for the dedup (A3); without it the scan
-    order is used.
+    which duplicate row comes first for the dedup (A3); without it the rows are
+    numbered as ``df`` delivers them, before any join: the scan order of a scanned table.
     """
-    base, pred_col = _with_prediction(df, predictions, order_col)
-    scored = with_triggers(base, cfg, pred_col)
     dedup_col = order_col if order_col in df.columns else None
     if dedup and dedup_col is None:
         dedup_col = "_row_pos"
-        scored = scored.withColumn(dedup_col, F.monotonically_increasing_id())
-    return alerts_from_scored(scored, generated_at, dedup, dedup_col)
+        df = df.withColumn(dedup_col, F.monotonically_increasing_id())
+    base, pred_col = _with_prediction(df, predictions, order_col)
+    return alerts_from_scored(with_triggers(base, cfg, pred_col), generated_at, dedup, dedup_col)
 
 
 def _with_prediction(df: DataFrame, predictions, order_col: str | None):

@@ -32,7 +32,6 @@ from ..schema import (
 
 log = logging.getLogger(__name__)
 ERROR, WARNING = "error", "warning"
-DEFAULT_MAX_LISTED = 1000
 
 # fixed values: message texts of the checks
 OVER_ONE_HINT = (
@@ -175,31 +174,15 @@ def check_counts(df: DataFrame) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def py_repr(s: Column) -> Column:
-    """Python ``repr`` of a string (quote choice and backslash escapes)."""
-    esc = F.replace(s, F.lit("\\"), F.lit("\\\\"))
-    has_single = F.contains(s, F.lit("'"))
-    has_double = F.contains(s, F.lit('"'))
+def issue_values(df: DataFrame) -> DataFrame:
+    """Every value behind the duplicate-id and unknown-status issues: (check, value, n), complete at any size."""
+    flags = _flags(df)
     return (
-        F.when(~has_single, F.concat(F.lit("'"), esc, F.lit("'")))
-        .when(~has_double, F.concat(F.lit('"'), esc, F.lit('"')))
-        .otherwise(F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        duplicate_ids(flags).select(F.lit("duplicate_workflow_id").alias("check"), F.col(WORKFLOW_ID).alias("value"), "n")
+        .unionByName(unknown_status_values(flags).select(F.lit("unknown_status").alias("check"), "value", "n"))
     )
 
 
-def listed(values: DataFrame, col: str, max_listed: int = DEFAULT_MAX_LISTED) -> DataFrame:
-    """One row (n, text): count of values and the Python-list text of the smallest ``max_listed``.
-
-    The top-k is a bounded ``TakeOrderedAndProject`` (k rows per task), so no
-    task or driver ever holds the whole value set."""
-    first = values.orderBy(col).limit(max_listed).select(F.col(col).alias("v"), F.lit(None).cast("bigint").alias("n"))
-    total = values.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("v"), "n")
-    one = first.unionByName(total).agg(F.max("n").alias("n"), F.array_sort(F.collect_list("v")).alias("vals"))
-    body = F.array_join(F.transform("vals", py_repr), ", ")
-    more = F.when(F.col("n") > F.size("vals"), F.concat(F.lit(", ... ("), (F.col("n") - F.size("vals")).cast("string"), F.lit(" more)")))
-    return one.select("n", F.concat(F.lit("["), body, F.coalesce(more, F.lit("")), F.lit("]")).alias("text"))
-
-
 def _count_message(check: str) -> Column:
     n = F.col("n").cast("string")
     col = F.col("column")
@@ -214,10 +197,12 @@ def _count_message(check: str) -> Column:
         return F.concat(F.lit("Column 'sla_hours' has "), n, F.lit(" value(s) <= 0"))
     if check == "inconsistent_timestamps":
         return F.concat(n, F.lit(" row(s) have updated_at before created_at"))
+    if check == "unknown_status":
+        return F.concat(F.lit("Unrecognized status value(s) in "), n, F.lit(" row(s)"))
     raise ValueError(check)
 
 
-def issue_report(df: DataFrame, max_listed: int = DEFAULT_MAX_LISTED, materialize: bool = False) -> DataFrame:
+def issue_report(df: DataFrame, materialize: bool = False) -> DataFrame:
     """V10 as a frame: (check_rank, severity, check, column, n, message), only checks that found something.
 
     Missing required columns short-circuit to the single V1 issue. With
@@ -238,29 +223,16 @@ def issue_report(df: DataFrame, max_listed: int = DEFAULT_MAX_LISTED, materializ
 
         ensure_checkpoint_dir(spark)
         df = df.checkpoint(eager=True)
-    dup = listed(duplicate_ids(df), WORKFLOW_ID, max_listed).select(
+    dup = duplicate_ids(df).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(1).cast("bigint").alias("check_rank"), F.lit(ERROR).alias("severity"), F.lit("duplicate_workflow_id").alias("check"),
-        F.lit(WORKFLOW_ID).alias("column"), "n", F.concat(F.lit("Duplicate workflow_id values found: "), F.col("text")).alias("message"),
+        F.lit(WORKFLOW_ID).alias("column"), "n",
+        F.concat(F.lit("Duplicate workflow_id values found: "), F.col("n").cast("string"), F.lit(" id(s)")).alias("message"),
     )
-    counts = check_counts(df)
     msg = F.lit(None).cast("string")
-    for check in ("null_critical_field", "negative_value", "unit_interval_bounds", "impossible_sla", "inconsistent_timestamps"):
+    for check in ("null_critical_field", "negative_value", "unit_interval_bounds", "impossible_sla", "inconsistent_timestamps", "unknown_status"):
         msg = F.when(F.col("check") == check, _count_message(check)).otherwise(msg)
-    counted = counts.where(F.col("check") != "unknown_status").select(
-        "check_rank", "severity", "check", "column", "n", msg.alias("message")
-    )
-    status = listed(unknown_status_values(df), "value", max_listed)
-    # The warning counts rows (not distinct values): take n from the one-pass counts.
-    unk = (
-        status.select(F.lit(None).cast("bigint").alias("rows"), "text")
-        .unionByName(counts.where(F.col("check") == "unknown_status").select(F.col("n").alias("rows"), F.lit(None).cast("string").alias("text")))
-        .agg(F.max("rows").alias("n"), F.max("text").alias("text"))
-        .select(
-            F.lit(60).cast("bigint").alias("check_rank"), F.lit(WARNING).alias("severity"), F.lit("unknown_status").alias("check"),
-            F.lit("status").alias("column"), "n", F.concat(F.lit("Unrecognized status value(s): "), F.col("text")).alias("message"),
-        )
-    )
-    return dup.unionByName(counted).unionByName(unk).where(F.col("n") > 0)
+    counted = check_counts(df).select("check_rank", "severity", "check", "column", "n", msg.alias("message"))
+    return dup.unionByName(counted).where(F.col("n") > 0)
 
 
 @dataclass
@@ -307,14 +279,14 @@ class ValidationResult:
         return v.select(WORKFLOW_ID)
 
 
-def validate_workflow_data(df: DataFrame, max_listed: int = DEFAULT_MAX_LISTED) -> ValidationResult:
+def validate_workflow_data(df: DataFrame) -> ValidationResult:
     """Run the checks, return the issue list (one small collect of ≤ 21 rows)."""
     missing = missing_required_columns(df)
     if missing:
         return ValidationResult([ValidationIssue(ERROR, "required_columns", f"Missing required columns: {missing}", None, len(missing))])
     flags = check_flags(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = issue_report(flags, max_listed).orderBy("check_rank").collect()
+        rows = issue_report(flags).orderBy("check_rank").collect()
     finally:
         flags.unpersist()
     issues = [ValidationIssue(r["severity"], r["check"], r["message"], r["column"], int(r["n"])) for r in rows]

@@ -483,14 +483,7 @@ register("dq_violations", _violations_sql())(lambda spark, sf: Q.violations(_dir
 
 
 def _issue_report_sql() -> str:
-    def lst(sql_values: str) -> str:
-        return f"(select '[' || string_agg('''' || v || '''', ', ' order by v) || ']' from ({sql_values}))"
-
     dup_vals = "select coalesce(workflow_id, 'nan') as v from workflows_dirty group by 1 having count(*) > 1"
-    unk_vals = (
-        "select distinct coalesce(status, 'nan') as v from workflows_dirty "
-        "where not coalesce(status in ('open', 'in_progress', 'on_hold', 'completed', 'cancelled'), false)"
-    )
     msg = (
         "case \"check\" "
         "when 'null_critical_field' then 'Column ''' || \"column\" || ''' has ' || n || ' null value(s)' "
@@ -499,18 +492,26 @@ def _issue_report_sql() -> str:
         "case when n_over > 0 then ' (' || n_over || '" + Q.OVER_ONE_HINT + "' else '' end "
         "when 'impossible_sla' then 'Column ''sla_hours'' has ' || n || ' value(s) <= 0' "
         "when 'inconsistent_timestamps' then n || ' row(s) have updated_at before created_at' "
-        "when 'unknown_status' then 'Unrecognized status value(s): ' || " + lst(unk_vals) + " end"
+        "when 'unknown_status' then 'Unrecognized status value(s) in ' || n || ' row(s)' end"
     )
     body = (
         "select cast(1 as bigint) as check_rank, 'error' as severity, 'duplicate_workflow_id' as \"check\", "
         f"'workflow_id' as \"column\", (select count(*) from ({dup_vals})) as n, "
-        f"'Duplicate workflow_id values found: ' || {lst(dup_vals)} as message "
+        f"'Duplicate workflow_id values found: ' || (select count(*) from ({dup_vals})) || ' id(s)' as message "
         f"where (select count(*) from ({dup_vals})) > 0 "
         f"union all select check_rank, severity, \"check\", \"column\", n, {msg} as message from counts where n > 0"
     )
     return _dq_sql(body)
 
 
+register("dq_issue_values", O.with_ctes(
+    "select 'duplicate_workflow_id' as \"check\", coalesce(workflow_id, 'nan') as value, count(*) as n from workflows_dirty "
+    "group by 2 having count(*) > 1 union all "
+    "select 'unknown_status', coalesce(status, 'nan'), count(*) from workflows_dirty "
+    "where not coalesce(status in ('open', 'in_progress', 'on_hold', 'completed', 'cancelled'), false) group by 2",
+    dirty=True,
+))(lambda spark, sf: Q.issue_values(_dirty(spark, sf)))
+
 register("dq_issue_report", _issue_report_sql())(lambda spark, sf: Q.issue_report(_dirty(spark, sf), materialize=True))
 
 
@@ -558,23 +559,16 @@ def _views_sql(body: str, with_alerts: bool = False) -> str:
     return O.with_ctes(body, labeled=True, extra=extra)
 
 
-_OUTPUTS: dict = {}
-
-
 def _saved_outputs(spark, sf):
-    """The run outputs the report views read (predictions, raw workflows, alerts,
-    recommendations). Each is derived on first use per session and checkpointed
-    into the shared folder, like the saved files the views reload, so view plans
-    start from these tables instead of re-deriving them."""
-    from ..session import ensure_checkpoint_dir
-
-    key = (id(spark), spark.sparkContext.applicationId, sf)
-    return _OUTPUTS.setdefault(key, _LazyOutputs(spark, sf, ensure_checkpoint_dir))
+    """The run outputs that a report view reads (predictions, raw workflows, alerts, recommendations): each
+    that it asks for is written as Parquet to the shared folder and read again, as the views reload saved
+    files. Nothing outlives the query that asked."""
+    return _LazyOutputs(spark, sf)
 
 
 class _LazyOutputs:
-    def __init__(self, spark, sf, ensure_dir):
-        self.spark, self.sf, self.ensure_dir, self.done = spark, sf, ensure_dir, {}
+    def __init__(self, spark, sf):
+        self.spark, self.sf, self.done = spark, sf, {}
 
     def _lookup(self):
         return self["predictions"].select("workflow_id", "predicted_risk")
@@ -593,8 +587,9 @@ class _LazyOutputs:
 
     def __getitem__(self, name):
         if name not in self.done:
-            self.ensure_dir(self.spark)
-            self.done[name] = self._build(name).checkpoint(eager=True)
+            path = scratch_path(self.spark, f"outputs-{name}")
+            self._build(name).write.parquet(path)
+            self.done[name] = self.spark.read.parquet(path)
         return self.done[name]
 
 
@@ -724,11 +719,12 @@ from ..sources import files as IO  # noqa: E402
 def q_scan_workflows(spark, sf):
     """Round trip through the CSV scanner: write the table as CSV text, scan it back typed;
     ``n_unparsed`` counts the rescued text cells of each row (none for this table)."""
-    from ..schema import REQUIRED_COLUMNS
+    from ..schema import LONG_COLUMNS, REQUIRED_COLUMNS
 
     path = scratch_path(spark, "workflows-csv")
     IO._write_csv(tables.workflows(spark, sf), path)
     back = IO.load_workflow_data(spark, path, "csv")
+    back = back.withColumns({c: F.col(c).cast("bigint") for c in LONG_COLUMNS})  # whole numbers in this table
     return back.select(*REQUIRED_COLUMNS, F.coalesce(F.size(IO.UNPARSED), F.lit(0)).cast("bigint").alias("n_unparsed"))
 
 
@@ -769,20 +765,27 @@ def q_alerts_csv_roundtrip(spark, sf):
 
 
 @register("kpi_summary_json", _long_sql(DEFAULT_RULE_CONFIG, True) + (
-    "select (select count(*) from eng) as total_workflows, "
-    "(select count_if(sla_utilization >= 1.0e0) from eng) as sla_breach_count, "
-    "(select count(distinct department) from eng) as n_departments, "
-    "(select count_if(predicted_risk = 'high') from eng) as risk_high"
+    "select 'total_workflows' as item, null as value, cast(count(*) as double) as number from eng "
+    "union all select 'sla_breach_count', null, cast(count_if(sla_utilization >= 1.0e0) as double) from eng "
+    "union all select 'risk_high', null, cast(count_if(predicted_risk = 'high') as double) from eng "
+    "union all select 'status', status, cast(count(*) as double) from eng where status is not null group by 2 "
+    "union all select 'department', department, cast(count(*) as double) from eng where department is not null group by 2 "
+    "union all select 'priority', priority, cast(count(*) as double) from eng where priority is not null group by 2"
 ))
 def q_kpi_summary_json(spark, sf):
+    """Document and category rows, saved and read again."""
     path = scratch_path(spark, "kpi") + ".json"
-    IO.save_json(spark, kpis.build_kpi_summary(_labeled_as_predicted(spark, sf), "predicted_risk"), path)
-    back = spark.read.option("multiLine", True).json(path)
-    return back.select(
-        F.col("volume.total_workflows").alias("total_workflows"),
-        F.col("sla.sla_breach_count").alias("sla_breach_count"),
-        F.size("by_department").cast("bigint").alias("n_departments"),
-        F.col("risk.counts.high").alias("risk_high"),
+    scored = _labeled_as_predicted(spark, sf)
+    IO.save_json(spark, kpis.build_kpi_summary(scored, "predicted_risk"), path)
+    IO.save_kpi_categories(kpis.category_table(scored), path)
+    doc = spark.read.option("multiLine", True).json(path)
+    number = lambda name, c: F.struct(F.lit(name).alias("item"), F.lit(None).cast("string").alias("value"), F.col(c).cast("double").alias("number"))
+    scalars = F.array(
+        number("total_workflows", "volume.total_workflows"), number("sla_breach_count", "sla.sla_breach_count"), number("risk_high", "risk.counts.high")
+    )
+    rows = spark.read.schema(IO.CATEGORIES_SCHEMA).json(IO._categories_path(path))
+    return doc.select(F.inline(scalars)).unionByName(
+        rows.select(F.col("dimension").alias("item"), "value", F.col("workflow_count").cast("double").alias("number"))
     )
 
 

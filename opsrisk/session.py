@@ -29,7 +29,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # them is super-linear in expression size (seconds of optimizer time
         # per query) and adds no useful filter to these plans.
         .config("spark.sql.constraintPropagation.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("OPSRISK_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("OPSRISK_DRIVER_MEMORY", "4g"))
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -81,6 +81,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="opsrisk-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

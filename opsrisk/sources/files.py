@@ -65,6 +65,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end (Spark's success mark); a plain file is complete if it exists."""
+    fs, p = _fs_path(spark, path)
+    return bool(fs.exists(p)) and (bool(fs.getFileStatus(p).isFile()) or path_exists(spark, path.rstrip("/") + "/_SUCCESS"))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write one small UTF-8 document (overwrite)."""
     fs, p = _fs_path(spark, path)
@@ -100,9 +106,9 @@ def _typed(name: str, c: Column) -> Column:
         d = c.try_cast("double")
         return F.when(~F.isnan(d), d).alias(name)
     if name in LONG_COLUMNS:
+        # counts may be fractional (7.5, -1.5): they are checked and used as they stand
         d = c.try_cast("double")
-        # integral text ("5", "5.0") → 5; fractional or out-of-range text → null
-        return F.when(d == F.floor(d), d.try_cast("bigint")).alias(name)
+        return F.when(~F.isnan(d), d).alias(name)
     if name in DATETIME_COLUMNS:
         return c.try_cast("timestamp_ntz").alias(name)
     return c.alias(name)
@@ -129,6 +135,9 @@ def type_workflows(raw: DataFrame) -> DataFrame:
     rescued = []
     for name, typ in raw.dtypes:
         c = F.col(f"`{name}`")
+        if name == _ROW_TEXT:
+            rescued.append(F.when(c.isNotNull(), F.struct(F.lit(name).alias("k"), c.alias("v"))))
+            continue
         if typ == "string":
             text = _na_to_null(c)
             typed = _typed(name, text)
@@ -139,8 +148,8 @@ def type_workflows(raw: DataFrame) -> DataFrame:
             cols.append(c.try_cast("timestamp_ntz").alias(name))
         elif name in DOUBLE_COLUMNS and typ != "double":
             cols.append(c.try_cast("double").alias(name))
-        elif name in LONG_COLUMNS and typ != "bigint":
-            cols.append(c.try_cast("bigint").alias(name))
+        elif name in LONG_COLUMNS and typ not in ("bigint", "double"):
+            cols.append(c.try_cast("double" if typ in ("float",) or typ.startswith("decimal") else "bigint").alias(name))
         else:
             cols.append(c)
     if rescued and UNPARSED not in raw.columns:
@@ -149,9 +158,26 @@ def type_workflows(raw: DataFrame) -> DataFrame:
     return raw.select(*cols)
 
 
-def load_workflow_data(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+# Quotes inside a quoted field are doubled, on read and write; a backslash is an ordinary character.
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"'}
+_ROW_TEXT = "_row_text"
+
+
+def _scan_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Text columns by the header. A row with another number of fields keeps its text in ``_row_text``."""
+    reader = spark.read.options(**CSV_DIALECT).option("multiLine", multi_line)
+    names = reader.option("inferSchema", False).csv(path).columns
+    fields = [T.StructField(c, T.StringType()) for c in [*names, _ROW_TEXT]]
+    return reader.schema(T.StructType(fields)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _ROW_TEXT).csv(path)
+
+
+def load_workflow_data(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame:
     """Scan a workflow table (CSV with header, or parquet) with contract types.
 
+    Quoted CSV fields may hold quotes (doubled), commas and, with ``multi_line``, line ends; a file is
+    then one scan task, so very large files without line ends in fields are better read without it.
+    A row with too many or too few fields keeps its whole text in ``_unparsed`` under ``_row_text``.
+
     Raises ``FileNotFoundError`` when the path does not exist (S3)."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Workflow data file not found: {path}")
@@ -160,12 +186,7 @@ def load_workflow_data(spark: SparkSession, path: str, fmt: str | None = None) -
         if fmt == "parquet":
             raw = spark.read.parquet(path)
         else:
-            raw = (
-                spark.read.option("header", True)
-                .option("inferSchema", False)
-                .option("mode", "PERMISSIVE")
-                .csv(path)
-            )
+            raw = _scan_csv(spark, path, multi_line)
     except AnalysisException as e:  # path vanished between the check and the scan
         raise FileNotFoundError(f"Workflow data file not found: {path}") from e
     return type_workflows(raw)
@@ -183,7 +204,7 @@ def predictions_flat(predictions: DataFrame) -> DataFrame:
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_DIALECT).csv(path)
 
 
 def save_predictions(predictions: DataFrame, path: str) -> None:
@@ -206,6 +227,18 @@ def save_json(spark: SparkSession, doc: dict, path: str) -> None:
     write_text(spark, path, json.dumps(doc, indent=2))
 
 
+def _categories_path(path: str) -> str:
+    return path.removesuffix(".json") + "_categories"
+
+
+def save_kpi_categories(categories: DataFrame, path: str) -> None:
+    """The category rows beside the document ``path``, as a folder of JSON lines."""
+    categories.write.mode("overwrite").json(_categories_path(path))
+
+
+CATEGORIES_SCHEMA = "dimension string, value string, workflow_count bigint, avg_sla_utilization double, avg_error_rate double"
+
+
 def load_json(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, path))
 
@@ -237,7 +270,7 @@ RECOMMENDATIONS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
 
 
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.options(**CSV_DIALECT).option("multiLine", True).schema(schema).csv(path)
 
 
 def load_outputs(spark: SparkSession, paths: dict[str, str]) -> dict | None:
@@ -245,18 +278,22 @@ def load_outputs(spark: SparkSession, paths: dict[str, str]) -> dict | None:
 
     ``paths`` keys: predictions, alerts, recommendations, kpi_summary and
     optionally workflows (raw table) and metadata. None when any of the four
-    outputs is missing; raw table and metadata are optional."""
+    outputs is missing or was not written to its end; raw table and metadata are optional."""
     required = ("predictions", "alerts", "recommendations", "kpi_summary")
-    if any(not path_exists(spark, paths[k]) for k in required):
+    if any(not is_complete(spark, paths[k]) for k in required):
         return None
     out = {
         "predictions": _read_csv(spark, paths["predictions"], PREDICTIONS_SCHEMA),
         "alerts": _read_csv(spark, paths["alerts"], ALERTS_SCHEMA),
         "recommendations": _read_csv(spark, paths["recommendations"], RECOMMENDATIONS_SCHEMA),
         "kpi_summary": load_json(spark, paths["kpi_summary"]),
+        "kpi_categories": None,
         "workflows": None,
         "model_metadata": None,
     }
+    categories = _categories_path(paths["kpi_summary"])
+    if is_complete(spark, categories):
+        out["kpi_categories"] = spark.read.schema(CATEGORIES_SCHEMA).json(categories)
     raw = paths.get("workflows")
     if raw and path_exists(spark, raw):
         out["workflows"] = load_workflow_data(spark, raw)

@@ -27,18 +27,9 @@ TABLES = (
 ).split()
 
 
-_READERS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of one driver table. The driver tables are read-only, so one reader per
-    (session, path) is reused instead of re-listing files and footers per query."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _READERS.get(key)
-    if df is None:
-        df = _READERS[key] = spark.read.parquet(path)
-    return df
+    """Scan of one driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _line_summary(lineitem: DataFrame) -> DataFrame:

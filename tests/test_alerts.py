@@ -1,3 +1,4 @@
+import pytest
 from conftest import row
 from pyspark.sql import functions as F
 
@@ -65,3 +66,10 @@ def test_recommendation_categories_cover_all_rules(make_df):
     cats = [r["category"] for r in generate_recommendations(df, "predicted_risk").collect()]
     assert cats == ["review_sla", "investigate_errors", "reduce_rework", "assess_automation", "rebalance_workload",
                     "escalate"]
+
+
+def test_lookup_without_order_column(spark, make_df):
+    one = spark.createDataFrame([("WF-1", "high")], "workflow_id string, predicted_risk string")
+    assert [x["type"] for x in generate_alerts(make_df([row()]), one, generated_at=STAMP).collect()] == ["high_risk_escalation"]
+    with pytest.raises(Exception, match="several predictions and no order column"):
+        generate_alerts(make_df([row()]), one.unionByName(one), generated_at=STAMP).collect()

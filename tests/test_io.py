@@ -24,7 +24,7 @@ def _tmp(text, name="w.csv"):
 def test_csv_types_and_lenient_values(spark):
     df = IO.load_workflow_data(spark, _tmp(CSV))
     types = dict(df.dtypes)
-    assert types["sla_hours"] == "double" and types["manual_steps"] == "bigint"
+    assert types["sla_hours"] == "double" and types["manual_steps"] == "double"
     assert types["created_at"] == "timestamp_ntz" and types["risk_label"] == "string"
     r = {x["workflow_id"]: x for x in df.collect()}
     assert r["WF-1000"]["updated_at"].microsecond == 251852  # ns truncated to µs
@@ -89,3 +89,37 @@ def test_garbage_numeric_passes_null_check_like_reference(spark):
     assert ("null_critical_field", "elapsed_hours") not in checks
     assert checks[("null_critical_field", "sla_hours")] == 1
     assert checks[("null_critical_field", "created_at")] == 1  # unparsable date is missing (coerced at load)
+
+
+def test_csv_quotes_line_ends_and_fractions(spark):
+    from opsrisk.operators.alerts import generate_alerts
+    from opsrisk.operators.quality import validate_workflow_data
+
+    head = CSV.strip().split("\n")[0]
+    names = head.split(",")
+    base = dict(zip(names, CSV.strip().split("\n")[1].split(",")))
+
+    def line(**kw):
+        return ",".join({**base, **kw}[c] for c in names)
+
+    text = "\n".join([head, line(workflow_id="A", workflow_name='"say ""hi"", now"'), line(workflow_id="B", workflow_name='"two\nlines, one name"'),
+                      line(workflow_id="C", manual_steps="-1.5", error_count="7.5"), line(workflow_id="D") + ",extra"])
+    rows = {r["workflow_id"]: r for r in IO.load_workflow_data(spark, _tmp(text)).collect()}
+    assert set(rows) == {"A", "B", "C", "D"}
+    assert rows["A"]["workflow_name"] == 'say "hi", now' and rows["B"]["workflow_name"] == "two\nlines, one name"
+    assert rows["C"]["manual_steps"] == -1.5 and rows["C"]["error_count"] == 7.5
+    assert rows["D"][IO.UNPARSED]["_row_text"].endswith(",extra") and rows["A"][IO.UNPARSED] is None
+    df = IO.load_workflow_data(spark, _tmp(text)).where("workflow_id = 'C'")
+    assert ("negative_value", "manual_steps") in {(i.check, i.column) for i in validate_workflow_data(df).issues}
+    assert "high_error" in {r["type"] for r in generate_alerts(df, generated_at="t").collect()}
+
+
+def test_unfinished_outputs_are_not_loaded(spark):
+    import os
+    import tempfile
+
+    d = tempfile.mkdtemp(prefix="opsrisk-out-", dir="/tmp")
+    for k in ("p", "a", "r"):
+        os.makedirs(f"{d}/{k}")
+    IO.save_json(spark, {}, f"{d}/k.json")
+    assert IO.load_outputs(spark, {"predictions": f"{d}/p", "alerts": f"{d}/a", "recommendations": f"{d}/r", "kpi_summary": f"{d}/k.json"}) is None

@@ -21,18 +21,6 @@ def test_stream_alerts_equal_batch(spark):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
-def test_stream_dedup_within_watermark(spark):
-    d = tempfile.mkdtemp(prefix="opsrisk-stream-", dir="/tmp")
-    w = tables.workflows_labeled(spark, SF_SMALL)
-    w.unionByName(w).repartition(4).write.parquet(f"{d}/in")  # every record twice
-    s = alert_stream(read_workflow_stream(spark, f"{d}/in"), generated_at="t0", watermark="3650 days")
-    q = s.writeStream.format("parquet").option("checkpointLocation", f"{d}/ckpt").option("path", f"{d}/out") \
-        .trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    got = spark.read.parquet(f"{d}/out")
-    assert got.count() == generate_alerts(w, generated_at="t0", dedup=False).count()
-
-
 def test_csv_stream_matches_batch(spark):
     d = tempfile.mkdtemp(prefix="opsrisk-stream-", dir="/tmp")
     w = tables.workflows_labeled(spark, SF_SMALL)
