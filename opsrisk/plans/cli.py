@@ -17,7 +17,7 @@ import sys
 if __package__ in (None, ""):  # executed as a file by spark-submit
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from opsrisk.operators.models import RANDOM_FOREST_TREES  # noqa: E402
+from opsrisk.operators.models import RANDOM_FOREST_DEPTH, RANDOM_FOREST_TREES  # noqa: E402
 from opsrisk.schema import DEFAULT_TEST_SIZE, RANDOM_SEED  # noqa: E402
 
 
@@ -31,6 +31,8 @@ def build_parser() -> argparse.ArgumentParser:
     t.add_argument("--test-size", type=float, default=DEFAULT_TEST_SIZE)
     t.add_argument("--seed", type=int, default=RANDOM_SEED)
     t.add_argument("--num-trees", type=int, default=RANDOM_FOREST_TREES)
+    t.add_argument("--max-depth", type=int, default=RANDOM_FOREST_DEPTH)
+    t.add_argument("--max-fit-rows", type=int, default=None, help="bound of the labelled rows that models are fitted on")
     r = sub.add_parser("run", help="validate, predict, and write predictions, alerts, KPIs, recommendations")
     r.add_argument("--data-path", required=True)
     r.add_argument("--model-path", required=True)
@@ -56,7 +58,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             from opsrisk.plans.train import train_job
 
             res = train_job(spark, args.data_path, args.model_path, args.metadata_path, args.test_size, args.seed,
-                            args.num_trees)
+                            args.num_trees, args.max_depth, args.max_fit_rows)
             logging.info("trained: %s", res.metadata["test_metrics"]["f1_macro"])
         else:
             from opsrisk.plans.pipeline import pipeline_job

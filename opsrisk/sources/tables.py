@@ -32,6 +32,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def signature(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("orders", "lineitem", "customer")) -> str:
+    """Text that changes with the files of these tables (their paths, lengths and times; contents are not read)."""
+    paths = [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    one = files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("x"), F.count(F.lit(1)).alias("n")).first()
+    return f"{one['n']}-{one['x'] & (2**64 - 1):016x}"
+
+
 def _line_summary(lineitem: DataFrame) -> DataFrame:
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
     return lineitem.groupBy("l_orderkey").agg(
