@@ -150,11 +150,13 @@ def _answer(table: pa.Table) -> pa.Table:
     blocks = table["block"].to_pylist()
     keys = [_unplanes(k) for k in table["keys"].to_pylist()]
     counts = [np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()]
+    sizes = [len(k) for k in keys]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+    del keys, counts
     out = [(kind, None, b"", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())]
     mine = defaultdict(list)
-    for b, n in zip(blocks, np.split(where, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+    for b, n in zip(blocks, np.split(where, np.cumsum(sizes)[:-1]), strict=True):
         mine[b].append(n)
     for b, n in mine.items():
         n = np.unique(np.concatenate(n))
@@ -339,7 +341,7 @@ def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> D
     seen = rows.agg(F.sum(F.octet_length("text") + 1).alias("bytes"), F.count_if(learns).alias("starts"))
     seen = seen.first()
     n_blocks = max(1, -(-(seen["bytes"] or 0) // BLOCK))
-    n_buckets = max(8, n_blocks // 2)
+    n_buckets = max(8, n_blocks)
     bounds = rows.agg(F.percentile_approx("_id", [i / n_blocks for i in range(1, n_blocks)], 10 * n_blocks)).first()[0] if n_blocks > 1 else []
     bounds = np.array(bounds or [], np.int64)
     asks = rows.select("_id", "_h", learns, "text").mapInArrow(_ask(bounds, n_buckets), _ASKS)

@@ -42,7 +42,7 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` bytes (a longer text stands alone)."""
     i, n = 0, len(offsets) - 1
     while i < n:
