@@ -221,7 +221,7 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shi
     nodes = saved(sketches.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "jaccard-nodes")
     runs = runs_for(recall, top / bottom, depth)
     leaves = _leaves(nodes, runs, depth, leaf)
-    # four standard deviations below the threshold's expected agreement
+    # three and a half standard deviations below the agreement expected at the threshold
     s = top / bottom
     agree = math.floor(COORDINATES * s - 3.5 * math.sqrt(COORDINATES * s * (1 - s)))
     near = leaves.join(nodes.select("node", "sketch"), "node").groupBy("path", "part").applyInArrow(_search_bucket(agree), "a long, b long")
