@@ -1044,6 +1044,24 @@ def q_pipeline_counts(spark, sf):
     )
 
 
+@register("pipeline_alerts", ORACLE["alerts_dedup"])
+def q_pipeline_alerts(spark, sf):
+    """L1 with repeated ids: the rule alerts of a run over two copies of every workflow, row by row."""
+    from .pipeline import run_pipeline
+
+    twice = _two_copies(spark, sf).drop("copy")
+    res = run_pipeline(spark, twice, model_path=f"{_trained(spark, sf)}/random_forest", generated_at=FIXED_STAMP)
+    return res.alerts.where(F.col("type") != "high_risk_escalation")
+
+
+@register("recommendations_csv_roundtrip", ORACLE["recommendations"])
+def q_recommendations_csv_roundtrip(spark, sf):
+    """Recommendations saved as CSV and read again."""
+    path = scratch_path(spark, "recommendations-csv")
+    IO.save_recommendations(q_recommendations(spark, sf), path)
+    return IO._read_csv(spark, path, IO.RECOMMENDATIONS_SCHEMA)
+
+
 # --- risk score and soft labels (P10, P11) ----------------------------------------------------
 
 
