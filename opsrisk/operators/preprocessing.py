@@ -6,7 +6,7 @@ exact medians of the 16 numeric features (F1), mean and population standard
 deviation after imputation (F2), the most frequent value of each categorical
 with ties to the smallest (F3), and the sorted category lists (F4). Its model
 is one projection: impute, scale, one-hot (unseen or missing → all zeros),
-then a ``VectorAssembler`` (F5). All fitted state is in params, so the
+then a ``VectorAssembler`` (F5). One-hot blocks are sparse, so a column of many values stays one column. All fitted state is in params, so the
 stages save and load with the ``PipelineModel``.
 """
 
@@ -16,7 +16,7 @@ import json
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -94,15 +94,19 @@ class WorkflowPreprocessorModel(Model, _PrepParams, DefaultParamsReadable, Defau
             x = F.coalesce(as_double(c), F.lit(s["median"][c] if s["median"][c] is not None else 0.0))
             cols[f"__n_{c}"] = (x - F.lit(s["mean"][c])) / F.lit(s["scale"][c])
             slots.append(f"__n_{c}")
-        for c in self.getOrDefault(self.categoricalCols):
-            v = F.coalesce(F.col(c).cast("string"), F.lit(s["mode"][c]))
-            for j, cat in enumerate(s["categories"][c]):
-                cols[f"__c_{c}_{j}"] = (v == F.lit(cat)).cast("double")
-                slots.append(f"__c_{c}_{j}")
+        cat = [c for c in self.getOrDefault(self.categoricalCols) if s["categories"][c]]
+        text, index, block = ([f"__{kind}_{c}" for c in cat] for kind in ("t", "i", "o"))
+        for c, t in zip(cat, text):
+            cols[t] = F.coalesce(F.col(c).cast("string"), F.lit(s["mode"][c]))
         out = self.getOrDefault(self.outputCol)
         staged = dataset.withColumns(cols)
-        assembled = VectorAssembler(inputCols=slots, outputCol=out, handleInvalid="keep").transform(staged)
-        return assembled.drop(*slots)
+        if cat:
+            # a value not seen in the fit gets the index after the last one, which the encoder drops
+            for c, t, i in zip(cat, text, index):
+                staged = StringIndexerModel.from_labels(s["categories"][c], t, outputCol=i, handleInvalid="keep").transform(staged)
+            staged = OneHotEncoder(inputCols=index, outputCols=block, dropLast=True).fit(staged).transform(staged)
+        assembled = VectorAssembler(inputCols=slots + block, outputCol=out, handleInvalid="keep").transform(staged)
+        return assembled.drop(*slots, *text, *index, *block)
 
 
 def fit_statistics(df: DataFrame, numeric: list[str], categorical: list[str]) -> dict:
@@ -124,7 +128,7 @@ def fit_statistics(df: DataFrame, numeric: list[str], categorical: list[str]) ->
 
 def categorical_statistics(df: DataFrame, categorical: list[str]) -> tuple[dict, dict]:
     """Most frequent value per column (ties → smallest) and the sorted category
-    lists after imputation. One exploded ``groupBy``; bounded by the domains."""
+    lists after imputation. One exploded ``groupBy``; the lists are the model's own content, one entry for each category."""
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in categorical])
     counts = (
         df.select(F.explode(pairs).alias("p"))

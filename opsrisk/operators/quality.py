@@ -4,9 +4,8 @@ Plan: V1 is a schema check (no job). V3-V8 counts come from ONE aggregate
 pass (``count_if`` per check and column, partial aggregation on the map side),
 then an ``inline`` of one struct per check into issue rows. V2 (duplicate ids) is one ``groupBy`` on the
 id; its map-side partial count folds a hot id to one row per task. Violating
-ids stay distributed in a long ``violations`` frame (V9); only the message
-listings of V2/V8 are bounded top-k reads (``max_listed`` values, sorted), the
-rest of the list stays in the frame.
+ids stay distributed in a long ``violations`` frame (V9); messages hold counts
+only, the values behind them are frames too.
 """
 
 from __future__ import annotations

@@ -45,7 +45,6 @@ SEVERITY = {
     BACKLOG_PRESSURE: "warning",
     HIGH_RISK_ESCALATION: "critical",
 }
-TRIGGER_TYPE = "array<struct<rule_rank:int,rule_type:string,severity:string,message:string,recommended_action:string>>"
 
 
 def _is(cond: Column) -> Column:

@@ -1,12 +1,12 @@
 """Exact order statistics (k-th smallest values) without gathering a column.
 
 Used for exact medians (imputation) and the exact stratified split. Each
-round narrows a value bracket around the wanted rank: ``percentile_approx``
+round narrows a value bracket around the wanted ranks: ``percentile_approx``
 (a bounded GK sketch per task) proposes the bracket, one ``count_if`` pass
 places it by rank, and once the bracket holds few distinct values they are
 read as a small sorted (value, count) table. Every pass is a partial
 aggregate, so a hot value (a third of the rows equal) costs one row per task,
-and no task or the driver ever holds more than ``max_distinct`` values.
+and no task or the driver ever holds more than about ``max_distinct`` values of a bracket.
 """
 
 from __future__ import annotations
@@ -14,34 +14,53 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MAX_DISTINCT = 10_000
-MAX_ROUNDS = 8
 
 
 @dataclass
-class _Target:
+class _Bracket:
     name: str  # expression key
-    rank: int  # 0-based rank among non-null values
-    lo: object = None  # inclusive bounds (None = open)
+    ranks: list[int]  # wanted 0-based ranks among the non-null values (one, or two neighbours)
+    below: int  # values below the bracket
+    n_in: int  # values in it
+    distinct: int  # estimate or upper bound of the distinct values in it
+    eps: float  # half width of the next proposal, as a share of n_in
+    lo: object = None  # bounds (None: open end)
     hi: object = None
-    below: int = 0  # values strictly below lo
-    n_in: int = 0  # values within [lo, hi]
-    distinct: int | None = None
-    value: object = None
-    widen: float = 1.0  # bracket width factor, doubled after a miss
-
-
-def _in(expr: Column, t: _Target) -> Column:
-    cond = expr.isNotNull()
-    if t.lo is not None:
-        cond = cond & (expr >= F.lit(t.lo))
-    if t.hi is not None:
-        cond = cond & (expr <= F.lit(t.hi))
-    return cond
+    past_lo: bool = False  # whether the bound itself lies outside
+    past_hi: bool = False
+
+    def holds(self, expr: Column) -> Column:
+        cond = expr.isNotNull()
+        if self.lo is not None:
+            cond = cond & ((expr > F.lit(self.lo)) if self.past_lo else (expr >= F.lit(self.lo)))
+        if self.hi is not None:
+            cond = cond & ((expr < F.lit(self.hi)) if self.past_hi else (expr <= F.lit(self.hi)))
+        return cond
+
+    def cut(self, a: object, b: object, low: int, mid: int, distinct: int, eps: float) -> list[_Bracket]:
+        """The parts below a, from a to b and above b that hold wanted ranks; each is smaller, or its next proposal is."""
+        at, over = self.below + low, self.below + low + mid
+        high = self.n_in - low - mid
+        lower = _Bracket(self.name, [k for k in self.ranks if k < at], self.below, low, low, eps, self.lo, a, self.past_lo, True)
+        inner = _Bracket(self.name, [k for k in self.ranks if at <= k < over], at, mid, distinct, eps if mid < self.n_in else self.eps / 2, a, b)
+        upper = _Bracket(self.name, [k for k in self.ranks if k >= over], over, high, high, eps, b, self.hi, True, self.past_hi)
+        return [x for x in (lower, inner, upper) if x.ranks]
+
+
+def _neighbours(ranks: list[int]) -> list[list[int]]:
+    """Ranks, neighbours (as the middle two of a median) together."""
+    out: list[list[int]] = []
+    for k in sorted(set(ranks)):
+        if out and len(out[-1]) == 1 and out[-1][0] == k - 1:
+            out[-1].append(k)
+        else:
+            out.append([k])
+    return out
 
 
 def kth_values(
@@ -56,9 +75,10 @@ def kth_values(
     (nulls ignored). Ranks outside [0, n) give None. ``ranks`` may be a function
     of the non-null count (e.g. the middle ranks for a median).
 
-    The search makes 3-6 passes. Unless ``df`` is already persisted (or
-    ``materialize`` is False), the named expressions alone are checkpointed
-    first, so the passes scan a narrow table instead of recomputing the source."""
+    The search makes 3-6 passes: a round leaves about 10 / ``accuracy`` of a bracket, and it goes on
+    until every bracket is down to ``max_distinct`` values (by ``approx_count_distinct``, so some
+    percent more at most). Unless ``df`` is already persisted (or ``materialize`` is False), the named
+    expressions alone are checkpointed first, so the passes scan a narrow table instead of recomputing the source."""
     df, exprs = narrow_input(df, exprs, materialize)
     # round 0: sizes and distinct counts of the whole columns (one pass)
     first = df.agg(
@@ -67,58 +87,44 @@ def kth_values(
     ).first()
     if callable(ranks):
         ranks = {n: ranks(int(first[f"n_{n}"])) for n in exprs}
-    targets = [_Target(name, k) for name, ks in ranks.items() for k in ks]
-    for t in targets:
-        t.n_in = int(first[f"n_{t.name}"])
-        t.distinct = int(first[f"d_{t.name}"])
-        if not 0 <= t.rank < t.n_in:
-            t.value = None
-    open_targets = [t for t in targets if 0 <= t.rank < t.n_in]
-    for _ in range(MAX_ROUNDS):
-        narrow = [t for t in open_targets if t.distinct is None or t.distinct > max_distinct]
-        if not narrow:
-            break
-        # propose brackets: approximate quantiles around the wanted relative rank
+    out: dict[str, dict[int, object]] = {n: dict.fromkeys(ks) for n, ks in ranks.items()}
+    width = 4.0 / accuracy
+    found: list[_Bracket] = []
+    wide: list[_Bracket] = []
+    for name, ks in ranks.items():
+        n, distinct = int(first[f"n_{name}"]), int(first[f"d_{name}"])
+        for pair in _neighbours([k for k in ks if 0 <= k < n]):
+            (wide if distinct > max_distinct else found).append(_Bracket(name, pair, 0, n, distinct, width))
+    while wide:
+        # propose: approximate quantiles on both sides of the wanted relative ranks
         aggs = []
-        for i, t in enumerate(narrow):
+        for i, t in enumerate(wide):
             e = exprs[t.name]
-            eps = 4.0 * t.widen / accuracy
-            f = (t.rank - t.below + 0.5) / max(t.n_in, 1)
-            aggs.append(
-                F.percentile_approx(F.when(_in(e, t), e), [max(0.0, f - eps), min(1.0, f + eps)], accuracy).alias(f"q{i}")
-            )
-        qs = df.agg(*aggs).first()
-        proposals = []
-        for i, t in enumerate(narrow):
-            a, b = qs[f"q{i}"]
-            proposals.append((t, a, b))
-        # place the brackets by exact counts (one pass)
+            share = [(k - t.below + 0.5) / t.n_in for k in (t.ranks[0], t.ranks[-1])]
+            aggs.append(F.percentile_approx(F.when(t.holds(e), e), [max(0.0, share[0] - t.eps), min(1.0, share[1] + t.eps)], accuracy).alias(f"q{i}"))
+        proposed = df.agg(*aggs).first()
+        # place the proposals by exact counts (one pass)
         aggs = []
-        for i, (t, a, b) in enumerate(proposals):
-            e = exprs[t.name]
-            base = _in(e, t)
+        for i, t in enumerate(wide):
+            e, (a, b) = exprs[t.name], proposed[f"q{i}"]
+            inner = t.holds(e) & (e >= F.lit(a)) & (e <= F.lit(b))
             aggs += [
-                F.count_if(base & (e < F.lit(a))).alias(f"b{i}"),
-                F.count_if(base & (e >= F.lit(a)) & (e <= F.lit(b))).alias(f"m{i}"),
-                F.approx_count_distinct(F.when(base & (e >= F.lit(a)) & (e <= F.lit(b)), e)).alias(f"d{i}"),
+                F.count_if(t.holds(e) & (e < F.lit(a))).alias(f"l{i}"),
+                F.count_if(inner).alias(f"m{i}"),
+                F.approx_count_distinct(F.when(inner, e)).alias(f"d{i}"),
             ]
-        cs = df.agg(*aggs).first()
-        for i, (t, a, b) in enumerate(proposals):
-            below = t.below + int(cs[f"b{i}"])
-            n_in = int(cs[f"m{i}"])
-            if below <= t.rank < below + n_in:
-                t.lo, t.hi, t.below, t.n_in, t.distinct = a, b, below, n_in, int(cs[f"d{i}"])
-            else:  # sketch missed the rank (beyond its error bound): keep the bracket, widen the next proposal
-                t.widen *= 2.0
-        if all(t.distinct is not None and t.distinct <= max_distinct for t in open_targets):
-            break
-    # read all brackets in one job as a small (target, value, count) table
-    if open_targets:
+        placed = df.agg(*aggs).first()
+        parts = [
+            x
+            for i, t in enumerate(wide)
+            for x in t.cut(*proposed[f"q{i}"], int(placed[f"l{i}"]), int(placed[f"m{i}"]), int(placed[f"d{i}"]), width)
+        ]
+        found += [x for x in parts if x.distinct <= max_distinct]
+        wide = [x for x in parts if x.distinct > max_distinct]
+    # read all brackets in one job as a small (bracket, value, count) table
+    if found:
         items = F.array(
-            *[
-                F.when(_in(exprs[t.name], t), F.struct(F.lit(i).alias("i"), exprs[t.name].alias("v")))
-                for i, t in enumerate(open_targets)
-            ]
+            *[F.when(t.holds(exprs[t.name]), F.struct(F.lit(i).alias("i"), exprs[t.name].alias("v"))) for i, t in enumerate(found)]
         )
         # only in-bracket slots are emitted (outer + null filter: see rules.triggers_long)
         rows = (
@@ -131,19 +137,39 @@ def kth_values(
         per: dict[int, list] = {}
         for r in rows:
             per.setdefault(int(r["i"]), []).append((r["v"], int(r["c"])))
-        for i, t in enumerate(open_targets):
+        for i, t in enumerate(found):
             seen = t.below
             for v, c in sorted(per.get(i, [])):
+                out[t.name].update((k, v) for k in t.ranks if seen <= k < seen + c)
                 seen += c
-                if seen > t.rank:
-                    t.value = v
-                    break
-    out: dict[str, dict[int, object]] = {n: {} for n in ranks}
-    for t in targets:
-        out[t.name][t.rank] = t.value
     return out
 
 
+def kth_of_any_type(df: DataFrame, column: str, k: int) -> object:
+    """Value at the 1-based position ``k`` of a column of any ordered type, nulls first (``k`` at most the row count).
+
+    The distinct values with their counts are cut into ranges; the range that holds the position is the only one
+    looked into, so neither the driver nor a task sees more than one range of distinct values."""
+    from ..session import scratch_path
+
+    spark = df.sparkSession
+    order = F.col("v").asc_nulls_first()
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(spark, "ranges")
+    counts.repartitionByRange(ranges, order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    seen = part = 0
+    for r in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        part = r["part"]
+        if seen + r["n"] >= k:
+            break
+        seen += r["n"]
+    up_to = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    here = placed.where(F.col("part") == part).select("v", up_to.alias("up_to"))
+    return here.where(F.col("up_to") >= k - seen).orderBy("up_to").first()["v"]
+
+
 def is_persisted(df: DataFrame) -> bool:
     """True when ``df`` or the frame it is derived from by narrow steps reads cached
     data (then rescans are cheap), e.g. features added on top of a persisted frame."""

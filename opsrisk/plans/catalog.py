@@ -643,12 +643,10 @@ register("risk_monitor", _views_sql(
     "count_if(predicted_risk = 'high') as risk_high from filtered"
 ))
 def q_executive_overview(spark, sf):
-    k = kpis.sla_kpis(tables.workflows(spark, sf)).select(F.round("sla_breach_rate", 9).alias("sla_breach_rate"))
-    total = tables.workflows(spark, sf).agg(F.count(F.lit(1)).alias("total_workflows"))
-    kk = total.select("total_workflows", F.lit(None).cast("double").alias("sla_breach_rate")).unionByName(
-        k.select(F.lit(None).cast("bigint").alias("total_workflows"), "sla_breach_rate")
-    ).agg(F.max("total_workflows").alias("total_workflows"), F.max("sla_breach_rate").alias("sla_breach_rate"))
-    return V.executive_overview(kk, _filtered(spark, sf))
+    out = _saved_outputs(spark, sf)
+    every = engineer_features(out["workflows"]).agg(*kpis.global_kpi_columns())
+    filtered = V.filter_predictions(V.enrich_predictions(out["predictions"], out["workflows"]), SEL_RISK, SEL_DEPARTMENT, None, SEL_PRIORITY)
+    return V.executive_overview(every.select("total_workflows", _r("sla_breach_rate", 9)), filtered)
 
 
 def _label_vs_standin(spark, sf):
@@ -860,17 +858,35 @@ def q_prep_onehot(spark, sf):
     arr = prep.transform(w).select("workflow_id", vector_to_array("features").alias("v"))
     stats = prep.stats()
     start = len(NUMERIC_FEATURES) + 1
-    parts = []
+    blocks = []
     for c in CATEGORICAL_FEATURES:
         width = len(stats["categories"][c])
-        block = F.slice("v", start, width)
-        parts.append(arr.select("workflow_id", F.lit(c).alias("feature"),
-                                (F.array_position(block, F.lit(1.0)) - 1).alias("slot")))
+        slot = F.array_position(F.slice("v", start, width), F.lit(1.0)) - 1
+        blocks.append(F.struct(F.lit(c).alias("feature"), slot.alias("slot")))
         start += width
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return arr.select("workflow_id", F.inline(F.array(*blocks)))
+
+
+@register("prep_feature_slots", O.with_ctes(
+    " union all ".join(
+        f"select '{c}' as feature, 0.0e0 as mean, case when stddev_pop(coalesce({c}, (select median({c}) from eng))) > 0 then 1.0e0 else 0.0e0 end as square from eng"
+        for c in NUMERIC_FEATURES
+    ) + " union all " + " union all ".join(
+        f"select '{c}=' || {c}, round(count(*) * 1.0e0 / (select count(*) from eng), 6), round(count(*) * 1.0e0 / (select count(*) from eng), 6) "
+        f"from eng where {c} is not null group by {c}"
+        for c in CATEGORICAL_FEATURES
+    ),
+    engineered="workflows",
+))
+def q_prep_feature_slots(spark, sf):
+    """mean and mean square of every slot of the feature vector over all rows, by slot name."""
+    from pyspark.ml.functions import vector_to_array
+
+    w, prep = _fitted_prep(spark, sf)
+    slots = prep.transform(w).select(F.posexplode(vector_to_array("features")).alias("i", "x"))
+    per = slots.groupBy("i").agg(F.round(F.abs(F.avg("x")), 6).alias("mean"), F.round(F.avg(F.col("x") * F.col("x")), 6).alias("square"))
+    names = F.array(*[F.lit(n) for n in prep.vector_layout()])
+    return per.select(F.get(names, F.col("i")).alias("feature"), "mean", "square")
 
 
 @register("prep_features", O.with_ctes(
@@ -910,10 +926,8 @@ def _portable_split(spark, sf):
 
 @register("stratified_split", O.with_ctes("select workflow_id, split from splits", labeled=True, extra=_ALLOC_CTE))
 def q_stratified_split(spark, sf):
-    train, test = _portable_split(spark, sf)
-    return train.select("workflow_id", F.lit("train").alias("split")).unionByName(
-        test.select("workflow_id", F.lit("test").alias("split"))
-    )
+    lab = tables.workflows_labeled(spark, sf)
+    return M.with_split(lab, 0.2, order_key=_portable_key(lab)).select("workflow_id", "split")
 
 
 @register("class_weights", O.with_ctes(
@@ -946,6 +960,32 @@ def q_dummy_predictions(spark, sf):
     return M.predict(model, test).select("workflow_id", "predicted_risk")
 
 
+@register("dummy_strategies", O.with_ctes(
+    "select workflow_id, 'most_frequent' as strategy, top as predicted_risk, 1.0e0 as probability from splits, pri where split = 'test' "
+    "union all select workflow_id, 'prior', top, round(top_share, 9) from splits, pri where split = 'test' "
+    f"union all select workflow_id, 'uniform', case when {_DUMMY_U_SQL} < 1.0e0 / 3 then 'high' when {_DUMMY_U_SQL} < 2.0e0 / 3 then 'low' "
+    "else 'medium' end, round(1.0e0 / 3, 9) from splits where split = 'test'",
+    labeled=True,
+    extra=_ALLOC_CTE.strip() + ",\npri as (select risk_label as top, count(*) * 1.0e0 / (select count(*) from splits where split = 'train') as top_share "
+    "from splits where split = 'train' group by 1 order by count(*) desc, 1 limit 1)",
+))
+def q_dummy_strategies(spark, sf):
+    """M5: the other strategies, saved and loaded (S8): prediction and its probability for every test row."""
+    train, test = _portable_split(spark, sf)
+    k = tables.workflow_key(test)
+    test = test.withColumn("u", ((k * F.lit(7919) + F.lit(13)) % F.lit(10007)) / F.lit(10007.0))
+    out = None
+    for strategy in ("most_frequent", "prior", "uniform"):
+        path = scratch_path(spark, f"dummy-{strategy}")
+        IO.save_model(M.dummy_pipeline("u", strategy).fit(train), path)
+        p = M.predict(IO.load_model(spark, path), test).select(
+            "workflow_id", F.lit(strategy).alias("strategy"), "predicted_risk",
+            F.round(F.element_at("risk_probability", F.col("predicted_risk")), 9).alias("probability"),
+        )
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def _trained(spark, sf):
     """Folder of the models trained on this table: random_forest, logistic_regression, metadata.json.
 
@@ -1062,6 +1102,45 @@ def q_recommendations_csv_roundtrip(spark, sf):
     return IO._read_csv(spark, path, IO.RECOMMENDATIONS_SCHEMA)
 
 
+@register("dq_missing_columns", "select 0 as check_rank, 'error' as severity, 'required_columns' as \"check\", null as \"column\", "
+          "2 as n, 'Missing required columns: [''sla_hours'', ''created_at'']' as message, (select count(*) from orders) > 0 as rejected")
+def q_dq_missing_columns(spark, sf):
+    """The issue of a table that lacks two columns, and that validation raises on it."""
+    lacking = tables.workflows(spark, sf).drop("created_at", "sla_hours")
+    try:
+        Q.validate_or_raise(lacking)
+        rejected = False
+    except ValueError:
+        rejected = True
+    return Q.issue_report(lacking).withColumn("rejected", F.lit(rejected))
+
+
+@register("saved_run_alerts", ORACLE["pipeline_alerts"])
+def q_saved_run_alerts(spark, sf):
+    """A run's four outputs saved, reloaded as a whole, and the rule alerts read from them."""
+    from .pipeline import output_paths, run_pipeline, save_outputs
+
+    twice = _two_copies(spark, sf).drop("copy")
+    res = run_pipeline(spark, twice, model_path=f"{_trained(spark, sf)}/random_forest", generated_at=FIXED_STAMP)
+    paths = output_paths(scratch_path(spark, "run"))
+    save_outputs(spark, res, paths)
+    return IO.load_outputs(spark, paths)["alerts"].where(F.col("type") != "high_risk_escalation")
+
+
+@register("custom_risk_factors", O.with_ctes(
+    "select workflow_id, 'medium' as predicted_risk, case when coalesce(error_count > 5, false) then 'many errors' else 'no remark' end as risk_factors from workflows"
+))
+def q_custom_risk_factors(spark, sf):
+    """A caller's model and a caller's factor function."""
+    from .pipeline import predict_workflows
+
+    w = tables.workflows(spark, sf)
+    model = M.dummy_pipeline(strategy="most_frequent").fit(w.withColumn("risk_label", F.lit("medium")))
+    factors = lambda cfg: F.array(F.when(F.col("error_count") > cfg.high_error_threshold, "many errors").otherwise("no remark"))
+    got = predict_workflows(spark, w, model=model, risk_factor_fn=factors)
+    return got.select("workflow_id", "predicted_risk", F.array_join("risk_factors", "; ").alias("risk_factors"))
+
+
 # --- risk score and soft labels (P10, P11) ----------------------------------------------------
 
 

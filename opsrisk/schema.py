@@ -85,7 +85,6 @@ SLA_BREACH_UTILIZATION = 1.0
 # Physical types of the contract. Integer-like columns are LongType, the rest
 # DoubleType; timestamps are NTZ (the inputs carry no zone).
 # ---------------------------------------------------------------------------
-STRING_COLUMNS = ("workflow_id", "workflow_name", "department", "status", "priority")
 LONG_COLUMNS = (
     "manual_steps",
     "automated_steps",
@@ -143,16 +142,6 @@ MANUAL_AUTOMATION_OPPORTUNITY = "manual_automation_opportunity"
 BACKLOG_PRESSURE = "backlog_pressure"
 HIGH_RISK_ESCALATION = "high_risk_escalation"
 
-ALL_RULE_TYPES = (
-    SLA_BREACH,
-    APPROACHING_SLA,
-    HIGH_ERROR,
-    HIGH_REWORK,
-    MANUAL_AUTOMATION_OPPORTUNITY,
-    BACKLOG_PRESSURE,
-    HIGH_RISK_ESCALATION,
-)
-
 RECOMMENDED_ACTIONS = {
     SLA_BREACH: "Escalate to the process owner and expedite remaining steps immediately",
     APPROACHING_SLA: "Monitor closely and prioritize remaining steps before the SLA is breached",

@@ -61,6 +61,9 @@ def workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
+    # null keys never join; left in, they would all be shuffled to one task
+    orders = orders.where("o_orderkey is not null and o_custkey is not null")
+    li = li.where("l_orderkey is not null")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     lines = _line_summary(li)
     j = orders.join(lines, orders.o_orderkey == lines.l_orderkey).join(

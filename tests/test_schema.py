@@ -8,5 +8,5 @@ def test_rule_defaults_and_labels():
     assert S.RISK_LABELS == ("low", "medium", "high")
     assert S.FEATURE_COLUMNS == S.NUMERIC_FEATURES + S.CATEGORICAL_FEATURES
     assert not set(S.FEATURE_COLUMNS) & set(S.LEAKAGE_COLUMNS)
-    assert set(S.CATEGORY_BY_RULE) == set(S.ALL_RULE_TYPES)
+    assert set(S.CATEGORY_BY_RULE) == set(S.RECOMMENDED_ACTIONS)
     assert [f.name for f in S.WORKFLOW_SCHEMA.fields] == list(S.REQUIRED_COLUMNS)

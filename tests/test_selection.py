@@ -43,3 +43,11 @@ def test_kth_values_property(spark, vals, qs):
     ranks = sorted({min(len(s) - 1, int(q * len(s))) for q in qs})
     got = selection.kth_values(df, {"x": F.col("x")}, {"x": ranks}, max_distinct=8, accuracy=50, materialize=False)["x"]
     assert got == {k: s[k] for k in ranks}
+
+
+def test_kth_of_any_type_over_ranges(spark):
+    vals = [f"w{i:04d}" for i in range(900)] + ["w0100"] * 450 + [None] * 3
+    df = spark.createDataFrame([(v,) for v in vals], "x string").repartition(5)
+    s = sorted(vals, key=lambda v: (v is not None, v or ""))
+    for k in (1, 3, 4, 104, 300, 553, 554, 1353):
+        assert selection.kth_of_any_type(df, "x", k) == s[k - 1]
