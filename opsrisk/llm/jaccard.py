@@ -36,7 +36,8 @@ THRESHOLD = (4, 5)  # similarity of at least 4/5
 COORDINATES = 64
 DEPTH = 3
 LEAF = 200  # sets that a bucket may hold to be searched by brute force
-BLOCK = 512  # sets of one side of a verified block
+BLOCK = 512  # sets of one side of a verified block, about
+BLOCK_SHINGLES = 4 << 20  # and their shingles: a group of very long texts has smaller blocks
 RECALL = 0.999
 _DRAW = np.random.default_rng(20250101)
 _MUL = _DRAW.integers(0, 2**63, COORDINATES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,7 +182,7 @@ def _verify_block(top: int, bottom: int):
         shared = often[word] > 1  # others are in no intersection
         word, owner = word[shared], owner[shared]
         _, word = np.unique(word, return_inverse=True)
-        common = np.zeros((len(sets), len(sets)), np.float32)
+        common = np.zeros((len(sets), len(sets)))  # a part's counts are exact as float32, their sum needs more digits
         width = 4096
         order = np.argsort(word, kind="stable")
         word, owner = word[order], owner[order]
@@ -201,7 +202,7 @@ def _verify_block(top: int, bottom: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Near-duplicate classes of texts.
 
     Returns one row for each row of ``docs``: doc_id, _id, _h, class_id (doc_id of the class's first document), n_links (other
@@ -218,7 +219,7 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shi
     top, bottom = threshold
     keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
     sketches = saved(keyed.select("_id", "_h", "text").mapInArrow(_sketch(shingle), _SKETCH), "jaccard-sketches")
-    nodes = saved(sketches.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "jaccard-nodes")
+    nodes = saved(sketches.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "jaccard-nodes")
     runs = runs_for(recall, top / bottom, depth)
     leaves = _leaves(nodes, runs, depth, leaf)
     # three and a half standard deviations below the agreement expected at the threshold
@@ -227,7 +228,8 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shi
     near = leaves.join(nodes.select("node", "sketch"), "node").groupBy("path", "part").applyInArrow(_search_bucket(agree), "a long, b long")
     groups = saved(components(near, "jaccard-candidates"), "jaccard-groups")
     # all pairs of a candidate group are verified in blocks of its sets
-    parts = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum(F.col("size").cast("long")) / F.lit(block_shingles))
+    parts = groups.join(nodes.select("node", "size"), "node").groupBy("root").agg(F.ceil(weight).alias("parts"))
     members = groups.join(parts, "root").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts"))).join(nodes.select("node", F.col("rep._id").alias("_id"), F.col("rep._h").alias("_h")), "node")
     members = saved(members, "jaccard-members")
 

@@ -215,6 +215,9 @@ def test_jaccard_classes(spark):
     # small leaves and blocks, so that buckets split and groups span blocks
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard.jaccard_classes(df, leaf=8, block=7, recall=0.99999).collect()}
     assert got == brute_classes(docs)
+    # blocks bounded by their shingles instead: the same
+    again = jaccard.jaccard_classes(df, leaf=8, recall=0.99999, block_shingles=900)
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in again.collect()} == got
 
 
 def test_jaccard_edges(odd, none):
