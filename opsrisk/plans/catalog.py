@@ -1102,19 +1102,6 @@ def q_recommendations_csv_roundtrip(spark, sf):
     return IO._read_csv(spark, path, IO.RECOMMENDATIONS_SCHEMA)
 
 
-@register("dq_missing_columns", "select 0 as check_rank, 'error' as severity, 'required_columns' as \"check\", null as \"column\", "
-          "2 as n, 'Missing required columns: [''sla_hours'', ''created_at'']' as message, (select count(*) from orders) > 0 as rejected")
-def q_dq_missing_columns(spark, sf):
-    """The issue of a table that lacks two columns, and that validation raises on it."""
-    lacking = tables.workflows(spark, sf).drop("created_at", "sla_hours")
-    try:
-        Q.validate_or_raise(lacking)
-        rejected = False
-    except ValueError:
-        rejected = True
-    return Q.issue_report(lacking).withColumn("rejected", F.lit(rejected))
-
-
 @register("saved_run_alerts", ORACLE["pipeline_alerts"])
 def q_saved_run_alerts(spark, sf):
     """A run's four outputs saved, reloaded as a whole, and the rule alerts read from them."""
