@@ -7,16 +7,18 @@ word after its predecessor mixes three maximum-likelihood estimates,
 
 where b is the bucket (binary magnitude) of the context's count c(v). The
 weights are learned by expectation-maximisation on held-out counts: over all
-learning documents of every DELETED-th block, each token deleted from the
-counts that predict it (every count and N less by one).
+learning documents, each token deleted from the counts that predict it (every
+count and N less by one).
 
 Counts are exact, over all learning documents, up to collisions of hashes (64 bits for words, 56 for pairs).
 Nothing is collected but N, V and a bounded histogram. Documents are cut by id
 into blocks of some megabytes. For each block every bucket of hashes receives
 the block's distinct n-grams with their counts there, as one row; it adds up
-all blocks and answers each with the totals of its own n-grams. A total of at
-most one needs no answer: the block knows its own count. So hot words
-cost one entry a block, and rare ones nothing on the way back.
+all blocks and answers each with the totals of its own n-grams. A total that is
+the block's own count needs no answer. So hot words cost one entry a block, and
+words of a single block nothing on the way back. A block then
+looks up its tokens once: its part of the histogram and the counts that its
+documents are scored from, once the weights are known, are stored as one row.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ from .textbytes import LOWER, chunks, column_bytes, combine, word_hashes
 BLOCK = 4 << 20  # bytes of text
 FLUSH = 8 << 20  # bytes of text that a map task folds together
 PAIR_BITS = 56  # of a pair's hash
-DELETED = 8  # every so many-th block is held out of the counts that its tokens are predicted by, for the weights
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A27571235)
 _STEPS = 16  # histogram bins for each factor of ten
 _FLOOR = 12 * _STEPS
@@ -145,7 +145,7 @@ def _ask(bounds: np.ndarray, n_buckets: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals of a bucket: one row for each block with its n-grams of total two or more; block null: sums of the bucket."""
+    """Totals of a bucket: one row for each block with its n-grams whose total is not its own count; block null: sums of the bucket."""
     kind = table["kind"][0].as_py()
     blocks = table["block"].to_pylist()
     keys = [_unplanes(k) for k in table["keys"].to_pylist()]
@@ -153,14 +153,15 @@ def _answer(table: pa.Table) -> pa.Table:
     sizes = [len(k) for k in keys]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+    own = np.split(np.concatenate(counts), np.cumsum(sizes)[:-1])
     del keys, counts
     out = [(kind, None, b"", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes())]
     mine = defaultdict(list)
-    for b, n in zip(blocks, np.split(where, np.cumsum(sizes)[:-1]), strict=True):
-        mine[b].append(n)
-    for b, n in mine.items():
-        n = np.unique(np.concatenate(n))
-        n = n[total[n] > 1]
+    for b, n, c in zip(blocks, np.split(where, np.cumsum(sizes)[:-1]), own, strict=True):
+        mine[b].append((n, c))
+    for b, got in mine.items():
+        n, at = np.unique(np.concatenate([n for n, _ in got]), return_inverse=True)
+        n = n[total[n] != np.bincount(at, weights=np.concatenate([c for _, c in got])).astype(np.int64)]
         if len(n):
             out.append((kind, b, _planes(every[n]), _spread(total[n])))
     cols = list(zip(*out, strict=True))
@@ -168,7 +169,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _totals(keys: np.ndarray, learns: np.ndarray, answers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Total of every n-gram of a block: the answer, or its own count of at most one."""
+    """Total of every n-gram of a block: the answer, or its own count."""
     own, where = np.unique(keys, return_inverse=True)
     total = np.bincount(where, weights=learns, minlength=len(own)).astype(np.int64)
     if answers:
@@ -181,8 +182,8 @@ def _totals(keys: np.ndarray, learns: np.ndarray, answers: list[tuple[np.ndarray
     return total[where]
 
 
-def _pack(bounds: np.ndarray, every: int):
-    """Documents of each block (of every ``every``-th block), some megabytes in one compressed row."""
+def _pack(bounds: np.ndarray):
+    """Documents of each block, some megabytes in one compressed row."""
 
     def flush(parts: dict[int, list[pa.RecordBatch]]) -> pa.RecordBatch:
         blobs = []
@@ -199,10 +200,9 @@ def _pack(bounds: np.ndarray, every: int):
         for batch in batches:
             block = _block_of(bounds, batch.column(0).to_numpy(), batch.column(1).to_numpy())
             for b in np.unique(block).tolist():
-                if b % every == 0:
-                    part = batch.take(pa.array(np.flatnonzero(block == b)))
-                    parts[b].append(part)
-                    size += part.nbytes
+                part = batch.take(pa.array(np.flatnonzero(block == b)))
+                parts[b].append(part)
+                size += part.nbytes
             if size >= FLUSH:
                 yield flush(parts)
                 parts, size = defaultdict(list), 0
@@ -253,19 +253,32 @@ def _value(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, 10.0 ** ((b - _FLOOR - 1) / _STEPS), 0.0)
 
 
-def _histogram(n_starts: int, n_tokens: int):
+def _histogram(c_vw: np.ndarray, c_v: np.ndarray, c_w: np.ndarray, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """How many held-out tokens have their context in a bucket and their deleted estimates in a pair of bins."""
+    v = np.maximum(c_v - 1, 0)
+    p2 = np.where(v > 0, (c_vw - 1) / np.maximum(v, 1), 0.0)
+    p1 = (c_w - 1) / max(n_tokens - 1, 1)
+    return np.unique((magnitude(v) * 1000 + _bin(p2)) * 1000 + _bin(p1), return_counts=True)
+
+
+_COUNTED = "codes array<long>, n array<long>, ids binary, hashes binary, sizes binary, c_vw binary, c_w binary"
+
+
+def _count(n_starts: int, n_tokens: int):
+    """One row for a block: the histogram of its learning documents, and ids, sizes and token counts of all its documents."""
+    types = (pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5)
+    names = [f.split()[0] for f in _COUNTED.split(", ")]
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = _unpack(packed).filter(pa.compute.field("learns")) if packed.num_rows else packed
-        if not docs.num_rows:
-            return pa.table({"code": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        _, c_vw, c_v, c_w = _with_counts(docs, answers, n_starts)
-        v = np.maximum(c_v - 1, 0)
-        p2 = np.where(v > 0, (c_vw - 1) / np.maximum(v, 1), 0.0)
-        p1 = (c_w - 1) / max(n_tokens - 1, 1)
-        codes, n = np.unique((magnitude(v) * 1000 + _bin(p2)) * 1000 + _bin(p1), return_counts=True)
-        return pa.table({"code": codes.astype(np.int64), "n": n.astype(np.int64)})
+        if not packed.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
+        docs = _unpack(packed)
+        at, c_vw, c_v, c_w = _with_counts(docs, answers, n_starts)
+        learns = np.repeat(docs["learns"].to_numpy(), np.diff(at))
+        codes, n = _histogram(c_vw[learns], c_v[learns], c_w[learns], n_tokens)
+        kept = [docs["_id"].to_numpy().tobytes(), docs["_h"].to_numpy().tobytes(), np.diff(at).tobytes()]
+        kept += [pa.compress(_spread(c), codec="zstd", asbytes=True) for c in (c_vw, c_w)]
+        return pa.table({n: pa.array([x], t) for n, t, x in zip(names, types, (codes.tolist(), n.tolist(), *kept), strict=True)})
 
     return run
 
@@ -300,25 +313,25 @@ _SCORES = "_id long, _h long, n_tokens long, n_known long, base_score double, sc
 
 
 def _score(n_starts: int, n_tokens: int, vocabulary: int, weights: np.ndarray):
-    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = _unpack(packed) if packed.num_rows else packed
-        if not docs.num_rows:
-            return pa.table({n: pa.array([], pa.int64() if t == "long" else pa.float64()) for n, t in (f.split() for f in _SCORES.split(", "))})
-        at, c_vw, c_v, c_w = _with_counts(docs, answers, n_starts)
-        head = at[:-1]
+    def scored(ids: bytes, hashes: bytes, sizes: bytes, c_vw: bytes, c_w: bytes) -> pa.RecordBatch:
+        sizes = np.frombuffer(sizes, np.int64)
+        head = np.cumsum(sizes) - sizes
+        n = 8 * int(sizes.sum())
+        c_vw, c_w = (_unspread(pa.decompress(c, n, codec="zstd", asbytes=True)) for c in (c_vw, c_w))
+        c_v = np.empty_like(c_w)
+        c_v[1:] = c_w[:-1]
+        c_v[head] = n_starts
         l2, l1, l0 = weights[magnitude(c_v)].T
         p = l2 * np.where(c_v > 0, c_vw / np.maximum(c_v, 1), 0.0) + l1 * c_w / max(n_tokens, 1) + l0 / (vocabulary + 1)
         base = np.log10((c_w + 0.5) / (n_tokens + 0.5 * (vocabulary + 1)))
-        return pa.table(
-            {
-                "_id": docs["_id"],
-                "_h": docs["_h"],
-                "n_tokens": np.diff(at),
-                "n_known": np.add.reduceat((c_w > 0).astype(np.int64), head),
-                "base_score": np.add.reduceat(base, head),
-                "score": np.add.reduceat(np.log10(p), head),
-            }
-        )
+        known = np.add.reduceat((c_w > 0).astype(np.int64), head)
+        cols = [np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), sizes, known, np.add.reduceat(base, head), np.add.reduceat(np.log10(p), head)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in _SCORES.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield scored(*[c[i].as_py() for c in batch.columns])
 
     return run
 
@@ -327,7 +340,7 @@ def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> D
     """Log10 probability of every text.
 
     The model learns from documents whose crc32 of the id as text, modulo ``folds``, is not ``held_out``; its weights come from
-    every DELETED-th block of them. Returns one row for each row of ``docs``: doc_id, held_out, n_tokens, n_known (tokens that learning documents hold), train_tokens, vocabulary,
+    all of them, too. Returns one row for each row of ``docs``: doc_id, held_out, n_tokens, n_known (tokens that learning documents hold), train_tokens, vocabulary,
     base_score (add-half unigrams), score.
 
     A null text counts as empty and is its end alone. A null id is in the fold of the empty text. Repeated rows count as often as
@@ -351,17 +364,13 @@ def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> D
         a, b = np.frombuffer(r["counts"], np.int64)
         n_tokens, vocabulary = n_tokens + int(a), vocabulary + int(b)
     given = answers.where("block is not null").groupBy("block")
-
-    def blocked(every: int):
-        packed = rows.select("_id", "_h", learns, "text").mapInArrow(_pack(bounds, every), "block long, docs binary")
-        return packed.groupBy("block")
-
     starts = seen["starts"]
-    some = answers.where(F.col("block") % DELETED == 0).groupBy("block")
-    held = blocked(DELETED).cogroup(some).applyInArrow(_histogram(starts, n_tokens), "code long, n long")
+    packed = rows.select("_id", "_h", learns, "text").mapInArrow(_pack(bounds), "block long, docs binary")
+    counted = saved(packed.groupBy("block").cogroup(given).applyInArrow(_count(starts, n_tokens), _COUNTED), "lm-counts")
+    held = counted.select(F.explode(F.map_from_arrays("codes", "n")).alias("code", "n"))
     histogram = {r["code"]: r["n"] for r in held.groupBy("code").agg(F.sum("n").alias("n")).collect()}
     weights = learn_weights(histogram, vocabulary)
-    scores = blocked(1).cogroup(given).applyInArrow(_score(starts, n_tokens, vocabulary, weights), _SCORES)
+    scores = counted.select("ids", "hashes", "sizes", "c_vw", "c_w").mapInArrow(_score(starts, n_tokens, vocabulary, weights), _SCORES)
     id_type = rows.schema["doc_id"].dataType
     doc_id = F.when(F.col("_id") != F.lit(-(2**63)).cast("long"), F.col("_id")).cast(id_type)
     out = crc_fold(doc_id, folds) == held_out

@@ -340,6 +340,31 @@ def test_interpolation(spark, real):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_interpolation_weights_use_every_document(spark, real, monkeypatch):
+    """Many small blocks whose ids follow the kind of text: the scores are those of weights from all learning documents."""
+    docs = [(k, " ".join(f"same{j % 7}" for j in range(k % 40 + 5))) for k in range(100)] + [(1000 + k, t) for k, t in real[:150]]
+    monkeypatch.setattr(ngram_lm, "BLOCK", sum(len(t.encode()) + 1 for _, t in docs) // 20)
+    got = {r.doc_id: r.score for r in ngram_lm.interpolated_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {k: WORD.findall(t.translate(lower)) + [None] for k, t in docs}
+    learns = [k for k, _ in docs if zlib.crc32(str(k).encode()) % 5 != 1]
+    pairs = {k: list(zip([0, *x[:-1]], x, strict=True)) for k, x in tokens.items()}  # 0: a text's start
+    c = Counter(w for k in learns for w in tokens[k])
+    c2 = Counter(p for k in learns for p in pairs[k])
+    c1 = Counter({0: len(learns)} | {w: c[w] for w in c if w is not None})
+    n, vocabulary = sum(c.values()), len(c)
+    held = [(c1[v], c2[v, w], c[w]) for k in learns for v, w in pairs[k]]
+    v, vw, w = np.array(held).T - 1
+    codes = (ngram_lm.magnitude(v) * 1000 + ngram_lm._bin(vw / np.maximum(v, 1))) * 1000 + ngram_lm._bin(w / (n - 1))
+    weights = ngram_lm.learn_weights(Counter(codes.tolist()), vocabulary)
+    for k, x in pairs.items():
+        want = 0.0
+        for v, w in x:
+            l2, l1, l0 = weights[min(c1[v].bit_length(), ngram_lm.BUCKETS - 1)]
+            want += math.log10((l2 * c2[v, w] / c1[v] if c1[v] else 0) + l1 * c[w] / n + l0 / (vocabulary + 1))
+        assert got[k] == pytest.approx(want, rel=1e-9)
+
+
 def test_interpolated_probabilities_sum_to_one():
     weights = ngram_lm.learn_weights({(3 * 1000 + 150) * 1000 + 100: 5, (5 * 1000) * 1000 + 120: 7}, 10)
     assert weights.shape == (ngram_lm.BUCKETS, 3) and np.allclose(weights.sum(axis=1), 1) and weights[0, 0] == 0
