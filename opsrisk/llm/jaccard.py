@@ -6,7 +6,10 @@ value) with probability equal to their similarity. A run splits all sets
 recursively: at every tree node one or two coordinates are drawn from the node's
 path, and a set goes to the child of its token there, so sets that share many
 tokens stay together. A bucket of one set ends, a small bucket is searched by brute
-force, and a large one splits again, up to DEPTH levels. A pair of similarity s
+force, and a large one splits again, up to DEPTH levels; one that is still large
+then is searched whole, too, in blocks: parts with the bucket's least set first, and
+then every set that this does not connect with the least against all sets of the
+bucket. A pair of similarity s
 survives k levels of a run with probability p_k = E[1 - (1 - s p_(k-1))^m], m the
 number of coordinates drawn; runs repeat until 1 - (1 - p)^runs reaches the target
 recall at the threshold itself (more similar pairs: higher).
@@ -126,9 +129,15 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         label = least
 
 
+_NEAR = "path long, a long, b long, apart boolean"
+
+
 def _search_bucket(agree: int):
+    """Links (a, b) of a bucket, of a part of a large one or of a block; apart: a set of a part that is not connected with its least."""
+
     def run(table: pa.Table) -> pa.Table:
         nodes = table["node"].to_numpy()
+        path, in_part = table["path"][0].as_py(), table["large"][0].as_py()
         nodes, where = np.unique(nodes, return_index=True)
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, COORDINATES)[where]
         same = np.zeros((len(nodes), len(nodes)), np.uint8)
@@ -136,33 +145,46 @@ def _search_bucket(agree: int):
             same += sketch[:, None, c] == sketch[None, :, c]
         adjacent = same >= agree
         label = _labels(adjacent)
-        linked = label != np.arange(len(nodes))
-        return pa.table({"a": nodes[linked], "b": nodes[label[linked]]})
+        apart = (label != 0) & in_part
+        told = (label != np.arange(len(nodes))) | apart
+        n = int(told.sum())
+        return pa.table({"path": pa.array([path] * n, pa.int64()), "a": nodes[told], "b": nodes[label[told]], "apart": apart[told]})
 
     return run
 
 
-def _leaves(nodes: DataFrame, runs: int, depth: int, leaf: int) -> DataFrame:
-    """(path, part, node): buckets to search. A bucket that is large at the last level is cut into parts that all hold its
-    least set; other runs cut it elsewhere."""
+def _leaves(nodes: DataFrame, runs: int, depth: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(path, part, node, large): buckets to search. A bucket that is large at the last level is cut into parts that all hold its
+    least set. And (path, node, n): the sets of those large buckets, and how many each has."""
     rows = saved(nodes.select("node", "sketch").mapInArrow(_split(runs), "path long, node long"), "paths")
     out = []
     for level in range(1, depth + 1):
         size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
         sized = rows.join(size, "path")
         if level < depth:
-            out.append(sized.where(F.col("n") <= leaf).select("path", F.lit(0).cast("long").alias("part"), "node"))
+            out.append(sized.where(F.col("n") <= leaf).select("path", F.lit(0).cast("long").alias("part"), "node", F.lit(False).alias("large")))
             large = sized.where(F.col("n") > leaf).select("path", "node")
             # paths are drawn by the level as well: a child's path is a hash of its parent's
             rows = saved(large.join(nodes.select("node", "sketch"), "node").mapInArrow(_split(None), "path long, node long"), f"paths-{level}")
         else:
             parts = F.ceil(F.col("n") / leaf)
-            out.append(sized.select("path", F.pmod(F.xxhash64("path", "node"), parts).alias("part"), "node"))
-            out.append(size.where(F.col("n") > leaf).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / leaf) - 1)).alias("part"), F.col("least").alias("node")))
+            out.append(sized.select("path", F.pmod(F.xxhash64("path", "node"), parts).alias("part"), "node", (F.col("n") > leaf).alias("large")))
+            out.append(size.where(F.col("n") > leaf).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / leaf) - 1)).alias("part"), F.col("least").alias("node"), F.lit(True).alias("large")))
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
-    return found
+    return found, sized.where(F.col("n") > leaf).select("path", "node", "n")
+
+
+def _blocks(apart: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """(path, i, j, node): every set of ``apart`` beside every set of its large bucket, in blocks of about ``block`` sets of each."""
+    sizes = apart.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("rows"))
+    held = large.join(sizes, "path").withColumn("columns", F.ceil(F.col("n") / F.lit(block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("path", "node"), F.col(n))
+    columns = held.select("path", every("rows").alias("i"), mine("columns").alias("j"), "node")
+    rows = held.join(apart, ["path", "node"], "left_semi").select("path", mine("rows").alias("i"), every("columns").alias("j"), "node")
+    return columns.unionByName(rows)
 
 
 _VERIFIED = "node long, links long, root long"
@@ -221,11 +243,16 @@ def jaccard_classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shi
     sketches = saved(keyed.select("_id", "_h", "text").mapInArrow(_sketch(shingle), _SKETCH), "jaccard-sketches")
     nodes = saved(sketches.groupBy("node").agg(F.min(F.struct("_id", "_h")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "jaccard-nodes")
     runs = runs_for(recall, top / bottom, depth)
-    leaves = _leaves(nodes, runs, depth, leaf)
+    leaves, large = _leaves(nodes, runs, depth, leaf)
     # three and a half standard deviations below the agreement expected at the threshold
     s = top / bottom
     agree = math.floor(COORDINATES * s - 3.5 * math.sqrt(COORDINATES * s * (1 - s)))
-    near = leaves.join(nodes.select("node", "sketch"), "node").groupBy("path", "part").applyInArrow(_search_bucket(agree), "a long, b long")
+    near = saved(leaves.join(nodes.select("node", "sketch"), "node").groupBy("path", "part").applyInArrow(_search_bucket(agree), _NEAR), "jaccard-near")
+    apart = near.where("apart").select("path", F.col("a").alias("node")).distinct()
+    if not apart.isEmpty():
+        blocks = _blocks(apart, large, block).withColumn("large", F.lit(False)).join(nodes.select("node", "sketch"), "node")
+        near = near.unionByName(blocks.groupBy("path", "i", "j").applyInArrow(_search_bucket(agree), _NEAR))
+    near = near.where("a <> b").select("a", "b")
     groups = saved(components(near, "jaccard-candidates"), "jaccard-groups")
     # all pairs of a candidate group are verified in blocks of its sets
     weight = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum(F.col("size").cast("long")) / F.lit(block_shingles))

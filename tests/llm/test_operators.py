@@ -220,6 +220,19 @@ def test_jaccard_classes(spark):
     assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in again.collect()} == got
 
 
+def test_jaccard_pairs_in_a_large_bucket(spark):
+    """150 texts share a passage of half their words; the near pairs among them are found, however the bucket is cut."""
+    rng = random.Random(7)
+    some = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = some(120)
+    docs = [(2 * k, passage + some(100)) for k in range(75)]
+    docs += [(k + 1, w[:190] + some(5) + w[195:]) for k, w in docs]
+    docs = [(k, " ".join(w)) for k, w in docs]
+    got = jaccard.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), depth=1, leaf=4, block=32).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: k - k % 2 for k, _ in docs}
+    assert all(r.n_links == 1 for r in got)
+
+
 def test_jaccard_edges(odd, none):
     rows = jaccard.jaccard_classes(odd).collect()
     assert len(rows) == len(odd_documents())
