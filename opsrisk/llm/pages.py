@@ -5,7 +5,9 @@ outside boilerplate elements. From the body the parser goes down while one child
 holds most of the score; where it stops is the page's vote, as a generalised
 path of tags and classes (numbers in classes are left out). Votes are counted
 for each host, and every page is extracted again by its host's winning path.
-A page that has no such container is extracted by its own vote.
+A page that has no such container is extracted by its own vote. Words of classes and
+ids tell furniture, but not on html, body, main and article; a page on which they leave
+no text is parsed again by elements, roles and attributes alone.
 """
 
 from __future__ import annotations
@@ -39,8 +41,11 @@ _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe subscription signup login register paywall share sharing social related recommended recommendations "
-    "comment comments commentlist reply replies respond disqus pagination pager toc skip hidden".split()
+    "comment comments commentlist reply replies respond disqus pagination pager toc skip".split()
 )
+_NAMES = frozenset("hidden is-hidden visually-hidden visuallyhidden".split())  # whole names: as words they stand in layout names, too
+_HAS = re.compile(r"(?:has|with|without|no)[-_]", re.I)  # such names tell what stands beside or inside
+_WHOLE = frozenset("html body main article".split())  # elements that hold the page or its text, whatever their names
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _MOST = 0.7  # share of the score that one child must hold for the parser to go down to it
 
@@ -49,13 +54,15 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html_entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _is_furniture(tag: str, attributes: dict[str, str]) -> bool:
+def _is_furniture(tag: str, attributes: dict[str, str], by_name: bool = True) -> bool:
     if tag in _FURNITURE or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if attributes and (attributes.get("role", "").lower() in _ROLES or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)):
         return True
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w.lower() in _WORDS for w in _SPLIT.split(names)) if names != " " else False
+    if not by_name or tag in _WHOLE:
+        return False
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return any(x.lower() in _NAMES or not _HAS.match(x) and any(w.lower() in _WORDS for w in _SPLIT.split(x)) for x in names)
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -74,6 +81,11 @@ class Element:
 
 def parse(page: str) -> tuple[Element, list[tuple[Element, str, bool]]]:
     """Root element, and the blocks in page order: (element, text, whether it is page furniture)."""
+    root, blocks = _parse(page, True)
+    return _parse(page, False) if blocks and all(furniture for _, _, furniture in blocks) else (root, blocks)
+
+
+def _parse(page: str, by_name: bool) -> tuple[Element, list[tuple[Element, str, bool]]]:
     root = Element("", "", False, None)
     here, blocks, buffer, linked = root, [], [], 0
     in_link = False
@@ -141,7 +153,7 @@ def parse(page: str) -> tuple[Element, list[tuple[Element, str, bool]]]:
         attributes = _attributes(m[3]) if m[3].strip(" /") else {}
         leaf = tag in _LEAF or here.tag in _LEAF
         path = here.path if leaf else f"{here.path}>{_label(tag, attributes)}"
-        child = Element(tag, path, here.furniture or _is_furniture(tag, attributes), here)
+        child = Element(tag, path, here.furniture or _is_furniture(tag, attributes, by_name), here)
         if not leaf:
             here.children.append(child)
         here = child

@@ -484,6 +484,19 @@ def test_main_text(spark):
     assert got[7].text.startswith("unclosed")
 
 
+def test_names_of_whole_pages_are_no_furniture(spark):
+    text = "<h1>Title</h1><p>All of the text.</p>"
+    rows = [
+        (1, "http://a.example.com/", f'<body class="has-sidebar"><div class="no-sidebar">{text}</div><div class="sidebar">beside</div></body>'),
+        (2, "http://b.example.com/", f'<body><main class="overflow-hidden page-widget">{text}</main><div class="hidden">unseen</div></body>'),
+        (3, "http://c.example.com/", f'<body><article class="single-comments">{text}</article><p class="visually-hidden">unseen</p></body>'),
+        (4, "http://d.example.com/", f'<body><nav>menu</nav><div id="page-widget">{text}</div></body>'),
+        (5, None, f'<body><div class="overflow-hidden">{text}</div></body>'),
+    ]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == dict.fromkeys(range(1, 6), "Title\nAll of the text.")
+
+
 # --- 10 mixing
 
 
