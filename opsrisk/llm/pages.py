@@ -2,7 +2,7 @@
 
 Each page scores its containers: the text that stands in them outside links and
 outside boilerplate elements. From the body the parser goes down while one child
-holds most of the score; where it stops is the page's vote, as a generalised
+holds all of the score; where it stops is the page's vote, as a generalised
 path of tags and classes (numbers in classes are left out). Votes are counted
 for each host, and every page is extracted again by its host's winning path.
 A page that has no such container is extracted by its own vote. Words of classes and
@@ -47,7 +47,6 @@ _NAMES = frozenset("hidden is-hidden visually-hidden visuallyhidden".split())  #
 _HAS = re.compile(r"(?:has|with|without|no)[-_]", re.I)  # such names tell what stands beside or inside
 _WHOLE = frozenset("html body main article".split())  # elements that hold the page or its text, whatever their names
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
-_MOST = 0.7  # share of the score that one child must hold for the parser to go down to it
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -162,13 +161,13 @@ def _parse(page: str, by_name: bool) -> tuple[Element, list[tuple[Element, str,
 
 
 def vote(root: Element) -> str:
-    """Path of the container that the scores lead to; empty if the page has no text."""
+    """Path of the least container that holds the whole score; empty if the page has no text."""
     e = root
     if not e.score:
         return ""
     while True:
         inner = max(e.children, key=lambda c: c.score, default=None)
-        if inner is None or inner.score < _MOST * e.score:
+        if inner is None or inner.score < e.score:
             return e.path
         e = inner
 

@@ -497,6 +497,14 @@ def test_names_of_whole_pages_are_no_furniture(spark):
     assert {r.page_id: r.text for r in got} == dict.fromkeys(range(1, 6), "Title\nAll of the text.")
 
 
+def test_main_text_keeps_what_stands_beside_the_largest_part(spark):
+    long = "a long section of the text " * 20
+    body = f"<h1>Title</h1><p>Introduction.</p><div class=body><p>{long}</p><blockquote>Quoted.</blockquote></div><section><h2>Last</h2><ul><li>One.</li></ul></section>"
+    rows = [(k, f"http://a.example.com/{k}", f"<body><nav>menu</nav><div class=links><a href=x>other pages</a></div><article>{body}</article><div class=ad>buy</div></body>") for k in range(3)]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["\n".join(["Title", "Introduction.", long.strip(), "Quoted.", "Last", "One."])] * 3
+
+
 # --- 10 mixing
 
 
