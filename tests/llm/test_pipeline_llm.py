@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
