@@ -4,12 +4,13 @@ Every source gets a share of all words by its weight, at most ``max_copies``
 times its own words; the excess is shared again by weight. A document of a
 source with target/size ratio f is to be taken f times: floor(f) whole copies
 and one more with probability p = f - floor(f). The fractions are rounded
-pairwise: two documents exchange words until one has probability 0 or 1, in a
-random direction chosen so that every expectation stays. A pair's words
-(probability times size) stay constant, so a source's total misses its target
-by less than one document. Groups of a few thousand documents are rounded
+in pairs: a document and all smaller ones of its group exchange words until one has probability 0
+or 1, in a random direction chosen so that every expectation stays. A group's words
+(probability times size) stay constant. Groups of a few thousand documents are rounded
 first, then their residuals (one document each), level by level up to one
-residual for each source: a reduction tree in which no task sees a whole source.
+residual for each source: a reduction tree in which no task sees a whole source. A source's total misses its target by
+less than the last residual. This is a group's smallest document, unless one document outweighs all smaller
+ones of its group together.
 
 Draws are hashes of the document and the level, so reruns agree.
 """
@@ -67,29 +68,40 @@ def _uniform(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
 
 
 def round_group(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
-    """Pivotal rounding of one group: probabilities that are 0 or 1 but for at most one, whose index is returned (-1: none)."""
+    """Pivotal rounding of one group: probabilities that are 0 or 1 but for at most one, whose index is returned (-1: none).
+
+    Documents come in the order given, the largest first. Each is paired with all that follow it, as one: words go from one
+    to the other, in a random direction, until the document or one of the others has probability 0 or 1. The others share
+    words by size times the smaller of p and 1 - p, in both directions alike, so every expectation stays, and the sum of
+    probability times size stays in every step. A large document so settles against very many small ones; the one left open
+    at the end is the smallest, unless a document outweighs all that follow it.
+    """
     out, eps = p.copy(), 1e-9
-    left = -1
-    for i in range(len(out)):
-        if out[i] <= eps or out[i] >= 1 - eps:
-            out[i] = round(out[i])
-            continue
-        if left < 0:
-            left = i
-            continue
-        a, b = left, i
-        to_a = min((1 - out[a]) * size[a], out[b] * size[b])
-        to_b = min(out[a] * size[a], (1 - out[b]) * size[b])
-        moved = to_a if draw[i] * (to_a + to_b) < to_b else -to_b
-        out[a] += moved / size[a]
-        out[b] -= moved / size[b]
-        left = -1
-        for j in (a, b):
-            if out[j] <= eps or out[j] >= 1 - eps:
-                out[j] = round(out[j])
-            else:
-                left = j
-    return out, left
+    ends = (out <= eps) | (out >= 1 - eps)
+    out[ends] = np.round(out[ends])
+    live = np.flatnonzero(~ends)
+    at = 0
+    while at < len(live) - 1:
+        i, rest = live[at], live[at + 1 :]
+        w = size[rest] * np.minimum(out[rest], 1 - out[rest])
+        share = w / w.sum() / size[rest]  # change of a probability for each word that the others get together
+        room = (1 - out[rest]) / share
+        stock = out[rest] / share
+        to_i = min((1 - out[i]) * size[i], stock.min())
+        from_i = min(out[i] * size[i], room.min())
+        moved = to_i if draw[i] * (to_i + from_i) < from_i else -from_i
+        out[i] += moved / size[i]
+        out[rest] -= moved * share
+        ends = (out[live[at:]] <= eps) | (out[live[at:]] >= 1 - eps)
+        settled = live[at:][ends]
+        out[settled] = np.round(out[settled])
+        draw = _next(draw) if not ends[0] else draw  # the same document draws again
+        live, at = live[at:][~ends], 0
+    return out, int(live[0]) if len(live) else -1
+
+
+def _next(draw: np.ndarray) -> np.ndarray:
+    return (draw * 7919.0 + 0.618033988749895) % 1.0
 
 
 _TREE = "source string, _id long, _h long, words long, p double, open boolean"
@@ -99,7 +111,7 @@ def _round_level(level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         cols = {c: table[c].to_numpy() for c in ("_id", "_h", "words", "p")}
         draw = _uniform(cols["_id"], cols["_h"], level)
-        # the largest first: small ones fill them up, so that what stays open at the end is small
+        # the largest first: each settles against all smaller ones, so that what stays open at the end is small
         order = np.lexsort((cols["_h"], cols["_id"], draw, -cols["words"]))
         p, left = round_group(cols["p"][order], cols["words"][order].astype(float), _uniform(cols["_h"], cols["_id"], level + 1000)[order])
         still = np.zeros(len(p), dtype=bool)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsrisk.llm import align, perfect, periodic, queries, urls
+from opsrisk.llm import align, mixing, perfect, periodic, queries, urls
 
 from .test_operators import DOCS, SF, WORD, none, odd, odd_documents, real  # noqa: F401
 
@@ -265,3 +265,22 @@ def test_url_query_is_its_sql_on_odd_pages(spark, tmp_path):
     got = queries.op13_url_filters(spark, str(tmp_path))
     want = con.sql(f"select {', '.join(got.columns)} from ({queries.ORACLE['op13_url_filters']})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+# --- 10 source mix: large documents
+
+
+def test_mix_meets_targets_beside_a_long_text(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 300)), "ab"[i % 2]) for i in range(1200)]
+    for s in "ab":  # one text of about a tenth of its source
+        rows.append((5000 + ord(s), " ".join(["w"] * (sum(len(t.split()) for _, t, x in rows if x == s) // 9)), s))
+    for seed in range(4):
+        df = spark.createDataFrame([(i + 10_000 * seed, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+        got = mixing.mix_copies(df).groupBy("source").agg(F.sum(F.col("copies") * F.col("size") * F.col("rows")).alias("taken"), F.first("target").alias("target")).collect()
+        assert len(got) == 2 and all(abs(r.taken - r.target) <= 30 for r in got), got
+
+
+def test_mix_query_meets_targets(spark):
+    got = queries.op10_source_mix(spark, "/root/testdata/sf0.1").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 20 and all(abs(r.taken - r.target) <= 0.005 * r.target for r in got), got
