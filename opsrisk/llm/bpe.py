@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .shared import ship
 
 _GROUP_BITS = 8  # ranks in one lower word of the bitmap: 2^8
-CACHE_ENTRIES = 500_000  # a worker forgets its results for pieces of text beyond this
+CACHE_BYTES = 64 << 20  # a worker forgets its results for pieces of text beyond about this
 LEARN_CHARS = 8 << 20  # texts of so many characters are learned together
+_ENTRY, _ID = 160, 36  # bytes of a result, and of each of its ids
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -119,14 +120,14 @@ class PairTable:
                     values.append(r)
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
-        self.values = np.append(np.array(values, np.int64)[order], -1)
-        self.byte = np.array([ranks.get(bytes([i]), self.stop) for i in range(256)], np.int64)
+        self.values = np.append(np.array(values, np.int32)[order], np.int32(-1))
+        self.byte = np.array([ranks.get(bytes([i]), self.stop) for i in range(256)], np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1: none."""
-        key = left * self.width + right
+        key = left.astype(np.int64) * self.width + right
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.values[at], -1)
+        return np.where(self.keys[at] == key, self.values[at], np.int32(-1))
 
 
 def merge_many(words: list[bytes], table: PairTable) -> list[tuple[int, ...]]:
@@ -140,14 +141,17 @@ def merge_many(words: list[bytes], table: PairTable) -> list[tuple[int, ...]]:
     raw = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
     ids = table.byte[raw]
     ids[ends - 1] = table.stop
-    word_of = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     n = len(ids)
-    after = np.arange(1, n + 1)
+    after = np.arange(1, n + 1, dtype=np.int32)
     after[-1] = n - 1
-    before = np.arange(-1, n - 1)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     before[0] = n - 1  # the last stop: pairs with none
     live = np.ones(n, dtype=bool)
-    pair = np.append(table.rank(ids[:-1], ids[1:]), -1)
+    pair = np.full(n, -1, np.int32)
+    for i in range(0, n - 1, 1 << 18):  # a part at a time, as ranks are looked up by 64-bit keys
+        j = min(n - 1, i + (1 << 18))
+        pair[i:j] = table.rank(ids[i:j], ids[i + 1 : j + 1])
     buckets: dict[int, list[np.ndarray]] = {}
     lower: dict[int, int] = {}
     upper = 0
@@ -169,7 +173,7 @@ def merge_many(words: list[bytes], table: PairTable) -> list[tuple[int, ...]]:
                 bits |= 1 << g
         return bits
 
-    known = np.flatnonzero(pair >= 0)
+    known = np.flatnonzero(pair >= 0).astype(np.int32)
     if len(known):
         upper = push(pair[known], known)
     while upper:
@@ -196,7 +200,7 @@ def merge_many(words: list[bytes], table: PairTable) -> list[tuple[int, ...]]:
             left, right = before[at], ids[k]
             next_merges = np.append(k[:-1] == at[1:], False)
             last_merged = np.append(False, next_merges[:-1])
-            made = np.full(len(at), r)
+            made = np.full(len(at), r, np.int32)
             on_left = table.rank(np.where(last_merged, r, ids[left]), made)
             on_right = table.rank(made, np.where(next_merges, r, right))
             low = (on_left >= 0) & (on_left <= r) | (on_right >= 0) & (on_right <= r)
@@ -231,8 +235,8 @@ def merge_many(words: list[bytes], table: PairTable) -> list[tuple[int, ...]]:
 class Tokenizer:
     """Encoder and decoder over one rank file; not thread-safe (one per Python worker)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_entries: int = CACHE_ENTRIES):
-        self.ranks, self.limit = ranks, cache_entries
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES):
+        self.ranks, self.limit, self.held = ranks, cache_bytes, 0
         self.find = regex.compile(pattern).findall
         self.vocab = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, r in ranks.items():
@@ -255,13 +259,15 @@ class Tokenizer:
         new: set[str] = set()
         for text in texts:
             new.update(text.split(" "))
-        if len(new) + len(self.pieces) > self.limit:
+        if self.held > self.limit:
             self.pieces.clear()
+            self.held = 0
         new.difference_update(self.pieces)
         cuts, words = {}, {}
         for piece in new:
             if not piece or piece[0].isspace() or piece[-1].isspace() or len(piece) > 256:
                 self.pieces[piece] = None
+                self.held += _ENTRY + 2 * len(piece)
                 continue
             cuts[piece] = cut = self.find(" " + piece)
             for word in cut:
@@ -285,6 +291,7 @@ class Tokenizer:
             for word in cut[1:]:
                 ids += words[word]
             self.pieces[piece] = ids
+            self.held += _ENTRY + 2 * len(piece) + _ID * len(ids)
 
     def encode(self, text: str) -> list[int]:
         first, *rest = text.split(" ")
@@ -346,27 +353,33 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     ship(spark)
     vocabulary = spark.sparkContext.broadcast(data)
 
+    def encoded(tok: Tokenizer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {"n": [], "i": [], "d": []}
+        flat, ends = array("i"), array("i", [0])
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for ids in tok.encode_all(texts):
+            packed = array("I", ids)
+            out["n"].append(len(ids))
+            out["i"].append(hashlib.sha256(packed.tobytes()).hexdigest())
+            out["d"].append(hashlib.sha256(tok.decode(ids)).hexdigest())
+            if keep_ids:
+                flat.extend(ids)
+                ends.append(len(flat))
+        cols = {"doc_id": batch.column(0)}
+        if keep_ids:
+            cols["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        cols |= {"n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["i"], pa.string()), "decoded_sha256": pa.array(out["d"], pa.string())}
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(vocabulary.value, pattern)
-        sha = hashlib.sha256
-        gc.disable()  # millions of live tuples and no cycles: collections would take a third of the time
         for batch in batches:
-            out: dict[str, list] = {"n": [], "i": [], "d": []}
-            flat, ends = array("i"), array("i", [0])
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for ids in tok.encode_all(texts):
-                packed = array("I", ids)
-                out["n"].append(len(ids))
-                out["i"].append(sha(packed.tobytes()).hexdigest())
-                out["d"].append(sha(tok.decode(ids)).hexdigest())
-                if keep_ids:
-                    flat.extend(ids)
-                    ends.append(len(flat))
-            cols = {"doc_id": batch.column(0)}
-            if keep_ids:
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            cols |= {"n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["i"], pa.string()), "decoded_sha256": pa.array(out["d"], pa.string())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            gc.disable()  # millions of live tuples and no cycles: collections would take a third of the time
+            try:
+                made = encoded(tok, batch)
+            finally:
+                gc.enable()
+            yield made
 
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = kept.schema["doc_id"].dataType.simpleString()

@@ -15,6 +15,7 @@ _U64 = np.uint64
 _MULT = _U64(0x9E3779B97F4A7C15)
 # Powers of the odd multiplier and of its inverse modulo 2^64, grown on demand.
 _POWERS: dict[str, np.ndarray] = {}
+_KEPT = 1 << 19  # of them; more are made anew for each use, so that a worker does not hold what one long text took
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,13 +53,17 @@ def chunks(offsets: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
+    def made(size: int) -> tuple[np.ndarray, np.ndarray]:
         up = np.full(size, _MULT, _U64)
         up[0] = 1
         down = np.full(size, _U64(pow(int(_MULT), -1, 1 << 64)), _U64)
         down[0] = 1
-        _POWERS["up"], _POWERS["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+    if n > _KEPT:
+        return made(n)
+    if len(_POWERS.get("up", ())) < n:
+        _POWERS["up"], _POWERS["down"] = made(min(_KEPT, max(2 * n, 1 << 16)))
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
