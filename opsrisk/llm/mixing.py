@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .shared import row_key, saved, ship, word_count
 
 GROUP = 4096  # documents that one step of the tree rounds together
+HEAVY = 0.001  # share of its source's target beyond which a document that fits in one way only goes that way
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_copies: float) -> DataFrame:
@@ -67,13 +68,14 @@ def _uniform(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def round_group(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
+def round_group(p: np.ndarray, size: np.ndarray, draw: np.ndarray, heavy: float = math.inf) -> tuple[np.ndarray, int]:
     """Pivotal rounding of one group: probabilities that are 0 or 1 but for at most one, whose index is returned (-1: none).
 
     Documents come in the order given, the largest first. Each is paired with all that follow it, as one: words go from one
     to the other, in a random direction, until the document or one of the others has probability 0 or 1. The others share
     words by size times the smaller of p and 1 - p, in both directions alike, so every expectation stays, and the sum of
-    probability times size stays in every step. A large document so settles against very many small ones; the one left open
+    probability times size stays in every step. If a document has more than ``heavy`` words and the others can make up for one
+    of its ends only, this is its end (here alone the expectation gives way to the target). A large document so settles against very many small ones; the one left open
     at the end is the smallest, unless a document outweighs all that follow it.
     """
     out, eps = p.copy(), 1e-9
@@ -89,7 +91,10 @@ def round_group(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.n
         stock = out[rest] / share
         to_i = min((1 - out[i]) * size[i], stock.min())
         from_i = min(out[i] * size[i], room.min())
-        moved = to_i if draw[i] * (to_i + from_i) < from_i else -from_i
+        up = (1 - out[i]) * size[i] <= (out[rest] * size[rest]).sum() + eps
+        down = out[i] * size[i] <= ((1 - out[rest]) * size[rest]).sum() + eps
+        toss = draw[i] * (to_i + from_i) < from_i
+        moved = to_i if (toss if up == down or size[i] <= heavy else up) else -from_i
         out[i] += moved / size[i]
         out[rest] -= moved * share
         ends = (out[live[at:]] <= eps) | (out[live[at:]] >= 1 - eps)
@@ -104,16 +109,16 @@ def _next(draw: np.ndarray) -> np.ndarray:
     return (draw * 7919.0 + 0.618033988749895) % 1.0
 
 
-_TREE = "source string, _id long, _h long, words long, p double, open boolean"
+_TREE = "source string, _id long, _h long, words long, p double, heavy double, open boolean"
 
 
 def _round_level(level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table[c].to_numpy() for c in ("_id", "_h", "words", "p")}
+        cols = {c: table[c].to_numpy() for c in ("_id", "_h", "words", "p", "heavy")}
         draw = _uniform(cols["_id"], cols["_h"], level)
         # the largest first: each settles against all smaller ones, so that what stays open at the end is small
         order = np.lexsort((cols["_h"], cols["_id"], draw, -cols["words"]))
-        p, left = round_group(cols["p"][order], cols["words"][order].astype(float), _uniform(cols["_h"], cols["_id"], level + 1000)[order])
+        p, left = round_group(cols["p"][order], cols["words"][order].astype(float), _uniform(cols["_h"], cols["_id"], level + 1000)[order], cols["heavy"][0])
         still = np.zeros(len(p), dtype=bool)
         if left >= 0:
             if last:
@@ -127,6 +132,7 @@ def _round_level(level: int, last: bool):
                 "_h": cols["_h"][order],
                 "words": cols["words"][order],
                 "p": p,
+                "heavy": cols["heavy"],
                 "open": still,
             }
         )
@@ -159,7 +165,7 @@ def mix_copies(
     targets = saved(source_targets(base, weights, max_copies), "mix-targets").withColumnRenamed("source", "_s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = base.join(targets, base["source"].eqNullSafe(targets["_s"])).drop("_s").withColumn("ratio", ratio)
-    tree = rows.where("words > 0").select("source", "_id", "_h", "words", (F.col("ratio") - F.floor("ratio")).alias("p"), F.lit(True).alias("open"))
+    tree = rows.where("words > 0").select("source", "_id", "_h", "words", (F.col("ratio") - F.floor("ratio")).alias("p"), (F.col("target") * F.lit(HEAVY)).alias("heavy"), F.lit(True).alias("open"))
     n = base.count()
     levels, done = max(1, math.ceil(math.log(max(n, 2), group))), []
     for level in range(levels):
