@@ -711,6 +711,7 @@ def q_classification_metrics(spark, sf):
 
 from ..session import scratch_path  # noqa: E402
 from ..sources import files as IO  # noqa: E402
+from ..sources import runs  # noqa: E402
 
 
 @register("scan_workflows", O.with_ctes("select *, cast(0 as bigint) as n_unparsed from workflows"))
@@ -1114,6 +1115,26 @@ def q_saved_run_alerts(spark, sf):
     return IO.load_outputs(spark, paths)["alerts"].where(F.col("type") != "high_risk_escalation")
 
 
+@register(
+    "saved_run_versions",
+    f"select 1::bigint as run, * from ({_long_sql(DEFAULT_RULE_CONFIG, True)}{_ALERT_SELECT}) "
+    f"union all select 2::bigint as run, * from ({_long_sql(CUSTOM_CONFIG, True)}{_ALERT_SELECT})",
+)
+def q_saved_run_versions(spark, sf):
+    """Two runs under other thresholds published one after the other; both are read, the first by its number."""
+    base = scratch_path(spark, "versions")
+    flows = _labeled_as_predicted(spark, sf)
+    first = None
+    for cfg, fmt in ((DEFAULT_RULE_CONFIG, "csv"), (CUSTOM_CONFIG, "parquet")):
+        alerts = A.generate_alerts(flows, "predicted_risk", cfg, FIXED_STAMP, dedup=False)
+        run = runs.write_table(spark, runs.start(base), "alerts", "alerts", alerts, fmt)
+        runs.commit(spark, run)
+        first = first or runs.open_run(spark, base)  # held while the second is published
+    newest = runs.open_run(spark, base)
+    read = lambda r: runs.read_table(spark, r, "alerts").select(F.lit(r.number).cast("bigint").alias("run"), "*")
+    return read(first).unionByName(read(newest))
+
+
 @register("custom_risk_factors", O.with_ctes(
     "select workflow_id, 'medium' as predicted_risk, case when coalesce(error_count > 5, false) then 'many errors' else 'no remark' end as risk_factors from workflows"
 ))
