@@ -795,9 +795,6 @@ from ..operators import preprocessing as P  # noqa: E402
 from ..operators.selection import exact_medians  # noqa: E402
 from ..schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, RISK_LABELS  # noqa: E402
 
-QUERY_FIT_ROWS = 5000  # labelled rows that the queries' models are fitted on; trees and depth are the full ones
-
-
 def _portable_key(df):
     return (tables.workflow_key(df) * F.lit(2654435761) + F.lit(42)) % F.lit(4294967296)
 
@@ -997,7 +994,7 @@ def _trained(spark, sf):
 
     base = f"{ensure_checkpoint_dir(spark)}/opsrisk-trained/{tables.signature(spark, sf)}"
     if not IO.is_complete(spark, f"{base}/metadata.json"):
-        result = train_and_evaluate(tables.workflows_labeled(spark, sf), max_fit_rows=QUERY_FIT_ROWS)
+        result = train_and_evaluate(tables.workflows_labeled(spark, sf))
         IO.save_model(result.model, f"{base}/random_forest")
         IO.save_model(result.baseline_models["logistic_regression"], f"{base}/logistic_regression")
         IO.save_json(spark, result.metadata, f"{base}/metadata.json")
@@ -1009,34 +1006,47 @@ def training_metadata(spark, sf) -> dict:
     return IO.load_json(spark, f"{_trained(spark, sf)}/metadata.json")
 
 
-def _prediction_invariants(scored):
+def _model_rows(spark, sf, name):
+    """Counts over a saved model's predictions for all labelled workflows, and whether they are better than a constant:
+    a constant has at most one right class, so its F1 macro is at most 1/3."""
+    from .pipeline import score
+
+    path = scratch_path(spark, f"scored-{name}")
+    model = IO.load_model(spark, f"{_trained(spark, sf)}/{name}")
+    cols = ("workflow_id", "risk_label", "predicted_risk", "risk_probability", "risk_factors")
+    score(tables.workflows_labeled(spark, sf), model).select(*cols).write.parquet(path)
+    scored = spark.read.parquet(path)
+    above = EV.evaluate_predictions(scored, "risk_label", "predicted_risk").f1_macro > 1 / 3
     total = F.aggregate(F.map_values("risk_probability"), F.lit(0.0), lambda a, x: a + x)
+    # the predicted class is the likeliest; of equally likely ones the first by name
+    likeliest = F.array_max(F.transform(F.map_entries("risk_probability"), lambda e: F.struct(e["value"].alias("p"), (-F.array_position(F.array(*[F.lit(x) for x in sorted(RISK_LABELS)]), e["key"])).alias("k"))))
+    predicted = F.struct(F.element_at("risk_probability", F.col("predicted_risk")).alias("p"), (-F.array_position(F.array(*[F.lit(x) for x in sorted(RISK_LABELS)]), F.col("predicted_risk"))).alias("k"))
     return scored.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("predicted_risk").isin(*RISK_LABELS)).alias("n_valid_label"),
         F.count_if(F.abs(total - F.lit(1.0)) < F.lit(1e-6)).alias("n_prob_sum_one"),
+        F.count_if(predicted == likeliest).alias("n_likeliest"),
         F.count_if(F.size("risk_factors") > 0).alias("n_with_factors"),
+        F.count_distinct("predicted_risk").alias("n_predicted_labels"),
+        F.lit(above).alias("above_constant"),
     )
 
 
 _INVARIANT_SQL = O.with_ctes(
-    "select count(*) as n_rows, count(*) as n_valid_label, count(*) as n_prob_sum_one, count(*) as n_with_factors from workflows"
+    "select count(*) as n_rows, count(*) as n_valid_label, count(*) as n_prob_sum_one, count(*) as n_likeliest, count(*) as n_with_factors, "
+    "count(distinct risk_label) as n_predicted_labels, true as above_constant from workflows_labeled",
+    labeled=True,
 )
 
 
 @register("rf_predictions", _INVARIANT_SQL)
 def q_rf_predictions(spark, sf):
-    from .pipeline import score
-
-    return _prediction_invariants(score(tables.workflows(spark, sf), IO.load_model(spark, f"{_trained(spark, sf)}/random_forest")))
+    return _model_rows(spark, sf, "random_forest")
 
 
 @register("lr_predictions", _INVARIANT_SQL)
 def q_lr_predictions(spark, sf):
-    from .pipeline import score
-
-    lr = IO.load_model(spark, f"{_trained(spark, sf)}/logistic_regression")
-    return _prediction_invariants(score(tables.workflows(spark, sf), lr))
+    return _model_rows(spark, sf, "logistic_regression")
 
 
 @register("train_report", O.with_ctes(
@@ -1055,14 +1065,17 @@ def q_train_report(spark, sf):
     )
 
 
-@register("model_comparison", "select * from (values ('logistic_regression', true), ('dummy', true), "
-          "('random_forest (primary)', true)) t(model, metrics_in_range)")
+@register("model_comparison", "select * from (values ('logistic_regression', true, true), ('dummy', true, false), "
+          "('random_forest (primary)', true, true)) t(model, metrics_in_range, above_dummy)")
 def q_model_comparison(spark, sf):
-    v = V.model_comparison(spark, training_metadata(spark, sf))
-    ok = F.lit(True)
-    for c in ("accuracy", "f1_macro", "f1_weighted"):
+    md = training_metadata(spark, sf)
+    v = V.model_comparison(spark, md)
+    names = ("accuracy", "f1_macro", "f1_weighted")
+    ok, above = F.lit(True), F.lit(True)
+    for c in names:
         ok = ok & (F.col(c) >= 0) & (F.col(c) <= 1)
-    return v.select("model", ok.alias("metrics_in_range"))
+        above = above & (F.col(c) > F.lit(md["baseline_comparison"]["dummy"][c]))
+    return v.select("model", ok.alias("metrics_in_range"), above.alias("above_dummy"))
 
 
 @register("pipeline_counts", _long_sql(DEFAULT_RULE_CONFIG, False) + (
