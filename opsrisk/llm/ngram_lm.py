@@ -95,6 +95,12 @@ def _block_of(bounds: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.nda
     return low + (hashes.view(np.uint64) % (high - low + 1).astype(np.uint64)).astype(np.int64)
 
 
+def _cuts(keys: np.ndarray, kind: int, n_buckets: int) -> list[int]:
+    """Where each bucket's part of sorted hashes starts, and the end."""
+    width = 2.0 ** (64 if kind == 1 else PAIR_BITS) / n_buckets
+    return [0, *np.searchsorted(keys, (np.arange(1, n_buckets) * width).astype(np.uint64)).tolist(), len(keys)]
+
+
 _ASKS = "kind int, bucket int, block long, keys binary, counts binary"
 
 
@@ -112,9 +118,7 @@ def _ask(bounds: np.ndarray, n_buckets: int):
                 head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
                 n = np.add.reduceat(weight[order], head, dtype=np.int64)
                 keys = keys[head]
-                width = 2.0 ** (64 if kind == 1 else PAIR_BITS) / n_buckets
-                cuts = np.searchsorted(keys, (np.arange(1, n_buckets) * width).astype(np.uint64))
-                cuts = [0, *cuts.tolist(), len(keys)]
+                cuts = _cuts(keys, kind, n_buckets)
                 for b, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if e > s:
                         rows.append((kind, b, block, _planes(keys[s:e]), n[s:e].astype(np.uint32).tobytes()))
@@ -147,7 +151,8 @@ def _ask(bounds: np.ndarray, n_buckets: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Totals of a bucket: one row for each block with its n-grams whose total is not its own count; a negative block: sums of the bucket."""
+    """Totals of a bucket: one row for each block that tells which of its n-grams there, in order, have a total that is not the
+    block's own count (bits), and these totals; a negative block: sums of the bucket."""
     kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
     blocks = table["block"].to_pylist()
     keys = [_unplanes(k) for k in table["keys"].to_pylist()]
@@ -163,24 +168,22 @@ def _answer(table: pa.Table) -> pa.Table:
         mine[b].append((n, c))
     for b, got in mine.items():
         n, at = np.unique(np.concatenate([n for n, _ in got]), return_inverse=True)
-        n = n[total[n] != np.bincount(at, weights=np.concatenate([c for _, c in got])).astype(np.int64)]
-        if len(n):
-            out.append((kind, b, _planes(every[n]), _spread(total[n])))
+        other = total[n] != np.bincount(at, weights=np.concatenate([c for _, c in got])).astype(np.int64)
+        if other.any():
+            out.append((kind, b, np.packbits(other).tobytes(), _spread(total[n[other]])))
     cols = list(zip(*out, strict=True))
-    return pa.table({"kind": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.int64()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+    buckets = pa.array([bucket] * len(out), pa.int32())
+    return pa.table({"kind": pa.array(cols[0], pa.int32()), "bucket": buckets, "block": pa.array(cols[1], pa.int64()), "other": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
 
 
-def _totals(keys: np.ndarray, learns: np.ndarray, answers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _totals(keys: np.ndarray, learns: np.ndarray, kind: int, n_buckets: int, answers: list[tuple[int, bytes, bytes]]) -> np.ndarray:
     """Total of every n-gram of a block: the answer, or its own count."""
     own, where = np.unique(keys, return_inverse=True)
     total = np.bincount(where, weights=learns, minlength=len(own)).astype(np.int64)
-    if answers:
-        known = np.concatenate([a[0] for a in answers])
-        n = np.concatenate([a[1] for a in answers])
-        order = np.argsort(known)
-        known, n = known[order], n[order]
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        total = np.where(known[at] == own, n[at], total)
+    cuts = _cuts(own, kind, n_buckets)
+    for bucket, other, counts in answers:
+        part = total[cuts[bucket] : cuts[bucket + 1]]
+        part[np.unpackbits(np.frombuffer(other, np.uint8), count=len(part)).astype(bool)] = _unspread(counts)
     return total[where]
 
 
@@ -218,7 +221,7 @@ def _unpack(packed: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in packed["docs"].to_pylist()])
 
 
-def _with_counts(docs: pa.Table, answers: pa.Table, n_starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _with_counts(docs: pa.Table, answers: pa.Table, n_starts: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token offsets, c(v, w), c(v) and c(w) of a block's documents."""
     data, offsets = column_bytes(docs["text"])
     tokens, pairs, ends = [], [], [np.zeros(1, np.int64)]
@@ -230,13 +233,13 @@ def _with_counts(docs: pa.Table, answers: pa.Table, n_starts: int) -> tuple[np.n
     tokens, pairs, at = np.concatenate(tokens), np.concatenate(pairs), np.concatenate(ends)
     learns = np.repeat(docs["learns"].to_numpy().astype(np.uint8), np.diff(at))
     got: dict[int, list] = {1: [], 2: []}
-    for kind, keys, counts in zip(answers["kind"].to_pylist(), answers["keys"].to_pylist(), answers["counts"].to_pylist(), strict=True):
-        got[kind].append((_unplanes(keys), _unspread(counts)))
-    c_w = _totals(tokens, learns, got[1])
+    for kind, *answer in zip(*(answers[c].to_pylist() for c in ("kind", "bucket", "other", "counts")), strict=True):
+        got[kind].append(answer)
+    c_w = _totals(tokens, learns, 1, n_buckets, got[1])
     c_v = np.empty_like(c_w)
     c_v[1:] = c_w[:-1]
     c_v[at[:-1]] = n_starts
-    return at, _totals(pairs, learns, got[2]), c_v, c_w
+    return at, _totals(pairs, learns, 2, n_buckets, got[2]), c_v, c_w
 
 
 def magnitude(c: np.ndarray) -> np.ndarray:
@@ -266,7 +269,7 @@ def _histogram(c_vw: np.ndarray, c_v: np.ndarray, c_w: np.ndarray, n_tokens: int
 _COUNTED = "ids binary, hashes binary, learns binary, sizes binary, c_vw binary, c_w binary, tokens long, words long"
 
 
-def _count(n_starts: int):
+def _count(n_starts: int, n_buckets: int):
     """One row for a block: ids, sizes and token counts of its documents.
 
     A group without documents holds buckets' sums: one row with the tokens and the different words in them.
@@ -277,7 +280,7 @@ def _count(n_starts: int):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         if packed.num_rows:
             docs = _unpack(packed)
-            at, c_vw, _, c_w = _with_counts(docs, answers, n_starts)
+            at, c_vw, _, c_w = _with_counts(docs, answers, n_starts, n_buckets)
             learns = docs["learns"].to_numpy().astype(np.uint8)
             row = [docs["_id"].to_numpy().tobytes(), docs["_h"].to_numpy().tobytes(), learns.tobytes(), np.diff(at).tobytes()]
             row += [pa.compress(_spread(c), codec="zstd", asbytes=True) for c in (c_vw, c_w)] + [None, None]
@@ -395,10 +398,10 @@ def interpolated_scores(docs: DataFrame, folds: int = 5, held_out: int = 1) -> D
     bounds = rows.agg(F.percentile_approx("_id", [i / n_blocks for i in range(1, n_blocks)], 10 * n_blocks)).first()[0] if n_blocks > 1 else []
     bounds = np.array(bounds or [], np.int64)
     asks = rows.select("_id", "_h", learns, "text").mapInArrow(_ask(bounds, n_buckets), _ASKS)
-    given = asks.groupBy("kind", "bucket").applyInArrow(_answer, "kind int, block long, keys binary, counts binary").groupBy("block")
+    given = asks.groupBy("kind", "bucket").applyInArrow(_answer, "kind int, bucket int, block long, other binary, counts binary").groupBy("block")
     starts = seen["starts"]
     packed = rows.select("_id", "_h", learns, "text").mapInArrow(_pack(bounds), "block long, docs binary")
-    counted = saved(packed.groupBy("block").cogroup(given).applyInArrow(_count(starts), _COUNTED), "lm-counts")
+    counted = saved(packed.groupBy("block").cogroup(given).applyInArrow(_count(starts, n_buckets), _COUNTED), "lm-counts")
     sums = counted.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
     n_tokens, vocabulary = sums["tokens"] or 0, sums["words"] or 0
     counted = counted.where("ids is not null")
