@@ -505,6 +505,89 @@ def test_main_text_keeps_what_stands_beside_the_largest_part(spark):
     assert [r.text for r in got] == ["\n".join(["Title", "Introduction.", long.strip(), "Quoted.", "Last", "One."])] * 3
 
 
+# Ten layouts; text in [[ ]] is the article's. {k} differs from page to page.
+LAYOUTS = {
+    "headline": "<header>Site {k}</header><article><header><h1>[[Headline {k}]]</h1></header><p>[[The body of story {k} is told here.]]</p></article>",
+    "legal": "<article><h1>[[Title {k}]]</h1><p>[[Text {k} of some length, as texts are.]]</p></article><div class=legal>Copyright and all the legal words that nobody reads</div>",
+    "teasers": "<div class=post><h1>[[Title {k}]]</h1><p>[[Text {k} of some length, as texts are.]]</p></div><div class=teasers><div class=t>Another story</div><div class=t>One more story</div></div>",
+    "ids": "<article><h1>[[Title {k}]]</h1><section id=social-policy><p>[[Policy {k} is a social matter.]]</p></section><div class=story-share-price><p>[[Shares rose {k} times.]]</p></div><p class=register>[[Register {k} of ships.]]</p></article>",
+    "comments": "<article><h1>[[Title {k}]]</h1><p>[[Text {k}.]]</p><section class=comments><p>A reader's comment on {k}, much longer than the text itself is.</p></section></article><div id=post-comments>First! {k}</div>",
+    "formula": "<article><h1>[[Law {k}]]</h1><p>[[We find <math><mi>E</mi><mo>=</mo><mi>m{k}</mi></math> here]]</p><noscript><p>[[Figure {k} shows it.]]</p></noscript></article><noscript>Turn scripts on</noscript>",
+    "flat": "<nav>menu</nav><h1>[[Title {k}]]</h1><p>[[Text {k} of some length, as texts are.]]</p><h2>[[Part {k}]]</h2><p>[[More of {k}.]]</p><div class=imprint>All rights are with their owners, whoever these are</div>",
+    "sections": "<main><h1>[[Title {k}]]</h1><div class=intro>[[Introduction {k}]]</div><div class=body><p>[[Long text {k} with many words of the story in it.]]</p><blockquote>[[Quoted {k}]]</blockquote></div></main><div class=box>Opening hours: nine to five</div>",
+    "byline": "<article><h1>[[Title {k}]]</h1><div class=author>[[By A. Writer]]</div><div class=text><p>[[Text {k} of some length, as texts are.]]</p></div></article><aside>Beside {k}</aside><div class='cookie-bar bottom'>We use them</div>",
+    "stray": "<div id=page-widget><h1>[[Title {k}]]</h1><p>[[Text {k} of some length, as texts are, and then some.]]</p></div><footer>Foot {k}</footer>",
+}
+
+
+def layout_page(layout, k):
+    source = LAYOUTS[layout].replace("{k}", str(k))
+    want = "\n".join(re.sub(r"<[^>]*>", "", x) for x in re.findall(r"\[\[(.*?)\]\]", source))
+    return source.replace("[[", "").replace("]]", ""), want
+
+
+def test_main_text_of_ten_layouts(spark):
+    rows, want = [], {}
+    for i, layout in enumerate(LAYOUTS):
+        for k in range(5):
+            page_id = 10 * i + k
+            source, want[page_id] = layout_page(layout, k)
+            rows.append((page_id, f"http://{layout}.example.com/{k}", f"<html><body>{source}</body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.main_text(df.repartition(5)).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert got[20].path == "html>body>div.post" and got[10].path == "html>body>article"
+    copies = df.union(df).union(df)  # copies of a page vote once and are no recurring text
+    assert Counter((r.page_id, r.text) for r in pages.main_text(copies).collect()) == Counter({(i, t): 3 for i, t in want.items()})
+
+
+def brute_votes(rows):
+    """Votes by the definition: dictionaries instead of joins."""
+    hosts = {}
+    for host, source in rows:
+        parts = pages.sections(*pages.parse(source))
+        hosts.setdefault(host, {})[tuple(sorted(parts.items()))] = parts
+    out = {}
+    for host, looks in hosts.items():
+        texts = {}
+        for parts in looks.values():
+            for path, (text, _, _) in parts.items():
+                texts.setdefault(path, []).append(text)
+        recurring = {p for p, t in texts.items() if len(t) >= 3 and 2 * len(set(t)) <= len(t)}
+        votes = {}
+        for parts in looks.values():
+            used = {p: x[1] for p, x in parts.items() if x[1] and not x[2] and p not in recurring}
+            if used:
+                path = pages.common(list(used))
+                if not path:
+                    continue
+                n, score = votes.get(path, (0, 0))
+                votes[path] = (n + 1, score + sum(used.values()))
+        out[host] = min(votes, key=lambda p: (-votes[p][0], -votes[p][1], p)).rstrip(">") if votes else None
+    return out
+
+
+def test_host_votes_equal_brute_force(spark):
+    rng, names = random.Random(4), list(LAYOUTS)
+    rows = []
+    for i in range(240):  # a third of the pages on one host, layouts mixed on it
+        host = "hot.example.com" if i % 3 == 0 else f"h{rng.randint(0, 15)}.example.com"
+        rows.append((i, host, layout_page(rng.choice(names), rng.randint(0, 9))[0]))
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", s) for i, h, s in rows], "page_id long, url string, html string").repartition(4)
+    got = {r.host: r.path for r in pages.main_text(df).select("host", "path").distinct().collect()}
+    assert got == brute_votes([(h, s) for _, h, s in rows])
+
+
+def test_main_text_of_long_and_odd_pages(spark):
+    long = "<p>" + "word " * 400_000 + "</p>"
+    deep = "<div>" * 30000 + "deep" + "</div>" * 30000
+    rows = [(1, "http://a.example.com/", f"<article><h1>T</h1>{long}</article>"), (2, "http://b.example.com/", deep), (3, "http://c.example.com/", "<div class='a>b'>x</div>"), (4, "http://d.example.com/", "<nav>only a menu</nav>"), (5, "http://e.example.com/", "<p><a href=x>only a link</a>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert got[1] == "T\n" + ("word " * 400_000).strip() and got[2] == "deep" and got[3] == "x" and got[4] == "" and got[5] == "only a link"
+    assert pages.main_text(df.limit(0)).count() == 0
+
+
 # --- 10 mixing
 
 
