@@ -1,103 +1,156 @@
-"""Roles of transcript turns by a hidden Markov model, and their canonical rendering.
-
-The states are the roles, the observations are what can be seen of a turn without
-its role: a speaker marker at its start, the number and length of its lines,
-whether it ends with a question. Initial, transition and emission probabilities
-are counted on labelled conversations (with one pseudo-count each; a known marker
-adds a strong prior for its role). Viterbi finds the likeliest roles of a whole
-conversation; each turn is then rendered with its role, its marker left out.
-
-A conversation of any length is cut into pieces. A piece is first folded to its
-best log-probability from every role that enters to every role that leaves (a
-max-plus matrix product); the pieces' borders are decoded from these matrices, and
-then every piece on its own between its borders, so no task holds more
-than one piece's turns.
+"""Transcript parsing by a hidden Markov model over lines, and canonical rendering of the turns.
+
+A row's text may hold one turn or several ("User: hi / Assistant: hello / User: ..."). The lines of a conversation are the
+observations: whether a line is the first of its row together with the role that its speaker marker names, its length and whether it
+ends with a question. The states are the roles, each as the beginning of a turn and as its continuation; a row begins a turn, and a turn
+continues in its own role only. Initial, transition and emission probabilities are counted on labelled rows of one turn each
+(with one pseudo-count each; a role's own marker has a strong prior at the beginning of a turn, no marker in its continuation). Viterbi
+finds the likeliest states of a whole conversation; each turn is then rendered with its role, its marker left out.
+
+Rows are sorted by conversation over range partitions, and every partition cuts its rows into pieces of one conversation each. A piece is
+folded to its best log-probability from every state that enters to every state that leaves (a max-plus matrix product); the
+pieces' borders are decoded from these matrices, and then every piece on its own between its borders. No task holds the rows of more
+than one piece, which has at most ``piece`` lines and PIECE_BYTES of text, or one row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import saved, ship
 
 ROLES = ("system", "user", "assistant")
-PIECE = 4096  # turns
-MARKER_PRIOR = 200.0  # pseudo-turns in which a role's own marker was seen with it
+N = len(ROLES)
+STATES = 2 * N  # beginnings of a role's turn, then continuations
+PIECE = 4096  # lines
+PIECE_BYTES = 4 << 20
+MARKER_PRIOR = 200.0  # pseudo-lines in which a role's own marker was seen at a beginning, and none in a continuation
+NEVER = -1e9  # a continuation as the first line of a row
 # Speaker names and tags of transcripts.
 NAMES = {
     "system": ("system", "instruction", "instructions", "context", "sys"),
     "user": ("user", "human", "customer", "question", "prompter", "q", "me", "you"),
     "assistant": ("assistant", "ai", "bot", "agent", "answer", "response", "model", "gpt", "a"),
 }
-_MARKER = r"^\s*(?:<\|im_start\|>|<\|start_header_id\|>|<\||\[|#{1,4}\s*|\*\*|>\s*)?\s*(" + "|".join(sorted((n for x in NAMES.values() for n in x), key=len, reverse=True)) + r")\s*(?:<\|end_header_id\|>|\|>|\]|\*\*)?\s*(?::\**|(?<=[>\])])|(?=\n))\s*"
-_KIND = "(?i)" + _MARKER
+_ROLE_OF = {name: i for i, role in enumerate(ROLES) for name in NAMES[role]}
+_OPEN = r"(?:<\|im_start\|>|<\|start_header_id\|>|<\||\[|#{1,4}\s*|\*\*|>\s*)"
+_CLOSE = r"\s*(?:<\|end_header_id\|>|\|>|\]|\*\*)?\s*"
+_ANY = "|".join(sorted(_ROLE_OF, key=len, reverse=True))
+_FIRST = re.compile(rf"\s*{_OPEN}?\s*({_ANY}){_CLOSE}(?::\**|(?<=[>\])])|(?=\n))\s*", re.I)
+# inside a text a name alone is prose: it needs a colon or a tag, and names of one letter are capitals
+_INNER = re.compile(rf"\s*(?:{_OPEN}\s*((?i:{_ANY})){_CLOSE}(?::\**|(?<=[>\])])|(?=\n))|((?i:{'|'.join(sorted((x for x in _ROLE_OF if len(x) > 1), key=len, reverse=True))})|Q|A)\s*:)\s*")
+_END = re.compile(r"\s*(?:<\|(?:im_end|eot_id|end|endoftext)\|>|</s>)\s*\Z")
+
+
+def _lines(text: str) -> list[str]:
+    return text.split("\n")
 
 
-def _marker(text: Column) -> Column:
-    """Number of the role that a marker names, from 1; 0: no marker."""
-    name = F.lower(F.regexp_extract(text, _KIND, 1))
-    out = F.lit(0)
-    for i, role in enumerate(ROLES):
-        out = F.when(name.isin(*NAMES[role]), F.lit(i + 1)).otherwise(out)
+def _marker(line: str, first: bool, last: bool) -> re.Match | None:
+    return (_FIRST if first else _INNER).match(line if last else line + "\n")
+
+
+def observe(text: str) -> list[tuple[int, int]]:
+    """(mark, shape) of each line: 4 for a row's later lines plus the number of the marker's role from 1; bits of the length and whether it asks."""
+    lines, out = _lines(text), []
+    for i, line in enumerate(lines):
+        m = _marker(line, i == 0, i == len(lines) - 1)
+        role = _ROLE_OF[next(g for g in m.groups() if g).lower()] + 1 if m else 0
+        out.append((4 * (i > 0) + role, min(len(line).bit_length(), 15) * 2 + line.rstrip().endswith("?")))
     return out
 
 
-def observed(turns: DataFrame) -> DataFrame:
-    """``turns`` (conv_id, turn, role, text, any others) with marker, shape (line features as one small number) and body."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.least(F.size(F.split(F.trim(text), "\n")), F.lit(4))
-    size = F.least(F.length(F.bin(F.char_length(text))), F.lit(15))
-    asks = text.rlike(r"\?\s*$").cast("int")
-    marker = _marker(text)
-    body = F.when(marker > 0, F.regexp_replace(text, _KIND, "")).otherwise(text)
-    return turns.withColumns({"_marker": marker, "_shape": ((lines * 16 + size) * 2 + asks).cast("int"), "_body": body})
+def _sorted(turns: DataFrame) -> DataFrame:
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("text")]
+    return turns.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def learn(turns: DataFrame) -> dict[str, np.ndarray]:
-    """Log-probabilities from labelled turns (conv_id, turn, role, text); turns of other or null roles teach nothing.
+    """Log-probabilities from labelled rows (conv_id, turn, role, text); rows of other or null roles teach nothing.
 
-    The model is three vectors and a table of 3 x 160 numbers, whatever the input.
+    Every task counts its range of the sorted rows; a range's first and last role join it to its neighbours. The model is a few
+    tables of at most 6 x 32 numbers, whatever the input.
     """
+    ship(turns.sparkSession)
     role = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.lower(F.trim(F.col("role")))).cast("int"), F.lit(0)) - 1
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "text")
-    seen = observed(turns).where("conv_id is not null").withColumn("_role", role).withColumn("_before", F.lag("_role", 1, -2).over(order))
-    known = seen.where("_role >= 0")
-    n = len(ROLES)
-    first, step, marker, shape = np.ones(n), np.ones((n, n)), np.ones((n, n + 1)), np.ones((n, 160))
-    marker[np.arange(n), np.arange(n) + 1] += MARKER_PRIOR
-    marker[:, 0] += MARKER_PRIOR
-    for r in known.groupBy("_role", "_before").count().collect():
-        if r["_before"] == -2:
-            first[r["_role"]] += r["count"]
-        elif r["_before"] >= 0:
-            step[r["_before"], r["_role"]] += r["count"]
-    for r in known.groupBy("_role", "_marker").count().collect():
-        marker[r["_role"], r["_marker"]] += r["count"]
-    for r in known.groupBy("_role", "_shape").count().collect():
-        shape[r["_role"], r["_shape"]] += r["count"]
-    log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return {"first": log(first), "step": log(step), "marker": log(marker), "shape": log(shape)}
-
-
-def fold(model: dict[str, np.ndarray], emission: np.ndarray, starts: bool) -> np.ndarray:
-    """Max-plus matrix of a piece: best log-probability of its turns by entering role (all alike at a start) and leaving role."""
-    best = None
-    for t, e in enumerate(emission):
-        if t == 0:
-            best = (np.tile(model["first"], (len(e), 1)) if starts else model["step"]) + e
-        else:
-            best = (best[:, :, None] + model["step"][None]).max(axis=1) + e
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), role.alias("role"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, step, goes_on = np.zeros(N), np.zeros((N, N)), np.zeros((N, 2))
+        mark, shape = np.zeros((STATES, 8)), np.zeros((STATES, 32))
+        opens, before, role = None, None, -1
+        for batch in batches:
+            for conv, text, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if opens is None:
+                    opens = (conv, r)
+                elif r >= 0:
+                    if conv != before:
+                        first[r] += 1
+                    elif role >= 0:
+                        step[role, r] += 1
+                before, role = conv, r
+                if r < 0:
+                    continue
+                for i, (m, s) in enumerate(observe(text.as_py())):
+                    state = r + N * (i > 0)
+                    mark[state, m] += 1
+                    shape[state, s] += 1
+                    goes_on[r, int(i > 0)] += 1
+        if opens is not None:
+            counts = np.concatenate([x.ravel() for x in (first, step, goes_on, mark, shape)]).tolist()
+            values = (TaskContext.get().partitionId(), opens[0], opens[1], before, role, counts)
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["part", "conv", "opens", "last", "ends", "counts"])
+
+    plain = _sorted(rows).select(F.col("conv_id").cast("string").alias("conv"), "text", "role")
+    got = sorted(plain.mapInArrow(counted, "part int, conv string, opens int, last string, ends int, counts array<double>").collect(), key=lambda r: r["part"])
+    total = np.sum([r["counts"] for r in got], axis=0) if got else np.zeros(N + N * N + 2 * N + STATES * 40)
+    first, step, goes_on, mark, shape = (x.reshape(s) for x, s in zip(np.split(total, np.cumsum([N, N * N, 2 * N, STATES * 8])), ((N,), (N, N), (N, 2), (STATES, 8), (STATES, 32)), strict=True))
+    for a, r in zip([None, *got], got, strict=False):
+        if r["opens"] >= 0:
+            if a is None or a["last"] != r["conv"]:
+                first[r["opens"]] += 1
+            elif a["ends"] >= 0:
+                step[a["ends"], r["opens"]] += 1
+    roles = np.arange(N)
+    for m in (0, roles + 1, roles + 5):
+        mark[roles, m] += MARKER_PRIOR
+    mark[N:, 4] += MARKER_PRIOR
+    log = lambda x: np.log((x + 1) / (x + 1).sum(axis=-1, keepdims=True))
+    on = log(goes_on)  # a turn's next line is a beginning or a continuation
+    through = np.full((STATES, STATES), NEVER)
+    for s in range(STATES):
+        through[s, :N] = on[s % N, 0] + log(step)[s % N]
+        through[s, N + s % N] = on[s % N, 1]
+    mark = log(mark)
+    mark[N:, :4] = NEVER
+    return {"first": np.concatenate([log(first), np.full(N, NEVER)]), "step": through, "mark": mark, "shape": log(shape)}
+
+
+def emissions(model: dict[str, np.ndarray], lines: np.ndarray) -> np.ndarray:
+    """Log-probability of every line (mark, shape) in every state."""
+    return (model["mark"][:, lines[:, 0]] + model["shape"][:, lines[:, 1]]).T
+
+
+def fold(model: dict[str, np.ndarray], emission: np.ndarray) -> np.ndarray:
+    """Max-plus matrix of a piece: best log-probability of its lines by entering state (last row: at a conversation's start) and leaving state."""
+    best = np.vstack([model["step"], model["first"]]) + emission[0]
+    for e in emission[1:]:
+        best = (best[:, :, None] + model["step"][None]).max(axis=1) + e
     return best
 
 
 def decode(model: dict[str, np.ndarray], emission: np.ndarray, enters: int | None, leaves: int | None) -> list[int]:
-    """Likeliest roles of a piece between its borders (None: free); ties go to the first role."""
+    """Likeliest states of a piece between its borders (None: free); ties go to the first state."""
     back, best = [], (model["first"] if enters is None else model["step"][enters]) + emission[0]
     for e in emission[1:]:
         through = best[:, None] + model["step"]
@@ -109,85 +162,100 @@ def decode(model: dict[str, np.ndarray], emission: np.ndarray, enters: int | Non
     return path[::-1]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal keys (the first columns) in a sorted partition."""
-    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-    for key, run in groupby(rows, key=lambda r: r[:n_keys]):
-        yield key, list(run)
+def split_turns(text: str, states: list[int]) -> list[tuple[str, str]]:
+    """(role, text without marker and outer blanks) of each turn in a row's text, by the states of its lines."""
+    lines, out = _lines(text), []
+    for i, (line, state) in enumerate(zip(lines, states, strict=True)):
+        if state < N:
+            m = _marker(line, i == 0, i == len(lines) - 1)
+            out.append((ROLES[state], [line[m.end() :] if m else line]))
+        else:
+            out[-1][1].append(line)
+    return [(role, _END.sub("", "\n".join(body)).strip()) for role, body in out]
 
 
 def recover_roles(turns: DataFrame, model: dict[str, np.ndarray], piece: int = PIECE) -> DataFrame:
-    """Role and canonical form of every row of ``turns`` (conv_id, turn, text; a column role is not read).
+    """Roles and canonical form of every row of ``turns`` (conv_id, turn, text; a column role is not read).
 
-    Returns conv_id, turn, role_pred (system, user or assistant), rendered (`<|role|>`, line end, the text without its marker and
-    outer blanks, line end, `<|end|>`). Turns are ordered by turn (null first), then text; repeated rows are turns of their
-    own. A null text is empty. Each row with a null conv_id is a conversation by itself. An empty table gives no rows.
+    Returns conv_id, turn, role_pred (system, user or assistant: of the row's first turn), rendered (for each turn of the row `<|role|>`, line
+    end, the text without its marker, end tag and outer blanks, line end, `<|end|>`; turns joined by line ends), turns (array of role and text).
+    Rows are ordered by turn (null first), then text; repeated rows are rows of their
+    own. A null text is empty, and an empty text is one empty line. Each row with a null conv_id is a conversation by itself. A row's lines stay in one piece,
+    so a task's memory grows with its longest text. An empty table gives no rows.
     """
     spark = turns.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    text = F.col("text").cast("string")
-    rows = observed(turns.select("conv_id", "turn", text.alias("text")))
-    # a null conversation would gather unrelated turns
-    conv = F.coalesce(F.xxhash64("conv_id", F.lit(1)), F.lit(0))
-    alone = F.col("conv_id").isNull()
-    order = Window.partitionBy("conv_id", F.when(alone, F.xxhash64("turn", "text"))).orderBy(F.col("turn").asc_nulls_first(), "text")
-    rows = rows.withColumn("_n", F.when(alone, F.lit(0)).otherwise(F.row_number().over(order) - 1).cast("long"))
-    rows = saved(rows.select("conv_id", "turn", "_marker", "_shape", "_body", alone.alias("_alone"), conv.alias("_conv"), F.floor(F.col("_n") / piece).cast("long").alias("_piece"), "_n"), "chat-turns")
-
-    def emissions(m: dict, run: list[tuple]) -> np.ndarray:
-        marker, shape = np.array([r[3] for r in run]), np.array([r[4] for r in run])
-        return m["marker"][:, marker].T + m["shape"][:, shape].T
+    rows = turns.select("conv_id", "turn", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    conv_type, turn_type = rows.schema["conv_id"].dataType, rows.schema["turn"].dataType
+    conv_kind, turn_kind = to_arrow_type(conv_type), to_arrow_type(turn_type)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        key, held, lines, size = None, [], [], 0
+
+        def done() -> pa.RecordBatch:
+            values = (key, part, seq, np.array(lines, np.uint8).tobytes(), [len(_lines(t)) for _, t in held], [k for k, _ in held], [t for _, t in held])
+            kinds = (conv_kind, pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(turn_kind), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["conv_id", "part", "seq", "lines", "sizes", "turn", "text"])
+
+        for batch in batches:
+            for conv, turn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py()
+                seen = observe(text)
+                if held and (conv is None or conv != key or len(lines) + len(seen) > piece or size + len(text) > PIECE_BYTES):
+                    yield done()
+                    seq, held, lines, size = seq + 1, [], [], 0
+                key = conv
+                held.append((turn, text))
+                lines += seen
+                size += len(text)
+        if held:
+            yield done()
+
+    kind = f"conv_id {conv_type.simpleString()}, part int, seq long, lines binary, sizes array<int>, turn array<{turn_type.simpleString()}>, text array<string>"
+    pieces = saved(_sorted(rows).mapInArrow(cut, kind), "chat-pieces")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, out = shared.value, []
-        for (c, p), run in _groups(batches, 2):
-            out.append((c, p, fold(m, emissions(m, run), p == 0).ravel().tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.float64())))], names=["_conv", "_piece", "best"])
+        for batch in batches:
+            best = [fold(shared.value, emissions(shared.value, np.frombuffer(x.as_py(), np.uint8).reshape(-1, 2))).ravel().tolist() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best, pa.list_(pa.float64()))], names=["conv_id", "part", "seq", "best"])
 
     def bordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n = [], len(ROLES)
-        for (c,), run in _groups(batches, 1):
-            best, back = np.array(run[0][2]).reshape(n, n)[0], []
-            for r in run[1:]:
-                through = best[:, None] + np.array(r[2]).reshape(n, n)
-                back.append(through.argmax(axis=0))
-                best = through.max(axis=0)
+        stream = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for conv, run in groupby(stream, key=lambda r: r[0]):
+            best, back, at = None, [], []
+            for _, part, seq, matrix in run:
+                matrix = np.array(matrix).reshape(STATES + 1, STATES)
+                if best is None:
+                    best = matrix[STATES]
+                else:
+                    through = best[:, None] + matrix[:STATES]
+                    back.append(through.argmax(axis=0).astype(np.int8))
+                    best = through.max(axis=0)
+                at.append((part, seq))
             ends = [int(best.argmax())]
             for b in reversed(back):
                 ends.append(int(b[ends[-1]]))
             ends.reverse()
-            out += [(c, r[1], ends[i - 1] if i else -1, ends[i]) for i, r in enumerate(run)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["_conv", "_piece", "enters", "leaves"])
+            values = ([conv] * len(at), [p for p, _ in at], [s for _, s in at], [None, *ends[:-1]], ends)
+            kinds = (conv_kind, pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["conv_id", "part", "seq", "enters", "leaves"])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for (_, p), run in _groups(batches, 2):
-            path = decode(m, emissions(m, run), None if p == 0 else run[0][5], run[0][6])
-            roles = [ROLES[r] for r in path]
-            body = [f"<|{role}|>\n{(r[9] or '').strip()}\n<|end|>" for role, r in zip(roles, run, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[7] for r in run], conv_kind), pa.array([r[8] for r in run], turn_kind), pa.array(roles, pa.string()), pa.array(body, pa.string())], names=["conv_id", "turn", "role_pred", "rendered"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    conv_type, turn_type = rows.schema["conv_id"].dataType, rows.schema["turn"].dataType
-    conv_kind, turn_kind = to_arrow_type(conv_type), to_arrow_type(turn_type)
-    many = rows.where("not _alone")
-    pieces = many.select("_conv", "_piece", "_n", "_marker", "_shape").repartition("_conv", "_piece").sortWithinPartitions("_conv", "_piece", "_n").mapInArrow(summed, "_conv long, _piece long, best array<double>")
-    borders = pieces.repartition("_conv").sortWithinPartitions("_conv", "_piece").mapInArrow(bordered, "_conv long, _piece long, enters long, leaves long")
-    joined = many.join(borders, ["_conv", "_piece"]).select("_conv", "_piece", "_n", "_marker", "_shape", "enters", "leaves", "conv_id", "turn", "_body")
-    schema = f"conv_id {conv_type.simpleString()}, turn {turn_type.simpleString()}, role_pred string, rendered string"
-    out = joined.repartition("_conv", "_piece").sortWithinPartitions("_conv", "_piece", "_n").mapInArrow(decoded, schema)
-    # a conversation of one turn needs no Viterbi: its likeliest role
-    lone = rows.where("_alone").select(F.xxhash64("turn", "_body").alias("_conv"), F.lit(0).cast("long").alias("_piece"), F.monotonically_increasing_id().alias("_n"), "_marker", "_shape", F.lit(-1).cast("long").alias("enters"), F.lit(-1).cast("long").alias("leaves"), "conv_id", "turn", "_body")
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        made = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
         for batch in batches:
-            run = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
-            if run:
-                roles = [ROLES[i] for i in (m["first"] + emissions(m, run)).argmax(axis=1)]
-                body = [f"<|{role}|>\n{(r[9] or '').strip()}\n<|end|>" for role, r in zip(roles, run, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[7] for r in run], conv_kind), pa.array([r[8] for r in run], turn_kind), pa.array(roles, pa.string()), pa.array(body, pa.string())], names=["conv_id", "turn", "role_pred", "rendered"])
+            for conv, lines, sizes, turn, text, enters, leaves in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                states = decode(shared.value, emissions(shared.value, np.frombuffer(lines, np.uint8).reshape(-1, 2)), enters, leaves)
+                starts = np.concatenate([[0], np.cumsum(sizes)])
+                parsed = [split_turns(t, states[a:b]) for t, a, b in zip(text, starts, starts[1:], strict=False)]
+                rendered = ["\n".join(f"<|{role}|>\n{body}\n<|end|>" for role, body in row) for row in parsed]
+                turns_of = [[{"role": role, "text": body} for role, body in row] for row in parsed]
+                cols = [pa.array([conv] * len(turn), conv_kind), pa.array(turn, turn_kind), pa.array([row[0][0] for row in parsed], pa.string()), pa.array(rendered, pa.string()), pa.array(turns_of, made)]
+                yield pa.RecordBatch.from_arrays(cols, names=["conv_id", "turn", "role_pred", "rendered", "turns"])
 
-    return out.unionByName(lone.mapInArrow(single, schema))
+    conv_text = f"conv_id {conv_type.simpleString()}"
+    sums = pieces.where("conv_id is not null").select("conv_id", "part", "seq", "lines").mapInArrow(summed, f"{conv_text}, part int, seq long, best array<double>")
+    borders = sums.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(bordered, f"{conv_text}, part int, seq long, enters int, leaves int")
+    joined = pieces.join(borders, ["conv_id", "part", "seq"], "left").select("conv_id", "lines", "sizes", "turn", "text", "enters", "leaves")
+    return joined.mapInArrow(decoded, f"{conv_text}, turn {turn_type.simpleString()}, role_pred string, rendered string, turns array<struct<role:string,text:string>>")

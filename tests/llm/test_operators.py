@@ -417,29 +417,82 @@ def test_language_edges(odd, none):
 
 
 def brute_viterbi(model, emission):
+    """Best path by trying all, and by how much it beats the next."""
+    import heapq
     import itertools
 
-    n = len(chat.ROLES)
     score = lambda p: model["first"][p[0]] + sum(model["step"][a, b] for a, b in zip(p, p[1:], strict=False)) + sum(e[r] for e, r in zip(emission, p, strict=True))
-    return max(itertools.product(range(n), repeat=len(emission)), key=score)
+    best = heapq.nlargest(2, itertools.product(range(chat.STATES), repeat=len(emission)), key=score)
+    return best[0], score(best[0]) - score(best[1])
 
 
 def test_viterbi_and_pieces():
     rng = np.random.default_rng(2)
     log = lambda x: np.log(x / x.sum(-1, keepdims=True))
-    model = {"first": log(rng.random(3)), "step": log(rng.random((3, 3)))}
-    for n in (1, 2, 7):
-        e = np.log(rng.random((n, 3)))
-        best = brute_viterbi(model, e)
+    n = chat.STATES
+    model = {"first": log(rng.random(n)), "step": log(rng.random((n, n)))}
+    for k in (1, 2, 6):
+        e = np.log(rng.random((k, n)))
+        best, _ = brute_viterbi(model, e)
         assert tuple(chat.decode(model, e, None, None)) == best
-        assert chat.fold(model, e, True)[0].argmax() == best[-1]
+        assert chat.fold(model, e)[n].argmax() == best[-1]
+
+
+TRANSCRIPT = "User: hi\nthere\nAssistant: hello\n\nwhat is it?\nUser: this: a list\n- one\nAssistant: fine<|im_end|>"
+
+
+def test_transcript_of_several_turns(spark):
+    known = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"line {c}\nand {t}") for c in range(40) for t in range(4)], "conv_id long, turn long, role string, text string")
+    model = chat.learn(known)
+    tagged = "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user\nwhy?<|im_end|>"
+    faq = "Q: is A: b a colon?\nA: yes\nme: no marker"
+    rows = [(1, 0, TRANSCRIPT), (1, 1, "one more\nquestion"), (2, 0, tagged), (3, 0, faq), (None, 0, TRANSCRIPT), (4, 0, "plain text\nof two lines")]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "conv_id long, turn long, text string, part int, lines string")
+    for piece in (1, 4096):
+        got = {(r.conv_id, r.turn): [(t.role, t.text) for t in r.turns] for r in chat.recover_roles(df, model, piece=piece).collect()}
+        want = [("user", "hi\nthere"), ("assistant", "hello\n\nwhat is it?"), ("user", "this: a list\n- one"), ("assistant", "fine")]
+        assert got[1, 0] == want == got[None, 0] and got[1, 1] == [("user", "one more\nquestion")]
+        assert got[2, 0] == [("system", "be kind"), ("user", "why?")] and got[4, 0] == [("user", "plain text\nof two lines")]
+        assert got[3, 0][0] == ("user", "is A: b a colon?") and got[3, 0][1][0] == "assistant"
+
+
+def test_chat_states_equal_brute_force(spark):
+    rng = random.Random(8)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    model = chat.learn(turns)
+    rows = [(c, t, "\n".join(rng.choice(["User: a?", "Assistant: b", "plain", "Why?", "", "System:"]) for _ in range(rng.randint(1, 3)))) for c in range(30) for t in range(2)]
+    rows = rows + rows[:6]  # repeated rows
+    got = Counter((r.conv_id, r.turn, tuple((t.role, t.text) for t in r.turns)) for r in chat.recover_roles(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3), model, piece=2).collect())
+    want = Counter()
+    for c in range(30):
+        own = sorted((t, x) for k, t, x in rows if k == c)
+        seen = [chat.observe(x) for _, x in own]
+        if sum(map(len, seen)) > 6:  # 6 states to the power of the lines
+            continue
+        (states, lead), at = brute_viterbi(model, chat.emissions(model, np.array([o for x in seen for o in x]))), 0
+        if lead < 1e-6:  # either path is right
+            continue
+        for (t, x), o in zip(own, seen, strict=True):
+            want[c, t, tuple(chat.split_turns(x, states[at : at + len(o)]))] += 1
+            at += len(o)
+    assert len(want) >= 20
+    assert {k: got[k] for k in want} == dict(want)
+
+
+def test_hot_conversation(spark):
+    turns = spark.range(100_000).select(F.lit(7).alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("text "), "id", F.when(F.col("id") % 2 == 0, "?").otherwise(".")).alias("text"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"))
+    turns = turns.repartition(8)
+    model = chat.learn(turns.where("turn < 1000"))
+    got = chat.recover_roles(turns.drop("role"), model).join(turns.drop("text"), ["conv_id", "turn"])
+    assert got.where("role = role_pred").count() == 100_000
+    assert np.allclose(model["step"], chat.learn(turns.where("turn < 1000").coalesce(1))["step"])
 
 
 def test_chat_pieces_equal_whole(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     model = chat.learn(turns.where("conv_id % 2 = 0"))
-    whole = sorted(map(tuple, chat.recover_roles(turns, model).collect()))
-    assert whole == sorted(map(tuple, chat.recover_roles(turns, model, piece=2).collect()))
+    whole = sorted(map(tuple, chat.recover_roles(turns, model).drop("turns").collect()))
+    assert whole == sorted(map(tuple, chat.recover_roles(turns, model, piece=2).drop("turns").collect()))
     truth = {(r.conv_id, r.turn): r.role for r in turns.collect()}
     held = [(c, t, r) for c, t, r, _ in whole if c % 2]
     assert sum(truth[c, t] == r for c, t, r in held) / len(held) > 0.95
