@@ -12,12 +12,15 @@ are the repeated strings. The sort goes from coarse to fine digits:
    it) also stand earlier needs no more: all of it is removed. What is left are
    first occurrences of different surroundings of one gram.
 2. These are dealt out by gram and the 40 bytes after it (strings that reach
-   there) or before it, and by the anchor's offset.
+   there) or before it, and by the anchor's offset. A gram that has very many
+   surroundings is known as hot to all its occurrences after step 1; each of its
+   strings is dealt out by a hash of all its bytes instead, equal ones
+   folded on the map side to the first, so that no task gathers them.
 3. Inside a task, passes over 8-byte digits of the actual bytes, most
    significant first, drop what is alone after each pass. Groups that are left
    after ``length`` bytes are exactly the repeated strings.
 
-Steps 1 and 2 group by 64-bit hashes of the bytes; step 3 compares the bytes.
+Steps 1 and 2 group by 64-bit hashes of the bytes; step 3 compares the bytes (strings of hot grams: their hashes).
 Blocks of many anchors travel as one row, after the map side has folded equal
 surroundings, so a passage that stands in a third of all documents adds one
 entry for each block of text. A gram with many different surroundings in one
@@ -42,6 +45,7 @@ GRAM = 20
 FLUSH = 24 << 20  # bytes of text that the map side folds together
 BUCKET = 24 << 20  # bytes of text for each bucket of a shuffle
 HOT = 256  # surroundings of one gram in a flush from which it is dealt out by them, too
+HOT_ALL = 1024  # surroundings of one gram in its bucket from which its strings are dealt out one by one
 _POS = np.uint64((1 << 30) - 1)
 _BIG = np.uint64(2**64 - 1)
 
@@ -229,7 +233,10 @@ def _by_document(doc: np.ndarray, values: np.ndarray, kind: int, ids: np.ndarray
 
 
 def _first_pass(n_buckets: int):
-    """kind 0: removed spans (start, end); kind 1: anchors to sort further (pos, o1, o2)."""
+    """kind 0: removed spans (start, end); kind 1: anchors to sort further (pos, o1, o2; 2 ** 16 is added to o1 of a hot gram).
+
+    All occurrences of a gram agree on whether it is hot: if a flush has dealt it out by its surroundings, its own bucket knows by the marks.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         x, ids, hashes = _unpack(table)
@@ -253,6 +260,9 @@ def _first_pass(n_buckets: int):
         gram = x["gram"][kept]
         alike = gram[1:] == gram[:-1]
         more = many[kept] | np.append(False, alike) | np.append(alike, False)
+        part = np.cumsum(np.append(True, ~alike)[: len(kept)]) - 1
+        hot = ((np.bincount(part, many[kept]) > 0) | (np.bincount(part) > HOT_ALL))[part] if len(kept) else part
+        x["o1"][kept] += hot.astype(np.int64) << 16
         kept = kept[more]
         kept = kept[np.lexsort((x["pos"][kept], x["doc"][kept]))]
         rows += _by_document(x["doc"][kept], np.stack([x["pos"][kept], x["o1"][kept], x["o2"][kept]], axis=1), 1, ids, hashes)
@@ -265,20 +275,52 @@ _ENTRIES = "bucket long, entry_key binary, bytes binary, doc binary, pos binary,
 
 
 def _deal_entries(n_buckets: int, length: int):
-    """Second digit: entries of the strings that reach 40 bytes past the gram, or 40 bytes before it."""
+    """Second digit: entries of the strings that reach 40 bytes past the gram, or 40 bytes before it.
+
+    Buckets from n_buckets on: strings of hot grams (key: hash of the string, pos: its start); from 2 * n_buckets on: spans removed
+    already (key: end, pos: start).
+    """
     left = length - GRAM
     half = left // 2
     size = length + half  # bytes of an entry
 
+    def deal_hot(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> list[tuple]:
+        rank = _rank(ids, hashes)[doc]
+        order = np.lexsort((pos, rank, key))
+        first, later = _is_first(order, [key], rank, pos)
+        d, start, end = merged(doc[later], pos[later], pos[later] + length)
+        spread = 2 * n_buckets + int(hashes[0]) % n_buckets
+        key, doc, pos = np.concatenate([key[first], end.astype(np.uint64)]), np.concatenate([doc[first], d]), np.concatenate([pos[first], start])
+        to = np.concatenate([n_buckets + (key[: first.sum()] % np.uint64(n_buckets)).astype(np.int64), np.full(len(d), spread, np.int64)])
+        by = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1])) if len(by) else by
+        rows = []
+        for s, e in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
+            pick = by[s:e]
+            docs, place = np.unique(doc[pick], return_inverse=True)
+            rows.append((int(to[pick[0]]), key[pick].tobytes(), b"", place.astype(np.uint32).tobytes(), pos[pick].astype(np.uint32).tobytes(), b"", ids[docs].tobytes(), hashes[docs].tobytes()))
+        return rows
+
     def flush(parts: list[tuple]) -> pa.RecordBatch:
         ids, hashes = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
         key, body, doc, pos, extent = [], [], [], [], []
+        hot_key, hot_doc, hot_pos = [], [], []
         for d, (_, _, text, a, o1, o2) in enumerate(parts):
             padded = np.zeros(len(text) + left + length, np.uint8)
             padded[left : left + len(text)] = text
             prefix = prefix_hash(padded)
             c = a + left  # the anchor's place in the padded text
             lo, hi = np.minimum(a, left), np.minimum(len(text) - a, length)
+            hot, o1 = o1 >> 16 > 0, o1 & 0xFFFF
+            if hot.any():
+                first, last = np.maximum(o1[hot], length - hi[hot]), np.minimum(o2[hot], lo[hot])
+                n = np.maximum(last - first + 1, 0)
+                offset = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(a[hot], n) - offset
+                hot_key.append(mix(range_hash(prefix, start + left, start + left + length) + offset.astype(np.uint64)))
+                hot_doc.append(np.full(len(start), d, np.int64))
+                hot_pos.append(start)
+                a, o1, o2, c, lo, hi = (y[~hot] for y in (a, o1, o2, c, lo, hi))
             for side in (0, 1):
                 # side 0: offsets up to half, the string holds [a, a + GRAM + half); side 1: larger ones, it holds [a - half, a + GRAM)
                 u1, u2 = (o1, np.minimum(o2, half)) if side == 0 else (np.maximum(o1, half + 1), o2)
@@ -293,11 +335,13 @@ def _deal_entries(n_buckets: int, length: int):
                 doc.append(np.full(len(p), d, np.uint32))
                 pos.append(a[use].astype(np.uint32))
                 extent.append(np.stack([lo[use], hi[use], u1[use], u2[use]]).astype(np.uint8))
+        rows = deal_hot(np.concatenate(hot_key), np.concatenate(hot_doc), np.concatenate(hot_pos), ids, hashes) if hot_key else []
+        if not key:
+            return _rows(rows, _ENTRIES)
         key, body, doc, pos, extent = np.concatenate(key), np.concatenate(body), np.concatenate(doc), np.concatenate(pos), np.concatenate(extent, axis=1)
         to = (key % np.uint64(n_buckets)).astype(np.int64)
         by = np.lexsort((key, to))
         cuts = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1]))
-        rows = []
         for s, e in zip(cuts, np.append(cuts[1:], len(by)), strict=True):
             pick = by[s:e]
             docs, d = np.unique(doc[pick], return_inverse=True)
@@ -312,7 +356,8 @@ def _deal_entries(n_buckets: int, length: int):
             for i in range(batch.num_rows):
                 x = np.concatenate([np.frombuffer(b, np.uint32).reshape(-1, 3) for b in found[i]]).astype(np.int64)
                 parts.append((ids[i], hashes[i], data[offsets[i] : offsets[i + 1]].copy(), x[:, 0], x[:, 1], x[:, 2]))
-                size += len(x)
+                hot = x[:, 1] >> 16 > 0
+                size += len(x) + int((x[hot, 2] - (x[hot, 1] & 0xFFFF)).sum()) // 8
                 if size >= 100_000:
                     yield flush(parts)
                     parts, size = [], 0
@@ -342,7 +387,7 @@ def repeated_strings(words: np.ndarray, at: np.ndarray, group: np.ndarray, lengt
     return index, group
 
 
-def _last_passes(length: int):
+def _last_passes(n_buckets: int, length: int):
     left = length - GRAM
     half = left // 2
     size = length + half
@@ -357,6 +402,15 @@ def _last_passes(length: int):
         home = np.zeros(int(rank.max()) + 1, np.int64)
         home[rank] = doc  # one of a document's places
         key, body, pos = np.concatenate(read("entry_key", np.uint64)), np.concatenate(read("bytes", np.uint8)), np.concatenate(read("pos", np.uint32)).astype(np.int64)
+        bucket = table["bucket"][0].as_py()
+        if bucket >= n_buckets:
+            if bucket < 2 * n_buckets:  # a later string of equal bytes
+                _, later = _is_first(np.lexsort((pos, rank, key)), [key], rank, pos)
+                rank, start, end = rank[later], pos[later], pos[later] + length
+            else:
+                start, end = pos, key.astype(np.int64)
+            d, start, end = merged(rank, start, end)
+            return pa.Table.from_batches([_rows(_by_document(home[d], np.stack([start, end], axis=1), 0, ids, hashes), _SPANS)])
         lo, hi, o1, o2 = np.concatenate([e.reshape(4, -1) for e in read("extent", np.uint8)], axis=1).astype(np.int64)
         order = np.argsort(key, kind="stable")
         group = np.empty(len(key), np.int64)
@@ -387,6 +441,8 @@ def _last_passes(length: int):
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans to remove: _id, _h, blobs (arrays of packed uint32 pairs start, end in bytes; they may overlap), for each
     document key that has any. ``docs`` has _id, _h, text."""
+    if not 2 * GRAM <= length < GRAM + 128:  # offsets in a string must fit seven bits beside a flag
+        raise ValueError(f"length must be from {2 * GRAM} to {GRAM + 127} bytes, not {length}")
     spark = docs.sparkSession
     ship(spark)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -397,7 +453,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = saved(blocks.groupBy("bucket").applyInArrow(_first_pass(n_buckets), _SPANS), "suffix-first")
     open_ = first.where("kind = 1").groupBy("_id", "_h").agg(F.collect_list("spans").alias("spans"))
     entries = docs.select("_id", "_h", "text").join(open_, ["_id", "_h"]).select("_id", "_h", "text", "spans").mapInArrow(_deal_entries(n_buckets, length), _ENTRIES)
-    last = saved(entries.groupBy("bucket").applyInArrow(_last_passes(length), _SPANS), "suffix-last")
+    last = saved(entries.groupBy("bucket").applyInArrow(_last_passes(n_buckets, length), _SPANS), "suffix-last")
     spans = first.where("kind = 0").unionByName(last)
     return spans.groupBy("_id", "_h").agg(F.collect_list("spans").alias("blobs"))
 
@@ -419,7 +475,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
 
     A null text counts as empty. Texts under ``length`` bytes keep everything. Documents are ordered by id, a null id first, and at
     equal ids by a hash of the text; rows equal in both are one document, so a repeated row is no earlier copy of
-    itself. An empty table gives no rows. Other columns are not read.
+    itself. An empty table gives no rows. Other columns are not read. ``length`` may be 40 to 147 bytes.
     """
     carried = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")
     keyed = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), carried)

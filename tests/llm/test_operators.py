@@ -295,28 +295,55 @@ def test_suffix_dedup(spark, real):
     assert sorted(map(tuple, got.select(DIGEST).collect())) == brute_removed(docs, 100)
 
 
-def test_suffix_hot_gram(monkeypatch):
-    """A gram dealt out by its surroundings: blocks of several documents, driven without Spark."""
+def sort_steps(docs, n_buckets):
+    """The steps of the sort without Spark: removed bytes of each document, and the numbers of entries in the buckets of the last step."""
     import pyarrow as pa
 
-    monkeypatch.setattr(suffix, "HOT", 1)
-    monkeypatch.setattr(suffix, "FLUSH", 3000)
-    docs = passages(80)
     batch = pa.RecordBatch.from_pydict({"_id": [k for k, _ in docs], "_h": [0] * len(docs), "text": [t for _, t in docs]})
-    dealt = pa.Table.from_batches(list(suffix._deal_anchors(4, 100)(iter([batch]))))
+    dealt = pa.Table.from_batches(list(suffix._deal_anchors(n_buckets, 100)(iter([batch]))))
     spans, texts = defaultdict(list), dict(docs)
     opened = defaultdict(list)
     for b in set(dealt["bucket"].to_pylist()):
-        for r in suffix._first_pass(4)(dealt.filter(pa.compute.equal(dealt["bucket"], b))).to_pylist():
+        for r in suffix._first_pass(n_buckets)(dealt.filter(pa.compute.equal(dealt["bucket"], b))).to_pylist():
             (opened if r["kind"] else spans)[r["_id"]].append(r["spans"])
     keys = sorted(opened)
     batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([0] * len(keys), pa.int64()), pa.array([texts[k] for k in keys]), pa.array([opened[k] for k in keys], pa.list_(pa.binary()))], names=["_id", "_h", "text", "spans"])
-    entries = pa.Table.from_batches(list(suffix._deal_entries(3, 100)(iter([batch]))))
+    entries = pa.Table.from_batches(list(suffix._deal_entries(n_buckets, 100)(iter([batch]))))
+    held = Counter()
     for b in set(entries["bucket"].to_pylist()):
-        for r in suffix._last_passes(100)(entries.filter(pa.compute.equal(entries["bucket"], b))).to_pylist():
+        own = entries.filter(pa.compute.equal(entries["bucket"], b))
+        held[b] = sum(len(k) // 8 for k in own["entry_key"].to_pylist())
+        for r in suffix._last_passes(n_buckets, 100)(own).to_pylist():
             spans[r["_id"]].append(r["spans"])
-    got = {k: sum(b - a for a, b in suffix._runs(v)) for k, v in spans.items()}
-    assert {k: n for k, n in got.items() if n} == {k: n for k, _, n, _, _ in brute_removed(docs, 100) if n}
+    return {k: n for k, v in spans.items() if (n := sum(b - a for a, b in suffix._runs(v)))}, held
+
+
+@pytest.mark.parametrize(("hot", "hot_all", "flush"), [(1, 1024, 3000), (256, 2, 3000), (1, 2, 1 << 20), (256, 1024, 3000)])
+def test_suffix_hot_gram(monkeypatch, hot, hot_all, flush):
+    """Grams dealt out by their surroundings, and their strings one by one: blocks of several documents."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "HOT_ALL", hot_all)
+    monkeypatch.setattr(suffix, "FLUSH", flush)
+    docs = passages(80)
+    assert sort_steps(docs, 4)[0] == {k: n for k, _, n, _, _ in brute_removed(docs, 100) if n}
+
+
+def test_suffix_passage_in_a_third_of_all_documents(monkeypatch):
+    monkeypatch.setattr(suffix, "FLUSH", 300_000)
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = own(300)
+    docs = [(i, own(150) + (passage + own(150) if i % 3 == 0 else "")) for i in range(6000)]
+    got, held = sort_steps(docs, 32)
+    want = {k: n for k, _, n, _, _ in brute_removed(docs, 100) if n}
+    assert got == want and len(want) == 1999
+    assert max(held.values()) < 0.05 * sum(held.values())
+
+
+def test_suffix_length_is_checked(none):
+    for length in (39, 148):
+        with pytest.raises(ValueError, match="length"):
+            suffix.remove_repeats(none, length=length)
 
 
 def test_suffix_edges(odd, none):
