@@ -84,8 +84,58 @@ def test_quality_verdict(odd):
     assert len(rows) == len(odd_documents())
     for r in rows:
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert r.kept == (not r.base_failed)  # too few vectors for an estimate: nothing else is rejected
-        assert r.distance is None
+        assert (r.distance is None) == r.base_failed and r.kept == (not r.base_failed and r.distance <= quality.CUTOFF)
+
+
+def plain_estimate(x, h):
+    """The least determinant that concentration to convergence finds from the whole set and from forty sets of five rows, in numpy."""
+    floor = np.diag([f * f for f in quality.FLOORS.values()])
+    moments = lambda rows: (x[rows].mean(0), np.cov(x[rows].T, bias=True) + floor)
+    found = []
+    for first in [np.arange(len(x)), *[np.random.default_rng(i).choice(len(x), 5, replace=False) for i in range(40)]]:
+        (m, s), last = moments(first), np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+            m, s = moments(np.argsort(d, kind="stable")[:h])
+            if np.linalg.slogdet(s)[1] > last - 1e-6:
+                break
+            last = np.linalg.slogdet(s)[1]
+        found.append((last, m, s))
+    return min(found, key=lambda f: f[0])
+
+
+def test_mcd_agrees_on_real_groups(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.col("source").alias("grp")).where("grp is not null")
+    n = F.col("n_words").cast("double")
+    vectors = quality.saved(quality.text_statistics(docs), "test-statistics").where(~quality.base_failed()).select(
+        F.col("doc_id").alias("_id"), F.xxhash64("doc_id").alias("_h"), "grp",
+        (F.log(F.col("word_chars") / n + 1) - 1.7).alias("v_length"),
+        F.log1p(100.0 * F.col("n_symbols") / F.greatest("word_chars", F.lit(1))).alias("v_symbols"),
+        F.log1p(100.0 * F.col("n_dup_lines") / n).alias("v_lines"), (F.col("n_repeat_words") / n).alias("v_repeats"),
+    ).toPandas()
+    three = list(vectors.grp.value_counts().index[:3])
+    est = {r.grp: r for r in quality.mcd_estimates(spark.createDataFrame(vectors[vectors.grp.isin(three)])).collect()}
+    assert sorted(est) == sorted(three)
+    for g in three:
+        x = vectors[vectors.grp == g][list(quality.FLOORS)].to_numpy()
+        det, m, _ = plain_estimate(x, int(np.ceil(quality.H_SHARE * len(x))))
+        assert est[g].log_det < det + 0.1, g
+        assert np.allclose([est[g][f"m{i}"] for i in range(4)], m, atol=0.1), g
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """An estimate moves steadily from its language's to its own as a group grows; one odd text among few of its source is rejected."""
+    moments = lambda n, m, v: (n, m, 0.0, 0.0, 0.0, *[v if i == j else 0.0 for i, j in quality._PAIRS])
+    levels = [("a", *moments(10, 1.0, 0.2)), ("b", *moments(100000, 1.0, 0.2)), ("p", *moments(100010, 0.0, 0.4)), ("{}", *moments(100010, 0.0, 0.4))]
+    est = spark.createDataFrame(levels, "grp string, n long, " + ", ".join(f"{c} double" for c in quality._MOMENTS))
+    got = {r.own: r for r in quality.shrunk_estimates(spark.createDataFrame([("a", "p"), ("b", "p")], "own string, pool string"), est).collect()}
+    assert abs(got["a"].m0 - 10 / 60) < 1e-3 and abs(got["b"].m0 - 1) < 1e-3
+    assert abs(got["a"].l00 ** 2 - (10 * 0.2 + 50 * 0.4) / 60) < 1e-2 and abs(got["b"].l00 ** 2 - 0.2) < 1e-2
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(80))
+    rows = [(i, text(), "en", "big" if i < 400 else "small") for i in range(405)] + [(500, " ".join(["#$%&|<>*#$"[: 3 + i % 7] + str(i) for i in range(80)]), "en", "small")]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i, kept in got.items() if not kept] == [500]
 
 
 def test_mcd_finds_planted_outliers(spark):
