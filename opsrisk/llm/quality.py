@@ -97,8 +97,8 @@ def _shrunk(value: Column, n: Column, above: Column) -> Column:
 
 
 def _beside(groups: DataFrame, levels: DataFrame) -> DataFrame:
-    """``groups`` (own, pool) with the columns of ``levels`` (grp, ...) for each of the three levels, as own_x, pool_x and all_x."""
-    out = groups.withColumn("all", F.lit(_ALL))
+    """``groups`` (own, pool, all) with the columns of ``levels`` (grp, ...) for each of the three levels, as own_x, pool_x and all_x."""
+    out = groups
     for key in ("own", "pool", "all"):
         out = out.join(levels.select(F.col("grp").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in levels.columns if c != "grp"]), key)
     return out
@@ -192,7 +192,7 @@ def mcd_estimates(vectors: DataFrame, steps: int = 2) -> DataFrame:
 
 
 def shrunk_estimates(groups: DataFrame, est: DataFrame) -> DataFrame:
-    """One row for each own of ``groups`` (own, pool): its estimate, shrunk towards its language's, shrunk towards that of all.
+    """One row for each own of ``groups`` (own, pool, all): its estimate, shrunk towards its language's, shrunk towards that of all.
 
     ``est`` has n, means and covariance of each grp. An estimate of n rows counts n, the one above it SHRINK; that of all is shrunk towards PRIOR
     deviations. So every group has an estimate, and it moves steadily with the group's size.
@@ -234,7 +234,7 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     )
     stats = saved(stats, "quality-stats")
     good = stats.where("not base_failed")
-    groups = saved(good.select("own", "pool").distinct(), "quality-groups")
+    groups = saved(good.select("own", "pool").distinct().withColumn("all", F.lit(_ALL)), "quality-groups")
     middle = good.select(_levels(), "mean_length").groupBy("grp").agg(F.percentile_approx("mean_length", 0.5, 1000).alias("centre"), F.count(F.lit(1)).alias("n"))
     centre = _shrunk(F.col("own_centre"), F.col("own_n"), _shrunk(F.col("pool_centre"), F.col("pool_n"), F.col("all_centre")))
     centres = saved(_beside(groups, saved(middle, "quality-middles")).select("own", centre.alias("centre")), "quality-centres")

@@ -128,7 +128,7 @@ def test_small_groups_lean_on_their_language(spark):
     moments = lambda n, m, v: (n, m, 0.0, 0.0, 0.0, *[v if i == j else 0.0 for i, j in quality._PAIRS])
     levels = [("a", *moments(10, 1.0, 0.2)), ("b", *moments(100000, 1.0, 0.2)), ("p", *moments(100010, 0.0, 0.4)), ("{}", *moments(100010, 0.0, 0.4))]
     est = spark.createDataFrame(levels, "grp string, n long, " + ", ".join(f"{c} double" for c in quality._MOMENTS))
-    got = {r.own: r for r in quality.shrunk_estimates(spark.createDataFrame([("a", "p"), ("b", "p")], "own string, pool string"), est).collect()}
+    got = {r.own: r for r in quality.shrunk_estimates(spark.createDataFrame([("a", "p", "{}"), ("b", "p", "{}")], "own string, pool string, all string"), est).collect()}
     assert abs(got["a"].m0 - 10 / 60) < 1e-3 and abs(got["b"].m0 - 1) < 1e-3
     assert abs(got["a"].l00 ** 2 - (10 * 0.2 + 50 * 0.4) / 60) < 1e-2 and abs(got["b"].l00 ** 2 - 0.2) < 1e-2
     rng = random.Random(2)
