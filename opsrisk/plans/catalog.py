@@ -729,7 +729,7 @@ def q_classification_metrics(spark, sf):
 
 # --- sources and sinks (S1, S2, S4, S5, S7) ----------------------------------------------
 
-from ..session import scratch_path  # noqa: E402
+from ..session import scratch_path, written  # noqa: E402
 from ..sources import files as IO  # noqa: E402
 from ..sources import runs  # noqa: E402
 
@@ -944,7 +944,7 @@ def _portable_split(spark, sf):
 
 @register("stratified_split", O.with_ctes("select workflow_id, split from splits", labeled=True, extra=_ALLOC_CTE))
 def q_stratified_split(spark, sf):
-    lab = tables.workflows_labeled(spark, sf)
+    lab = written(tables.workflows_labeled(spark, sf), "labeled")
     return M.with_split(lab, 0.2, order_key=_portable_key(lab)).select("workflow_id", "split")
 
 
