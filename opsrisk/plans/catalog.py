@@ -859,8 +859,9 @@ def q_prep_modes(spark, sf):
 
 
 def _fitted_prep(spark, sf):
-    w = engineer_features(tables.workflows(spark, sf))
-    return w, P.WorkflowPreprocessor().fit(w)
+    w = engineer_features(tables.workflows(spark, sf)).select("workflow_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
+    w = written(w, "features")
+    return w, P.WorkflowPreprocessor(materialize=False).fit(w)
 
 
 @register("prep_onehot", O.with_ctes(
