@@ -596,7 +596,7 @@ class _LazyOutputs:
     def _build(self, name):
         spark, sf = self.spark, self.sf
         if name == "predictions":
-            return tables.standin_predictions(spark, sf)
+            return tables.standin_predictions(spark, sf, self["workflows"])
         if name == "workflows":
             return tables.workflows(spark, sf)
         if name == "alerts":
@@ -613,13 +613,23 @@ class _LazyOutputs:
         return self.done[name]
 
 
-def _enriched(spark, sf):
-    out = _saved_outputs(spark, sf)
+def _enriched(spark, sf, out=None):
+    out = out or _saved_outputs(spark, sf)
     return V.enrich_predictions(out["predictions"], out["workflows"])
 
 
-def _filtered(spark, sf):
-    return V.filter_predictions(_enriched(spark, sf), SEL_RISK, SEL_DEPARTMENT, None, SEL_PRIORITY)
+def _filtered(spark, sf, out=None):
+    return V.filter_predictions(_enriched(spark, sf, out), SEL_RISK, SEL_DEPARTMENT, None, SEL_PRIORITY)
+
+
+def _restricted(name):
+    """An output's rows of the filtered workflows; both are read from the same saved run."""
+
+    def q(spark, sf):
+        out = _saved_outputs(spark, sf)
+        return V.restrict_to_ids(out[name], _filtered(spark, sf, out))
+
+    return q
 
 
 def _view_alerts(spark, sf):
@@ -639,10 +649,10 @@ register("filter_options", _views_sql(
 ))(lambda spark, sf: V.filter_options(_enriched(spark, sf)))
 register("alerts_filtered", _views_sql(
     "select * from alerts where workflow_id in (select workflow_id from filtered)", with_alerts=True
-))(lambda spark, sf: V.restrict_to_ids(_view_alerts(spark, sf), _filtered(spark, sf)))
+))(_restricted("alerts"))
 register("recommendations_filtered", _views_sql(
     "select * from recs where workflow_id in (select workflow_id from filtered)", with_alerts=True
-))(lambda spark, sf: V.restrict_to_ids(_view_recs(spark, sf), _filtered(spark, sf)))
+))(_restricted("recommendations"))
 register("alert_severity_counts", _views_sql(
     "select severity, count(*) as n from alerts group by severity", with_alerts=True
 ))(lambda spark, sf: V.alert_severity_counts(_view_alerts(spark, sf)))
@@ -939,13 +949,13 @@ splits as (select r.workflow_id, r.risk_label, r.k, case when rn <= k_c then 'tr
 
 
 def _portable_split(spark, sf):
-    lab = tables.workflows_labeled(spark, sf)
+    lab = written(tables.workflows_labeled(spark, sf), "labeled")
     return M.stratified_split(lab, 0.2, order_key=_portable_key(lab))
 
 
 @register("stratified_split", O.with_ctes("select workflow_id, split from splits", labeled=True, extra=_ALLOC_CTE))
 def q_stratified_split(spark, sf):
-    lab = written(tables.workflows_labeled(spark, sf), "labeled")
+    lab = tables.workflows_labeled(spark, sf)
     return M.with_split(lab, 0.2, order_key=_portable_key(lab)).select("workflow_id", "split")
 
 

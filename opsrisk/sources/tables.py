@@ -184,8 +184,8 @@ __all__ = [
 ]
 
 
-def standin_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction-shaped frame without a model, for exact checks of the report views.
+def standin_predictions(spark: SparkSession, sf_dir: str, flows: DataFrame | None = None) -> DataFrame:
+    """Prediction-shaped frame without a model, for exact checks of the report views, of ``flows`` (default: derived anew).
 
     predicted_risk is the soft label; the probabilities are the soft label's
     class distribution (rounded to 9 places); risk_factors are the rule texts."""
@@ -193,7 +193,7 @@ def standin_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.features import engineer_features
     from ..operators.rules import risk_factors
 
-    base = engineer_features(with_risk_score(workflows(spark, sf_dir)))
+    base = engineer_features(with_risk_score(workflows(spark, sf_dir) if flows is None else flows))
     s = F.col("risk_score")
     e = {k: F.exp(-F.abs(s - F.lit(c)) / F.lit(TEMPERATURE)) for k, c in CLASS_CENTRES.items()}
     total = e["low"] + e["medium"] + e["high"]

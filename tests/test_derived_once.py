@@ -5,7 +5,7 @@ from opsrisk.plans import catalog as C
 from opsrisk.sources import tables
 
 
-@pytest.mark.parametrize("name", ["prep_onehot", "dummy_predictions", "dummy_strategies"])
+@pytest.mark.parametrize("name", ["recommendations_filtered", "alerts_filtered", "prep_onehot", "dummy_predictions", "dummy_strategies"])
 def test_the_table_is_derived_once(spark, monkeypatch, name):
     calls = []
     derive = tables.workflows
