@@ -203,8 +203,12 @@ def predictions_flat(predictions: DataFrame) -> DataFrame:
     return predictions.select(*cols)
 
 
+# Quoted fields may hold line ends, so a reader takes a file whole: files stay small however large a task's part is.
+CSV_FILE_ROWS = 200_000
+
+
 def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**CSV_DIALECT).csv(path)
+    df.write.mode("overwrite").options(**CSV_DIALECT).option("maxRecordsPerFile", CSV_FILE_ROWS).csv(path)
 
 
 def save_predictions(predictions: DataFrame, path: str) -> None:

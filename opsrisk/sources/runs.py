@@ -74,7 +74,7 @@ def write_table(spark: SparkSession, run: Run, name: str, relative: str, df: Dat
         raise ValueError(f"format {fmt} is none of {FORMATS}")
     seen = Observation()
     out = df.observe(seen, *digest(df.schema)).write.mode("error")
-    (out.options(**_CSV).csv if fmt == "csv" else out.parquet)(run.path(relative))
+    (out.options(**_CSV, maxRecordsPerFile=IO.CSV_FILE_ROWS).csv if fmt == "csv" else out.parquet)(run.path(relative))
     got = seen.get
     entry = {
         "path": relative, "format": fmt, "schema": df.schema.jsonValue(), "files": _files(spark, run.path(relative)),
