@@ -870,8 +870,7 @@ def q_prep_modes(spark, sf):
 
 def _fitted_prep(spark, sf):
     w = engineer_features(tables.workflows(spark, sf)).select("workflow_id", *NUMERIC_FEATURES, *CATEGORICAL_FEATURES)
-    w = written(w, "features")
-    return w, P.WorkflowPreprocessor(materialize=False).fit(w)
+    return w, P.WorkflowPreprocessor(materialize=False).fit(written(w, "features"))
 
 
 @register("prep_onehot", O.with_ctes(
