@@ -4,7 +4,8 @@ A text is encoded by two tokenizers, A (byte-level BPE) and B (pieces with byte
 offsets where tokens of both end cut them into groups, and the A and B token that end there together are linked. A pair of
 ids counts the links that hold it in the corpus.
 
-First pass: every task encodes and aligns its documents, stores their ids in blocks, and gives its distinct pairs with
+First pass: every task encodes and aligns its documents (what stands between two spaces is encoded once and looked up where
+it stands again, if both vocabularies cut there), stores their ids in blocks, and gives its distinct pairs with
 their links. The distinct pairs of the corpus get numbers 0 to n - 1 by a minimal perfect hash function (perfect.py), built
 in slices of the pairs. Each task's links become a dense vector indexed by these numbers, and the vectors are summed in
 chunks by a tree of fixed fan-in. Second pass: the stored documents are aligned again and look up their links, the keys that stand at the
@@ -19,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,6 +39,8 @@ BLOCK_CHARS = 1 << 20  # texts of so many characters are stored together
 FOLD = 1 << 21  # pairs that a task collects before it gives them out
 CHUNK = 1 << 16  # counts of a vector that are summed together
 FAN_IN = 32  # vectors that one task of the tree adds
+KEPT = 1 << 17  # pieces of text whose ids a worker keeps (about 32 MB); it forgets all beyond that
+LINE = 128  # pieces that are encoded as one text
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -50,10 +54,37 @@ def piece_bytes(piece: str, is_byte: bool) -> bytes:
     return bytes([int(piece[3:5], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
 
+def stand_alone(a_file: bytes, b_file: bytes) -> bool:
+    """Whether both tokenizers cut before every space that stands alone between other signs than white space.
+
+    If so, what lies between two such spaces is encoded alike in every text: A's pattern starts anew at the space, and no piece of
+    B has its space sign after another sign, so that no merge crosses it. False if the files do not tell.
+    """
+    try:
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
+    except ImportError:  # it needs protobuf
+        return False
+    a, b = json.loads(a_file), ModelProto.FromString(b_file)
+    pre, model, spec = a.get("pre_tokenizer") or {}, a["model"], b.normalizer_spec
+    if a.get("normalizer") or a.get("truncation") or a.get("padding") or model.get("type") != "BPE" or model.get("dropout"):
+        return False
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or not all(t["special"] for t in a["added_tokens"]):
+        return False
+    if b.trainer_spec.model_type != b.trainer_spec.BPE or b.trainer_spec.treat_whitespace_as_suffix or spec.precompiled_charsmap:
+        return False
+    if not (spec.add_dummy_prefix and spec.escape_whitespaces) or spec.remove_extra_whitespaces:
+        return False
+    odd = (b.SentencePiece.USER_DEFINED, b.SentencePiece.UNUSED)
+    return all(p.type not in odd and "▁" not in p.piece.lstrip("▁") for p in b.pieces)
+
+
 class Aligner:
-    """Both tokenizers and the bytes of their tokens; one per Python worker."""
+    """Both tokenizers and the bytes of their tokens; one per Python worker.
 
-    def __init__(self, a_file: bytes, b_file: bytes):
+    ``alone`` tells that the tokenizers cut at single spaces (stand_alone). Texts are then encoded in pieces, else whole.
+    """
+
+    def __init__(self, a_file: bytes, b_file: bytes, alone: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -76,19 +107,87 @@ class Aligner:
         digits = np.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))], "S")
         self.digits = digits.view(np.uint8).reshape(len(digits), -1)
         self.n_digits = np.char.str_len(digits)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of every text by A and B; none if its bytes are not those of space and text."""
-        a_ids: list[list[int]] = [[] for _ in texts]
-        b_ids: list[list[int]] = [[] for _ in texts]
-        full = [i for i, t in enumerate(texts) if t]
+        self.alone = alone
+        self.cut = re.compile(r"(?<=\S) (?=\S)").split if alone else lambda text: [text]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # number of each piece
+        self.a_ids = self.b_ids = np.zeros(0, np.int32)  # ids of all pieces by their numbers
+        self.a_at = self.b_at = np.zeros(1, np.int64)  # where each piece's ids start, and the end
+        self.wrong = np.zeros(0, bool)  # its ids do not join to its bytes: it has none
+
+    def _learn(self, pieces: Iterable[str], line: int) -> None:
+        """Encode the pieces that are not known yet, up to ``line`` of them joined by spaces to one text."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        joined = [p for p in new if line > 1 and not (p[0].isspace() or p[-1].isspace())]
+        lines = [joined[i : i + line] for i in range(0, len(joined), line)]
+        if len(joined) < len(new):
+            rest = set(joined)
+            lines += [[p] for p in new if p not in rest]
         a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        ours = [" " + texts[i] for i in full]
-        for i, whole, a, b in zip(full, ours, self.a.encode_batch_fast(ours, add_special_tokens=False), self.b.encode([texts[i] for i in full], num_threads=1), strict=True):
-            raw, a = whole.encode(), a.ids
-            if b"".join(map(a_bytes, a)) == raw and b"".join(map(b_bytes, b)) == raw:
-                a_ids[i], b_ids[i] = a, b
-        return a_ids, b_ids
+        a_ids, b_ids, a_n, b_n, wrong = [self.a_ids], [self.b_ids], [], [], []
+
+        def add(part: list[list[str]]) -> list[list[str]]:
+            """Lines that have to be encoded piece by piece."""
+            failed = []
+            whole = [" ".join(x) for x in part]
+            ours = self.a.encode_batch_fast([" " + t for t in whole], add_special_tokens=False)
+            for words, text, a, b in zip(part, whole, ours, self.b.encode(whole, num_threads=1), strict=True):
+                a, raw = a.ids, b" " + text.encode()
+                good = b"".join(map(a_bytes, a)) == raw and b"".join(map(b_bytes, b)) == raw
+                if good:
+                    a, b = np.array(a, np.int32), np.array(b, np.int32)
+                    ends = np.cumsum([len(w.encode()) + 1 for w in words])
+                    a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+                    a_last, b_last = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+                    good = bool((a_ends[a_last] == ends).all() and (b_ends[b_last] == ends).all())
+                if not good and len(words) > 1:
+                    failed.append(words)
+                    continue
+                for w in words:
+                    self.known[w] = len(self.known)
+                wrong.extend([not good] * len(words))
+                if good:
+                    a_ids.append(a)
+                    b_ids.append(b)
+                a_n.append(np.diff(a_last, prepend=-1) if good else [0])
+                b_n.append(np.diff(b_last, prepend=-1) if good else [0])
+            return failed
+
+        failed = add(lines) if lines else []
+        if failed:
+            add([[w] for words in failed for w in words])
+        if a_n:
+            self.a_ids, self.b_ids = np.concatenate(a_ids), np.concatenate(b_ids)
+            self.a_at, self.b_at = (np.append(at, at[-1] + np.cumsum(np.concatenate(n))) for at, n in ((self.a_at, a_n), (self.b_at, b_n)))
+            self.wrong = np.append(self.wrong, wrong)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts by A and by B, one text after the other, and how many each text has; none if its bytes are not those of space and text."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        self._learn(chain.from_iterable(cut), LINE if self.alone else 1)
+        number, of = self._numbers(cut)
+        if self.wrong[number].any():
+            for i in np.unique(np.searchsorted(of, np.flatnonzero(self.wrong[number]), "right") - 1).tolist():
+                cut[i] = [texts[i]]  # the whole text decides
+                self._learn(cut[i], 1)
+            number, of = self._numbers(cut)
+        out = []
+        for ids, at in ((self.a_ids, self.a_at), (self.b_ids, self.b_at)):
+            size = at[number + 1] - at[number]
+            ends = np.append(0, np.cumsum(size))
+            place = np.arange(ends[-1]) + np.repeat(at[number] - ends[:-1], size)
+            out += [ids[place].astype(np.int64), np.diff(ends[of])]
+        if len(self.known) > KEPT or len(self.a_ids) + len(self.b_ids) > 16 * KEPT:
+            self._forget()
+        a, n_a, b, n_b = out
+        return a, b, n_a, n_b
+
+    def _numbers(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all pieces, and where each text's start."""
+        of = np.append(0, np.cumsum([len(pieces) for pieces in cut], dtype=np.int64))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, of[-1]), of
 
     def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the A and of the B token that end each group; ``a`` and ``b`` cut the same bytes."""
@@ -125,7 +224,7 @@ class Aligner:
 _ALIGNERS: dict[str, Aligner] = {}  # in a Python worker: loaded once
 
 
-def _aligner(files: tuple[bytes, bytes]) -> Aligner:
+def _aligner(files: tuple[bytes, bytes, bool]) -> Aligner:
     key = hashlib.sha256(files[0] + files[1]).hexdigest()
     if key not in _ALIGNERS:
         _ALIGNERS[key] = Aligner(*files)
@@ -177,10 +276,7 @@ def _store(files, id_type: pa.DataType, slices: int):
                 while j < len(texts) and (j == i or chars + len(texts[j]) <= BLOCK_CHARS):
                     chars += len(texts[j])
                     j += 1
-                a_ids, b_ids = al.encode(texts[i:j])
-                n_a, n_b = (np.fromiter(map(len, x), np.int64, j - i) for x in (a_ids, b_ids))
-                a, b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a_ids, n_a), (b_ids, n_b)))
-                del a_ids, b_ids
+                a, b, n_a, n_b = al.encode(texts[i:j])
                 yield made([(block, batch.column(0)[i:j].to_pylist(), _narrow(n_a), _narrow(n_b), _narrow(a), _narrow(b), None, None, None)])
                 block += 1
                 if len(a):
@@ -304,6 +400,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool
     ship(spark)
     with open(a_path, "rb") as fa, open(b_path, "rb") as fb:
         raw = fa.read(), fb.read()
+    raw = *raw, stand_alone(*raw)
     files = spark.sparkContext.broadcast(raw)
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     type_name = kept.schema["doc_id"].dataType.simpleString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -101,6 +102,70 @@ def test_alignment_query(spark, real):  # noqa: F811
     assert got == sorted(r[:-1] for r in brute_alignment(real))
 
 
+def vocabulary_files():
+    return tuple(open(p, "rb").read() for p in queries.public_pair())
+
+
+def test_pieces_are_encoded_once():
+    files = vocabulary_files()
+    assert align.stand_alone(*files)
+    al, given = align.Aligner(*files, True), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **kw):
+            given.append(sum(map(len, texts)))
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    al.a = Counted(al.a)
+    texts = [f"every word of this text stands in the others too {i} " + "again and again " * 200 for i in range(50)]
+    first = al.encode(texts)
+    assert sum(given) < sum(map(len, texts)) / 50
+    for x, y in zip(first, align.Aligner(*files).encode(texts), strict=True):
+        assert np.array_equal(x, y)
+    n = sum(given)
+    al.encode(texts[::-1])
+    assert sum(given) == n
+
+
+def test_pieces_give_the_whole_texts_ids():
+    rng = random.Random(7)
+    files = vocabulary_files()
+    whole, al = align.Aligner(*files), align.Aligner(*files, True)
+    signs = [*"aab's\t\n\r\x0b\x1c\x85\u00a0\u3000\u180e\u200b.,0日🎉\u0301", *[" "] * 9, "'ll", " the", "<s>", "<0x41>", "<|endoftext|>", "\u2581"]
+    kept, align.KEPT = align.KEPT, 300
+    try:
+        for _ in range(60):
+            texts = ["".join(rng.choice(signs if rng.random() < 0.2 else signs[:-1]) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+            a, b, n_a, n_b = al.encode(texts)
+            for x, y in zip((a, b, n_a, n_b), whole.encode(texts), strict=True):
+                assert np.array_equal(x, y)
+            a_at, b_at = np.cumsum(np.append(0, n_a)), np.cumsum(np.append(0, n_b))
+            for i, t in enumerate(texts):
+                ours, theirs = whole.a.encode(" " + t, add_special_tokens=False).ids, whole.b.encode(t)
+                raw = (" " + t).encode()
+                good = t and b"".join(whole.a_bytes[k] for k in ours) == raw and b"".join(whole.b_bytes[k] for k in theirs) == raw
+                assert a[a_at[i] : a_at[i + 1]].tolist() == (ours if good else [])
+                assert b[b_at[i] : b_at[i + 1]].tolist() == (theirs if good else [])
+    finally:
+        align.KEPT = kept
+
+
+def test_pieces_only_where_both_cut():
+    a, b = vocabulary_files()
+    rules = json.loads(a)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": rules["pre_tokenizer"] | {"use_regex": False}}, {"pre_tokenizer": None}):
+        assert not align.stand_alone(json.dumps(rules | change).encode(), b)
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    for piece, kind in (("a\u2581b", 1), ("of", 4)):
+        model = ModelProto.FromString(b)
+        model.pieces.add(piece=piece, score=-1e6, type=kind)
+        assert not align.stand_alone(a, model.SerializeToString())
+
+
 # --- 12 periodic runs
 
 
